@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, licenses, packing, pii
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op3_pii": pii.op3_pii,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
 }
 SQL = {
