@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -10,10 +9,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of the contracts: runs of anything but ASCII white space.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = {i: i + 32 for i in range(65, 91)}
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
@@ -41,16 +36,22 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n))
 
 
+def split_words(text: str, lower: bool = False) -> list[bytes]:
+    """Words of the contracts as UTF-8: runs of other than ASCII white space; A-Z lower-cased on request."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return (raw.lower() if lower else raw).split()
+
+
 class WordHashes(dict):
-    """word -> 64-bit hash, filled on demand and emptied when it grows over ``limit`` entries."""
+    """word (bytes) -> 64-bit hash, filled on demand and emptied when it grows over ``limit`` entries."""
 
     def __init__(self, limit: int = 400_000):
         super().__init__()
         self.limit = limit
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = xxhash.xxh3_64_intdigest(word)
         self[word] = h
         return h
