@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, packing, pii
+from . import decontaminate, exact_dedup, hmm, licenses, packing, pii, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_hmm_score": hmm.op2_hmm_score,
     "op3_pii": pii.op3_pii,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_decontamination": decontaminate.op9_decontamination,
 }
 SQL = {
     "op6_exact_dedup": exact_dedup.SQL,
+    "op9_decontamination": decontaminate.SQL,
 }
