@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, hmm, licenses, packing, pii, toxicity
+from . import decontaminate, exact_dedup, fm_dedup, hmm, jaccard_join, licenses, packing, pii, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_hmm_score": hmm.op2_hmm_score,
     "op3_pii": pii.op3_pii,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_fm_dedup": fm_dedup.op10_fm_dedup,
 }
 SQL = {
     "op6_exact_dedup": exact_dedup.SQL,
