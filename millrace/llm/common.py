@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,18 +39,3 @@ def split_words(text: str, lower: bool = False) -> list[bytes]:
     """Words of the contracts as UTF-8: runs of other than ASCII white space; A-Z lower-cased on request."""
     raw = text.encode("utf-8", "surrogatepass")
     return (raw.lower() if lower else raw).split()
-
-
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, filled on demand and emptied when it grows over ``limit`` entries."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        self[word] = h
-        return h

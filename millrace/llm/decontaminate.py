@@ -20,8 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, table
-from .words import mixed, shingles, word_hashes
+from .common import table
+from .words import Words, mixed, portions, shingles
 
 THRESHOLD, HASHES = 0.75, 64
 #: Items a block; with MAX_SHINGLES they bound what is broadcast.
@@ -94,7 +94,6 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
     schema = "doc_id long, item_id long, n_shared long, n_item long, containment double"
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("t"))
     out = spark.createDataFrame([], schema)
-    cache = WordHashes()
     block: list = []
     size = 0
 
@@ -102,18 +101,19 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
         sent = spark.sparkContext.broadcast(Block(batch, threshold))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index, words = sent.value, WordHashes()
+            index = sent.value
             for pdf in batches:
-                found = []
-                for i, text in zip(pdf["id"].astype("Int64"), pdf["t"], strict=True):
-                    for c, shared, n in index.search(shingles(word_hashes(text, words))):
-                        found.append((i, index.ids[c], shared, n, shared / n))
+                found, ids = [], pdf["id"].astype("Int64")
+                for first, part in portions(pdf["t"]):
+                    for j, words in enumerate(Words(part)):
+                        for c, shared, n in index.search(shingles(words)):
+                            found.append((ids.iloc[first + j], index.ids[c], shared, n, shared / n))
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
         return rows.mapInPandas(run, schema)
 
     for item in items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").orderBy("item_id").toLocalIterator():
-        s = np.unique(shingles(word_hashes(item.text, cache)))
+        s = np.unique(shingles(Words([item.text]).hash))
         if len(s):
             block.append((item.item_id, s))
             size += len(s)

@@ -17,17 +17,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, split_words, table
+from .common import split_words, table
 from .repeats import finish, keyed, repeated, with_first
-from .words import shingles
+from .words import Words, shingles
 
 SPAN, GRAM = 13, 5
-_cache = WordHashes()
 
 
 def units(text: str) -> np.ndarray:
-    words = split_words(text)
-    return np.fromiter(map(_cache.__getitem__, words), np.uint64, len(words))
+    return Words([text], lower=False).hash
 
 
 def grams(x: np.ndarray) -> np.ndarray:

@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import WordHashes, stored, table
+from .common import stored, table
 from .components import components
-from .words import mixed, shingles, word_hashes
+from .words import Words, mixed, portions, shingles
 
 NUMERATOR, DENOMINATOR = 3, 4  # Jaccard threshold 0.75
 SMALL, EQUAL, STARS = 26, 20.0, 3
@@ -118,12 +118,13 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """id, n, key and, once for each key in a task, signatures."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, seen = WordHashes(), set()
+        seen: set[int] = set()
         for pdf in batches:
-            for low in range(0, len(pdf), 500):
-                part, out = pdf.iloc[low : low + 500], []
-                for i, text in zip(part["id"].astype("Int64"), part["t"], strict=True):
-                    s = np.unique(shingles(word_hashes(text, words)))
+            ids = pdf["id"].astype("Int64")
+            for first, part in portions(pdf["t"]):
+                out = []
+                for i, words in zip(ids.iloc[first : first + len(part)], Words(part), strict=True):
+                    s = np.unique(shingles(words))
                     if not len(s):
                         out.append((i, 0, None, None))
                         continue
@@ -143,7 +144,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """key, set: the shingles of the documents whose ids are in ``wanted`` (and of few others)."""
     place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    bits = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b"))
+    bits = wanted.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b"))
     bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()  # at most 257 rows of 4 KiB
     mask = np.zeros(FILTER_BITS + 32768, np.bool_)
     for r in bits:
@@ -152,13 +153,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(mask))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, mask = WordHashes(), np.unpackbits(sent.value)
+        mask = np.unpackbits(sent.value)
         for pdf in batches:
-            some = pdf[mask[pdf["p"].to_numpy()] > 0]
-            for low in range(0, len(some), 500):
+            for _, part in portions(pdf["t"][mask[pdf["p"].to_numpy()] > 0]):
                 out = []
-                for text in some["t"].iloc[low : low + 500]:
-                    s = np.unique(shingles(word_hashes(text, words)))
+                for words in Words(part):
+                    s = np.unique(shingles(words))
                     if len(s):
                         out.append((set_key(s), s.tobytes()))
                 yield pd.DataFrame(out, columns=["key", "s"])
@@ -208,8 +208,11 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
     links = spark.createDataFrame([], "a long, b long")
     near = F.expr(f"least(n, m) * {DENOMINATOR} >= greatest(n, m) * {NUMERATOR}")
-    roots, rows, done, fetched = None, met.select("sign", "key", "n"), None, None
+    rows, done, fetched = met.select("sign", "key", "n"), None, None
+    roots = spark.createDataFrame([], "node long, root long")
     for step in range(STARS + 1):
+        if not rows.take(1):
+            break
         if step < STARS:
             leads = rows.groupBy("sign").agg(F.min_by("n", "key").alias("m"), F.min("key").alias("lead"))
             pairs = rows.join(leads, "sign").where("key > lead").where(near).select(F.col("lead").alias("a"), F.col("key").alias("b"))
@@ -220,25 +223,20 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stored(pairs)
-        if not pairs.take(1):
-            break
-        done = pairs if done is None else done.unionByName(pairs)
-        if fetched is None:
-            ids = met.select("key").distinct().join(classes, "key").select("id")
-            fetched = stored(sets_of(docs, ids))
-        found = stored(similar(pairs, fetched))
-        links = links.unionByName(found)
+        if pairs.take(1):
+            done = pairs if done is None else done.unionByName(pairs)
+            if fetched is None:
+                ids = met.select("key").distinct().join(classes, "key").select("id")
+                fetched = stored(sets_of(docs, ids))
+            links = links.unionByName(stored(similar(pairs, fetched)))
+            roots = stored(components(links))
         if step == STARS:
-            roots = components(links)
             break
-        roots = stored(components(links))
         # Buckets go on without their leads while they hold several components.
         rows = rows.drop("root").join(leads.select("sign", "lead"), "sign").where("key > lead").drop("lead")
         rows = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         several = rows.groupBy("sign").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sign")
         rows = stored(rows.join(several, "sign", "left_semi").select("sign", "key", "n", "root"))
-    if roots is None:
-        roots = spark.createDataFrame([], "node long, root long")
     known = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     known = stored(known)
     least = known.groupBy("root").agg(F.min("id").alias("component_id"))

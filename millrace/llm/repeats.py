@@ -62,7 +62,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def _some(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows whose key ``u`` is wanted, and few others: a filter of fixed size before a join."""
     place = F.pmod("u", F.lit(FILTER_BITS))
-    bits = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b"))
+    bits = wanted.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b"))
     bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()  # at most 257 rows of 4 KiB
     mask = np.zeros((FILTER_BITS // 32768 + 1) * 32768, np.bool_)
     for r in bits:
