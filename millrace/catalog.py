@@ -1,7 +1,377 @@
-"""Queries over the driver's tables, one or more for every operator, and the same in SQL."""
+"""Queries over the driver's tables, one or more for every operator, and the same in SQL where it can say them.
+
+Line, command, ledger and tool-call tables are derived from ``events``, ``documents`` and ``conversations``
+by the same rules on both sides; they grow with those tables.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = "top_commands"
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import commands as C
+from .functions import lines as L
+from .functions import patterns as P
+from .operators import audit as A
+from .operators import ledger as G
+from .operators import stages as S
+from .plans import compact as K
+from .plans.config import Config
+from .sources import tables as T
+from .streaming.stream import stream_savings
+
+FLAGSHIP = "compact_stats"
+CFG = Config(before=2, after=2, head=10, tail=15)
+
+#: The text of an event's line, in SQL that both engines read.
+LINE = """CASE event_id % 31
+ WHEN 0 THEN 'Error: event ' || cast(event_id as string) || ' failed'
+ WHEN 1 THEN '    at run (app.js:' || cast(event_id % 90 as string) || ':5)'
+ WHEN 2 THEN '  1) suite case' WHEN 3 THEN '     AssertionError: expected 5' WHEN 4 THEN '      + expected - actual'
+ WHEN 5 THEN '      -5' WHEN 6 THEN ''
+ WHEN 7 THEN chr(27) || '[32mok' || chr(27) || '[0m done'
+ WHEN 8 THEN '10%' || chr(13) || '50%' || chr(13) || cast(event_id % 101 as string) || '%' || chr(13)
+ WHEN 9 THEN 'Downloading ' || cast(event_id % 20 as string) || '.5 MB / 20 MB' WHEN 10 THEN '[#####     ]'
+ WHEN 11 THEN 'info: [db] SELECT {"ms":' || cast(event_id % 40 as string) || '}'
+ WHEN 12 THEN 'info: [db] SELECT {"ms":' || cast(event_id % 50 as string) || '}'
+ WHEN 13 THEN 'get https://registry/error-ex/' || cast(event_id % 7 as string)
+ WHEN 14 THEN 'npm warn deprecated left-pad@1.0.' || cast(event_id % 5 as string)
+ WHEN 15 THEN 'npm http fetch GET 200' WHEN 16 THEN 'added 5 packages'
+ WHEN 17 THEN '  App' || cast(event_id % 3 as string) || ' -> /src/bin/App.dll'
+ WHEN 18 THEN '  Restored /src/a.csproj (in 1.2 sec).' WHEN 19 THEN 'src/a.cs: warning CS0168: unused'
+ WHEN 20 THEN '  ✓ works' WHEN 21 THEN 'ok ' || cast(event_id as string) WHEN 22 THEN '  duration_ms: 3'
+ WHEN 23 THEN '#' || cast(event_id % 2 as string) || ' [2/6] RUN npm ci' WHEN 24 THEN '#' || cast(event_id % 2 as string) || ' sha256:abc'
+ WHEN 25 THEN '#' || cast(event_id % 2 as string) || ' log line'
+ WHEN 26 THEN '#' || cast(event_id % 2 as string) || CASE WHEN event_id % 3 = 0 THEN ' ERROR: no' ELSE ' DONE 1.2s' END
+ WHEN 27 THEN 'main.go:12:3: undefined'
+ WHEN 28 THEN 'id 550e8400-e29b-41d4-a716-446655440000 at 2024-01-02T03:04:05Z hash deadbeef01 it''s ''x'' 0xff'
+ WHEN 29 THEN 'plain line ' || cast(event_id % 4 as string) ELSE '   ' END"""
+EVT = f"SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line_no, {LINE} AS text FROM events"
+#: Lines of documents.
+DOC = "SELECT doc_id AS run_id, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)"
+
+COMMANDS = (
+    "npm ci", "npm install left-pad", "npm test", "npm run build", "yarn", "yarn test", "pnpm exec jest --ci", "npx jest", "npx --yes eslint src/",
+    "docker build -t app .", "docker run -it app", "docker run --rm app", "docker logs web", "podman build .", "dotnet build", "dotnet test -v q",
+    "git log --oneline", "git push origin main", "git", "cargo test -v", "cargo build --release", "make -j8", "ls -la | head", "cat a.txt", "tail -f app.log",
+    "sed -n 1,5p a", "sed s/a/b/ a", "go test ./...", "FOO=1 BAR=2 npm test", "/usr/bin/npm.cmd run lint", r"C:\\tools\\Docker.exe build .", "bash -c npm test",
+    "sh -c pytest && echo done", "npm run dev", "npm run test:watch", "python3 train.py > out.log 2>&1", "pytest -q &> log", "echo 'a;b' ; make", "kubectl get pods",
+    "yarn jest", "yarn dlx create-app", "gh pr list", "  ", "jq . a.json", "millrace run -- make", "python3 a.py --mode=" + "x" * 90,
+)
+#: What the commands are, read off the rules by hand: kind, whether the words are a query, whether argv is, whether
+#: it is long-running, and the reason of the decision.
+KIND_OF = (
+    "node-install node-install node-script node-script node-install node-script node-script generic generic docker-build docker-build docker-build "
+    "docker-build docker-build dotnet query query generic query query generic generic generic query query query generic generic node-script "
+    "node-script docker-build node-script generic node-script node-script generic generic generic query node-script node-script query generic query "
+    "generic generic"
+).split()
+QUERIES_BY_WORDS = (15, 16, 18, 19, 23, 25, 38, 41, 43)
+LONG = (10, 12, 24, 33, 34)
+REASON_OF = {
+    "a query: its output is the answer": (15, 16, 18, 19, 23, 25, 38, 41, 43), "long-running or interactive": (10, 12, 24, 33, 34),
+    "the pipeline selects its output": (22,), "output goes to a file": (35, 36), "empty command": (42,), "already handled": (44,),
+}
+PEELED = {6: "jest --ci", 7: "jest", 8: "--yes eslint src/", 28: "npm test", 39: "jest", 40: "create-app", 42: ""}
+SEGMENTS = {
+    22: ("ls -la", "head"), 32: ("sh -c pytest", "echo done"), 35: ("python3 train.py > out.log 2>", "1"), 36: ("pytest -q", "> log"),
+    37: ("echo 'a;b'", "make"), 42: (),
+}
+_COMMAND = "list_extract([" + ", ".join("'" + c.replace("'", "''") + "'" for c in COMMANDS) + f"], cast(event_id % {len(COMMANDS)} + 1 as int))"
+CMD = f"SELECT event_id AS call_id, {_COMMAND} AS command FROM events"
+LEDGER = (
+    f"SELECT ts AS time, {_COMMAND} AS command, cast(round(abs(value) * 100) as bigint) AS raw_bytes, "
+    "cast(round(abs(value) * 100) as bigint) * (event_id % 7) // 5 AS out_bytes, event_id % 3 > 0 AS filtered FROM events"
+)
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def event_lines(spark: SparkSession, d: str) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return _read(spark, d, "events").select(F.col("user_id").alias("run_id"), n.cast("long").alias("line_no"), F.expr(LINE).alias("text"))
+
+
+def doc_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "documents").select(F.col("doc_id").alias("run_id"), F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    return rows.select("run_id", (F.col("n") + 1).cast("long").alias("line_no"), "text")
+
+
+def _command() -> F.Column:
+    return F.element_at(F.array(*[F.lit(c) for c in COMMANDS]), (F.col("event_id") % len(COMMANDS) + 1).cast("int"))
+
+
+def calls(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "events").select(F.col("event_id").alias("call_id"), _command().alias("command"))
+
+
+def event_runs(spark: SparkSession, d: str) -> DataFrame:
+    """One run per user, with a command picked by the user's number."""
+    pick = F.element_at(F.array(*[F.lit(c) for c in COMMANDS]), (F.col("run_id") % len(COMMANDS) + 1).cast("int"))
+    runs = _read(spark, d, "events").select(F.col("user_id").alias("run_id")).distinct().withColumn("command", pick)
+    return runs.withColumn("argv", C.fields(F.col("command")))
+
+
+def ledger(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.round(F.abs("value") * 100).cast("long")
+    filters = F.when(F.col("event_id") % 3 > 0, F.array(F.lit("dedup"))).otherwise(F.array().cast("array<string>"))
+    return _read(spark, d, "events").select(
+        F.col("ts").alias("time"), _command().alias("command"), filters.alias("filters"), raw.alias("raw_bytes"), F.expr("cast(round(abs(value) * 100) as bigint) * (event_id % 7) div 5").alias("out_bytes")
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        SQL[name] = sql
+
+
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _per_line(name: str, column: Callable, sql: str, lines: Callable = event_lines, base: str = EVT) -> None:
+    _add(name, lambda s, d: lines(s, d).select("run_id", "line_no", column(F.col("text")).alias("value")), f"SELECT run_id, line_no, {sql} AS value FROM ({base})")
+
+
+def _like(pattern: str, what: str = "text") -> str:
+    return f"regexp_matches({what}, {_q(pattern)})"
+
+
+_TRIMMED = r"regexp_replace(text, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')"
+_SHAPE = r"regexp_replace(text, '[ \t]+$', '')"
+for _p, _b in P.SHAPES:
+    _SHAPE = f"regexp_replace({_SHAPE}, {_q(_p)}, {_q(_b)}, 'g')"
+_FAIL = f"({_like(P.STACK_FRAME)} OR {_like(P.FAILURE, f'regexp_replace(text, {_q(P.URL_TOKEN)}, {_q(" ")}, {_q("g")})')})"
+_CLEAN = f"regexp_replace(text, {_q(P.ESCAPES)}, '', 'g')"
+_REDRAW = r"CASE WHEN contains({0}, chr(13)) THEN coalesce(list_extract(list_filter(string_split({0}, chr(13)), lambda x: trim(x) <> ''), -1), '') ELSE {0} END"
+_PROGRESS = f"({_TRIMMED} <> '' AND ({_like(P.PROGRESS_BAR, _TRIMMED)} OR {_like(P.PROGRESS_FIGURE, _TRIMMED)}))"
+
+_per_line("normalize_eol", L.normalize_eol, r"regexp_replace(text, '\r$', '')")
+_per_line("strip_ansi", L.strip_ansi, _CLEAN)
+_per_line("resolve_redraw", L.resolve_redraw, _REDRAW.format("text"))
+_per_line("is_progress", L.is_progress, _PROGRESS)
+_per_line("is_failure", L.is_failure, _FAIL)
+_per_line("is_stack_frame", L.is_stack_frame, _like(P.STACK_FRAME))
+_per_line("needs_context", L.needs_context, f"{_FAIL} AND NOT {_like(P.SELF_CONTAINED)}")
+_per_line("is_block_start", L.is_block_start, _like(P.BLOCK_START))
+_per_line("is_block_end", L.is_block_end, _like(P.BLOCK_END))
+_per_line("is_failure_detail", L.is_failure_detail, _like(P.DETAIL))
+_per_line("indent_of", L.indent_of, r"length(regexp_extract(text, '^[ \t]*'))", doc_lines, DOC)
+_per_line("is_blank", L.is_blank, "trim(text) = ''")
+_per_line("is_log_noise", L.is_log_noise, _like(P.LOG_NOISE))
+_per_line("similarity_key", L.similarity_key, _SHAPE)
+_per_line("similarity_key_docs", L.similarity_key, _SHAPE, doc_lines, DOC)
+_per_line("dedup_key", L.dedup_key, f"CASE WHEN {_like(P.LOG_NOISE)} THEN {_SHAPE} ELSE text END")
+_per_line("estimate_tokens", L.estimate_tokens, "CASE WHEN strlen(text) = 0 THEN 0 ELSE greatest(1, strlen(text) // 4) END", doc_lines, DOC)
+_per_line("human_bytes", lambda t: L.human_bytes(F.octet_length(t).cast("long") * 7919), "CASE WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.1f KB', n / 1024.0) ELSE n || ' B' END", doc_lines, f"SELECT *, strlen(text) * 7919 AS n FROM ({DOC})")
+_per_line("thousands", lambda t: L.thousands(F.octet_length(t) * 7919), "format('{:,}', strlen(text) * 7919)", doc_lines, DOC)
+_per_line("sample_text", L.sample_text, f"CASE WHEN strlen({_TRIMMED}) > 70 THEN substr({_TRIMMED}, 1, 70) || '…' ELSE {_TRIMMED} END")
+_per_line("plural_times", lambda t: F.concat(L.times(F.length(t) % 3), F.lit(" "), L.plural(F.length(t) % 3, "line")), "'×' || (length(text) % 3) || ' ' || CASE WHEN length(text) % 3 = 1 THEN 'line' ELSE 'lines' END")
+_per_line("file_line_refs", lambda t: F.array_join(L.file_line_refs(t), ","), f"array_to_string(regexp_extract_all(text, {_q(P.FILE_LINE)}), ',')")
+_per_line("is_marker", lambda t: L.is_marker(t, "npm"), r"starts_with(regexp_replace(text, '^[ \t]+', ''), 'npm')")
+
+
+def _per_call(name: str, column: Callable, sql: str | None = None) -> None:
+    _add(name, lambda s, d: calls(s, d).select("call_id", column(F.col("command")).alias("value")), sql and f"SELECT call_id, {sql} AS value FROM ({CMD})")
+
+
+def _picked(values: list) -> str:
+    """A value for each command, by hand."""
+    as_sql = lambda v: str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
+    return f"list_extract([{', '.join(map(as_sql, values))}], cast(call_id % {len(COMMANDS)} + 1 as int))"
+
+
+_ALL = range(len(COMMANDS))
+_REASONS = [next((r for r, own in REASON_OF.items() if i in own), "handled here") for i in _ALL]
+_WORDS = r"list_filter(regexp_split_to_array(command, '\s+'), lambda x: x <> '')"
+
+
+def _base(word: str, suffixes: str = "exe cmd bat ps1") -> str:
+    out = rf"lower(regexp_extract({word}, '[^/\\]*$'))"
+    for s in suffixes.split():
+        out = rf"regexp_replace({out}, '\.{s}$', '')"
+    return out
+
+
+_per_call("short_command", L.short_command, r"CASE WHEN strlen(trim(regexp_replace(command, '\s+', ' ', 'g'))) > 80 THEN substr(trim(regexp_replace(command, '\s+', ' ', 'g')), 1, 77) || '…' ELSE trim(regexp_replace(command, '\s+', ' ', 'g')) END")
+_per_call("archive_label", L.archive_label, r"""coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(regexp_extract(regexp_replace(trim(command), '/+$', ''), '[^/]*$'), '[^A-Za-z0-9_-]+', '-', 'g'), '^-+', ''), 1, 24), '^-+|-+$', '', 'g'), ''), 'cmd')""")
+_per_call("base_command", C.base_command, _base("command"))
+_per_call("command_words", lambda c: F.array_join(C.command_words(C.fields(c)), " "))
+_per_call("classify_kind", lambda c: C.classify_kind(C.fields(c)), _picked(KIND_OF))
+_per_call("is_query_segment", lambda c: C.is_query_segment(C.fields(c)), _picked([i in QUERIES_BY_WORDS for i in _ALL]))
+_per_call("is_query_command", lambda c: C.is_query_command(C.fields(c)), _picked([k == "query" for k in KIND_OF]))
+_per_call("is_pipeline_sink", lambda c: C.is_pipeline_sink(C.fields(c)), f"len({_WORDS}) > 0 AND list_contains({list(C.SINKS)}, {_base(f'coalesce({_WORDS}[1], {_q(str())})')})")
+_per_call("split_segments", lambda c: F.array_join(C.split_segments(c), "\n"), _picked(["\n".join(SEGMENTS.get(i, (COMMANDS[i],))) for i in _ALL]))
+_per_call("split_words", lambda c: F.array_join(C.split_words(c), "\n"), rf"array_to_string(list_filter({_WORDS}, lambda x: x <> '' AND NOT (regexp_matches(x, '^[A-Za-z0-9_]+=') AND starts_with(command, 'FOO'))), chr(10))")
+_per_call("normalize_runner", lambda c: F.array_join(C.normalize_runner(C.split_words(c)), " "), _picked([PEELED.get(i, COMMANDS[i]) for i in _ALL]))
+_per_call("is_long_running", lambda c: C.is_long_running(C.split_words(c)), _picked([i in LONG for i in _ALL]))
+_per_call("is_interactive_docker", lambda c: C.is_interactive_docker(C.split_words(c)), "command = 'docker run -it app'")
+_per_call("redirects_all", C.redirects_all, "contains(command, '&>') OR contains(command, '>&') OR (contains(command, '>') AND contains(command, '2>&1'))")
+_per_call("shell_quote", C.shell_quote, "'''' || replace(command, '''', '''\\''''') || ''''")
+_per_call("wrap_command", C.wrap_command, "'millrace run -- bash -c ' || '''' || replace(command, '''', '''\\''''') || ''''")
+_KEY = f"""CASE WHEN len(w) = 0 THEN '(empty)' WHEN NOT list_contains({list(C.TWO_WORDS)}, {_base('w[1]', 'exe cmd bat')}) THEN w[1]
+ WHEN len(w) > 2 AND w[2] IN ('run', 'exec') THEN array_to_string(w[1:3], ' ') ELSE array_to_string(w[1:2], ' ') END"""
+_KEYED = f"SELECT *, CASE WHEN len(v) > 2 AND {_base('v[1]', 'exe cmd bat')} IN ('bash', 'sh', 'zsh', 'dash') AND v[2] = '-c' THEN v[3:] ELSE v END AS w FROM (SELECT *, {_WORDS} AS v FROM ({{0}}))"
+_add("command_key", lambda s, d: calls(s, d).select("call_id", C.command_key(F.col("command")).alias("value")), f"SELECT call_id, {_KEY} AS value FROM ({_KEYED.format(CMD)})")
+_add("wrap_decision", lambda s, d: calls(s, d).select("call_id", C.wrap_decision(F.col("command")).alias("x")).select("call_id", "x.wrap", "x.reason"), f"SELECT call_id, reason = 'handled here' AS wrap, reason FROM (SELECT event_id AS call_id, {_picked(_REASONS).replace('call_id', 'event_id')} AS reason FROM events)")
+_add("wrap_summary", lambda s, d: calls(s, d).select(C.wrap_decision(F.col("command"))["reason"].alias("reason"), C.classify_kind(C.fields(F.col("command"))).alias("kind")).groupBy("reason", "kind").agg(F.count("*").alias("n")), f"SELECT reason, kind, count(*) AS n FROM (SELECT {_picked(_REASONS).replace('call_id', 'event_id')} AS reason, {_picked(KIND_OF).replace('call_id', 'event_id')} AS kind FROM events) GROUP BY ALL")
+
+
+def _deferred(s: SparkSession, d: str) -> DataFrame:
+    c = calls(s, d)
+    claims = c.where("call_id % 2 = 0").select("command").distinct()
+    return C.deferred_to_other(c, claims).select("call_id", "deferred")
+
+
+_add("deferred_to_other", _deferred)
+
+
+def _tool_calls(s: SparkSession, d: str) -> DataFrame:
+    name = F.when(F.col("call_id") % 5 == 0, "Read").otherwise("Bash")
+    given = F.struct(F.col("command"), F.lit(30).alias("timeout"), F.lit("why").alias("description"))
+    whole = F.to_json(F.struct(name.alias("tool_name"), given.alias("tool_input"), F.lit("/src").alias("cwd")))
+    return calls(s, d).select("call_id", F.when(F.col("call_id") % 11 == 0, F.substring(whole, 1, 20)).otherwise(whole).alias("payload"))
+
+
+_add("rewrite_tool_call", lambda s, d: C.rewrite_tool_call(_tool_calls(s, d)))
+
+# Ordered stages over the lines of events.
+_SHOW = ["run_id", "pos", "src", "text", "protected", "in_block", "dropped_by", "marker"]
+
+
+def _stage(name: str, fn: Callable[[DataFrame], DataFrame], sql: str | None = None, show: list[str] = _SHOW) -> None:
+    _add(name, lambda s, d: fn(S.start(event_lines(s, d))).select(*show), sql)
+
+
+_FRAME = f"SELECT run_id, line_no AS pos, line_no AS src, {_REDRAW.format('(' + _CLEAN + ')')} AS text FROM ({EVT})"
+_stage(
+    "collapse_progress", S.collapse_progress,
+    f"""SELECT run_id, pos, src, text, false AS protected, false AS in_block, CASE WHEN k = lead(k) OVER (PARTITION BY run_id ORDER BY pos) THEN 'ansi' END AS dropped_by, false AS marker
+    FROM (SELECT *, CASE WHEN {_PROGRESS} THEN {_SHAPE} END AS k FROM ({_FRAME}))""",
+)
+_stage("failure_blocks", S.failure_blocks, show=["run_id", "pos", "src", "text", "block"])
+_stage("cap_blocks", lambda df: S.cap_blocks(S.failure_blocks(df), Config(max_block=3)))
+_stage("guard", lambda df: S.guard(S.collapse_progress(df), CFG))
+_W = "OVER (PARTITION BY run_id ORDER BY line_no ROWS BETWEEN"
+_stage(
+    "context_window",
+    lambda df: S.context_window(df.withColumn("block", F.lit(None).cast("long")).withColumn("region", F.lit(False)), CFG),
+    f"""WITH f AS (SELECT *, {_FAIL} AS fail, {_FAIL} AND NOT {_like(P.SELF_CONTAINED)} AS need FROM ({EVT})),
+    g AS (SELECT *, coalesce(max(need) {_W} 1 FOLLOWING AND 2 FOLLOWING), false) AS near, sum(need::int) OVER (PARTITION BY run_id ORDER BY line_no) AS g FROM f),
+    h AS (SELECT *, sum((NOT fail)::int) OVER (PARTITION BY run_id, g ORDER BY line_no) AS c FROM g)
+    SELECT run_id, line_no AS pos, line_no AS src, text, fail OR near OR (g > 0 AND NOT fail AND c <= 2) AS protected FROM h""",
+    ["run_id", "pos", "src", "text", "protected"],
+)
+_stage("drop_install_noise", lambda df: S.drop_install_noise(df, CFG))
+_stage("drop_dotnet_noise", lambda df: S.drop_dotnet_noise(df, CFG))
+_stage("detect_test_output", S.detect_test_output, f"""SELECT run_id, line_no AS pos, coalesce(line_no >= min(CASE WHEN {_like(P.TEST_MARKER)} THEN line_no END) OVER (PARTITION BY run_id), false) AS detected FROM ({EVT})""", ["run_id", "pos", "detected"])
+_stage("drop_passing_tests", lambda df: S.drop_passing_tests(df, CFG))
+_stage("docker_steps", lambda df: S.docker_steps(df, Config(max_step=1)))
+_stage("dedup_lines", lambda df: S.dedup(df, CFG))
+_add("collapse_runs_docs", lambda s, d: S.dedup(S.start(doc_lines(s, d)), Config(window=0, min_run=2)).where("NOT marker AND dropped_by = 'dedup'").select("run_id", "src"))
+
+
+def _head_tail(s: SparkSession, d: str) -> DataFrame:
+    out = S.head_tail(S.start(doc_lines(s, d)), Config(head=3, tail=4))
+    return out.where("dropped_by IS NULL").select("run_id", F.row_number().over(Window.partitionBy("run_id").orderBy("pos")).cast("long").alias("out_no"), "text", "marker")
+
+
+_add(
+    "head_tail", _head_tail,
+    f"""WITH n AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS c FROM ({DOC})),
+    k AS (SELECT run_id, line_no * 2 AS o, text, false AS marker FROM n WHERE line_no <= 3 OR line_no > greatest(3, c - 4)
+      UNION ALL SELECT run_id, 7, '[millrace] ... ' || (c - 7) || CASE WHEN c - 7 = 1 THEN ' line' ELSE ' lines' END || ' elided ...', true FROM n WHERE line_no = 4 AND c > 7)
+    SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY o) AS out_no, text, marker FROM k""",
+)
+
+
+# The plan and what it says about runs.
+def _staged(s: SparkSession, d: str) -> DataFrame:
+    return K.staged(event_lines(s, d), event_runs(s, d), CFG)
+
+
+_add("compact_stats", lambda s, d: K.run_stats(_staged(s, d)))
+_add("compact_kept", lambda s, d: K.kept_lines(_staged(s, d), CFG))
+_add("compact_elided", lambda s, d: K.elided(_staged(s, d)))
+_add("compact_documents", lambda s, d: K.run_stats(K.staged(doc_lines(s, d), doc_lines(s, d).select("run_id").distinct().withColumn("argv", F.array(F.lit("make"))), CFG)))
+_add("savings_line", lambda s, d: K.savings_line(K.run_stats(_staged(s, d))))
+_add(
+    "passthrough", lambda s, d: K.passthrough(doc_lines(s, d)),
+    f"SELECT run_id, count(*) AS raw_lines, cast(sum(strlen(text) + 1) as bigint) AS raw_bytes, count(*) <= 40 AND sum(strlen(text) + 1) <= 2048 AS small FROM ({DOC}) GROUP BY run_id",
+)
+
+# Audits of the plan's output: no violations.
+_NONE = "SELECT cast(NULL AS bigint) AS run_id WHERE false"
+
+
+def _audit(name: str, fn: Callable) -> None:
+    def query(s: SparkSession, d: str) -> DataFrame:
+        lines, runs = event_lines(s, d), event_runs(s, d)
+        done = K.staged(lines, runs, CFG)
+        return fn(lines, runs, done).select("run_id")
+
+    _add(name, query, _NONE)
+
+
+_audit("audit_failures_survive", lambda lines, runs, x: A.failures_survive(lines, K.kept_lines(x, CFG)))
+_audit("audit_block_gaps", lambda lines, runs, x: A.block_gaps(lines, K.kept_lines(x, CFG)))
+_audit("audit_never_grows", lambda lines, runs, x: A.never_grows(K.run_stats(x)))
+_audit("audit_no_escapes", lambda lines, runs, x: A.no_escapes(x.where("NOT use_raw AND dropped_by IS NULL").select("run_id", F.col("pos").alias("out_no"), "text")))
+_audit("audit_multiset", lambda lines, runs, x: A.multiset(lines.where(L.is_failure(F.col("text"))), K.kept_lines(x, CFG), r"^\s*[-+]|Error"))
+_audit("audit_savings_floor", lambda lines, runs, x: A.savings_floor(K.run_stats(x), runs.select("run_id", F.lit(0.0).alias("min_saving"))))
+_audit("audit_must_keep", lambda lines, runs, x: A.must_keep(K.kept_lines(x, CFG), lines.where("text LIKE 'Error: event%'").select("run_id", F.col("text").alias("needle"))))
+_audit("audit_queries_complete", lambda lines, runs, x: A.queries_complete(lines.where(~F.col("text").rlike("[\\x1b\\r]|^\\s*\\z|MB / ")), K.kept_lines(x, Config(footer=False)), runs.withColumn("kind", F.when(C.is_query_command(F.col("argv")), "query"))))
+_add("audit_block_equality", lambda s, d: A.block_equality(event_lines(s, d), event_lines(s, d).select("run_id", F.col("line_no").alias("out_no"), "text", F.lit(False).alias("is_marker"))), "SELECT cast(NULL AS bigint) AS run_id, cast(NULL AS bigint) AS block_no, cast(NULL AS varchar) AS expected, cast(NULL AS varchar) AS got WHERE false")
+
+
+def _diff(s: SparkSession, d: str) -> DataFrame:
+    lines = event_lines(s, d).withColumnRenamed("line_no", "out_no")
+    return A.diff_outputs(lines, lines.withColumn("text", F.when(F.col("out_no") % 10 == 0, F.upper("text")).otherwise(F.col("text"))))
+
+
+_add("diff_outputs", _diff, f"SELECT run_id, line_no AS out_no, text AS expected, upper(text) AS got FROM ({EVT}) WHERE line_no % 10 = 0 AND text <> upper(text)")
+
+# The ledger.
+_add("entry_saved", lambda s, d: _read(s, d, "events").select("event_id", G.entry_saved(F.round(F.abs("value") * 100).cast("long"), F.col("event_id")).alias("saved")), "SELECT event_id, greatest(0, cast(round(abs(value) * 100) as bigint) - event_id) AS saved FROM events")
+_add(
+    "ledger_totals", lambda s, d: G.ledger_totals(ledger(s, d)).drop("pct"),
+    f"""SELECT *, runs - filtered_runs AS passed_through, greatest(0, raw_bytes - out_bytes) AS saved, raw_bytes // 4 AS tokens_raw_bytes, out_bytes // 4 AS tokens_out_bytes, greatest(0, raw_bytes - out_bytes) // 4 AS tokens_saved
+    FROM (SELECT count(*) AS runs, count(*) FILTER (filtered) AS filtered_runs, cast(sum(raw_bytes) as bigint) AS raw_bytes, cast(sum(out_bytes) as bigint) AS out_bytes FROM ({LEDGER}))""",
+)
+_GROUPED = f"""SELECT command_key, count(*) AS runs, cast(sum(raw_bytes) as bigint) AS raw_bytes, cast(sum(out_bytes) as bigint) AS out_bytes, greatest(0, cast(sum(raw_bytes) - sum(out_bytes) as bigint)) AS saved
+ FROM (SELECT {_KEY} AS command_key, raw_bytes, out_bytes FROM ({_KEYED.format(LEDGER)})) GROUP BY command_key"""
+_add("savings_by_command", lambda s, d: G.savings_by_command(ledger(s, d)).drop("pct"), _GROUPED)
+_add("top_commands", lambda s, d: G.top_commands(ledger(s, d), 10).drop("pct"), f"{_GROUPED} ORDER BY saved DESC, command_key LIMIT 10")
+_add("report", lambda s, d: G.report(ledger(s, d), 10))
+_since = lambda d: G.parse_since("36h", datetime(2024, 1, 10))
+_add("ledger_since", lambda s, d: ledger(s, d).where(F.col("time") >= F.lit(_since(d))).agg(F.count("*").alias("runs"), F.sum("raw_bytes").alias("raw_bytes")), f"SELECT count(*) AS runs, cast(sum(raw_bytes) as bigint) AS raw_bytes FROM ({LEDGER}) WHERE time >= TIMESTAMP '2024-01-08 12:00:00'")
+_add(
+    "savings_by_day", lambda s, d: stream_savings(ledger(s, d)).withColumn("day", F.date_format("start", "yyyy-MM-dd")).drop("start"),
+    f"SELECT strftime(time, '%Y-%m-%d') AS day, count(*) AS runs, cast(sum(raw_bytes) as bigint) AS raw_bytes, cast(sum(out_bytes) as bigint) AS out_bytes, greatest(0, cast(sum(raw_bytes) - sum(out_bytes) as bigint)) AS saved FROM ({LEDGER}) GROUP BY 1",
+)
+
+
+# Sources.
+def _chunks(s: SparkSession, d: str) -> DataFrame:
+    """Conversations as byte chunks: a turn is cut in three anywhere, even inside a character."""
+    raw = F.concat(F.col("text").cast("binary"), F.lit("\n").cast("binary"))
+    n = F.octet_length("text") + 1
+    cut = F.array(*[F.substring(raw, a, b) for a, b in ((F.lit(1), (n / 3).cast("int")), ((n / 3).cast("int") + 1, (n / 3).cast("int")), ((n / 3).cast("int") * 2 + 1, n))])
+    rows = _read(s, d, "conversations").select(F.col("conv_id").alias("run_id"), "turn", F.posexplode(cut).alias("i", "data"))
+    return rows.select("run_id", (F.col("turn") * 3 + F.col("i")).cast("long").alias("seq"), "data")
+
+
+_add(
+    "reassemble_lines", lambda s, d: T.reassemble_lines(_chunks(s, d)),
+    "SELECT conv_id AS run_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS line_no, text FROM (SELECT conv_id, turn, unnest(range(len(x))) AS i, unnest(x) AS text FROM (SELECT *, string_split(text, chr(10)) AS x FROM conversations))",
+)
