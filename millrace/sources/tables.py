@@ -50,8 +50,9 @@ def reassemble_lines(chunks: DataFrame) -> DataFrame:
 
 def read_ledger(spark: SparkSession, path: str, since: datetime | None = None) -> DataFrame:
     """JSON lines; blank and malformed ones are skipped, and entries before ``since``, or without a time then."""
-    df = spark.read.schema(LEDGER + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    df = df.where("_corrupt_record IS NULL").drop("_corrupt_record")
+    rows = spark.read.text(path).where("trim(value) <> ''")
+    parsed = F.from_json("value", LEDGER + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    df = rows.select(parsed.alias("x")).where("x._corrupt_record IS NULL").select("x.*").drop("_corrupt_record")
     return df.where(F.col("time") >= F.lit(since)) if since is not None else df
 
 
