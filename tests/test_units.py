@@ -93,9 +93,10 @@ def test_sinks_and_stream_equal_batch(spark, tmp_path):
     T.append_ledger(stats, runs, str(tmp_path / "ledger"), datetime(2024, 1, 1))
     assert spark.read.parquet(str(tmp_path / "raw")).count() == 200
     assert spark.read.parquet(str(tmp_path / "ledger")).first().command == "make"
-    (tmp_path / "a.log").write_text("12345")
-    assert tuple(T.prune_archive(spark, str(tmp_path), 1, datetime.now() + timedelta(days=2)).first()) == (1, 5)
-    assert T.prune_archive(spark, str(tmp_path), 0, datetime.now() + timedelta(days=2)).first().files == 0
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text("12345")
+    assert tuple(T.prune_archive(spark, str(tmp_path / "logs"), 1, datetime.now() + timedelta(days=2)).first()) == (1, 5)
+    assert T.prune_archive(spark, str(tmp_path / "logs"), 0, datetime.now() + timedelta(days=2)).first().files == 0
 
     got = []
     for k, part in enumerate((range(0, 90), range(90, 200))):
