@@ -13,8 +13,11 @@ at most k elements (a bound that follows from the sizes). Signatures of an insta
 
 Equal sets are one class from the start. In each bucket of a signature the smallest class is compared with
 the others (a star, not all pairs); classes that are joined by then need no more comparisons, so a bucket of
-near copies costs its size. Buckets that still hold several components after ``STARS`` rounds are finished
-by an exact join of the classes of different components. Sets are fetched for the candidates only.
+near copies costs its size. Classes of buckets that still hold several components after ``STARS`` rounds,
+mostly unrelated texts that share a passage, are split once more, by ``BANDS`` bands of three MinHash values
+of the whole set (a pair at the threshold shares none with a chance of 2e-11), and joined by ``BAND_STARS``
+rounds of stars; only what then shares a band and not a component is compared pair by pair. Sets are fetched
+for the candidates only.
 """
 
 from __future__ import annotations
@@ -35,7 +38,8 @@ from .components import components
 from .words import Words, mixed, portions, shingles
 
 NUMERATOR, DENOMINATOR = 3, 4  # Jaccard threshold 0.75
-SMALL, EQUAL, STARS = 26, 20.0, 3
+SMALL, EQUAL, STARS = 26, 20.0, 1
+BANDS, ROWS, BAND_STARS = 45, 3, 3
 #: Bits of the filter of candidate documents that is sent to tasks: 1 MiB, whatever the input.
 FILTER_BITS = 1 << 23
 
@@ -135,8 +139,8 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                     if len(seen) < 1_000_000:  # memory of a task; what it misses is met again below
                         seen.add(key)
                     out.append((i, len(s), key, signatures(s).view(np.int64)))
-                frame = pd.DataFrame(out, columns=["id", "n", "key", "signs"])
-                yield frame.astype({"id": "Int64", "key": "Int64"})
+                i, n, key, signs = zip(*out, strict=True)
+                yield pd.DataFrame({"id": pd.array(i, "Int64"), "n": n, "key": pd.array(key, "Int64"), "signs": signs})
 
     return stored(_texts(docs).mapInPandas(run, "id long, n long, key long, signs array<long>"))
 
@@ -190,6 +194,30 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
+def bands(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (key, n, root) once for each band of MinHash values of their sets, as ``bucket``."""
+    odd = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    seed = mixed(odd)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for s in pdf["s"]:
+                x = np.frombuffer(s, np.uint64)
+                least = np.array([((x ^ b) * a).min() for a, b in zip(odd, seed, strict=True)], np.uint64).reshape(BANDS, ROWS)
+                sign = np.arange(BANDS, dtype=np.uint64)
+                for r in range(ROWS):
+                    sign = mixed(sign * np.uint64(0x9E3779B97F4A7C15) + least[:, r])
+                out.append(sign.view(np.int64))
+            yield pd.DataFrame({"key": pdf["key"], "n": pdf["n"], "root": pdf["root"], "bands": out})
+
+    found = sets.join(wanted, "key").select("key", "n", "root", "s").mapInPandas(run, "key long, n long, root long, bands array<long>")
+    found = stored(found.select(F.explode("bands").alias("bucket"), "key", "n", "root"))
+    # A band whose classes are all of one component has nothing to compare.
+    several = found.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    return stored(found.join(several, "bucket", "left_semi").select("bucket", "key", "n", "root"))
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -208,18 +236,22 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
     links = spark.createDataFrame([], "a long, b long")
     near = F.expr(f"least(n, m) * {DENOMINATOR} >= greatest(n, m) * {NUMERATOR}")
-    rows, done, fetched = met.select("sign", "key", "n"), None, None
-    roots = spark.createDataFrame([], "node long, root long")
-    for step in range(STARS + 1):
+    rows = met.select(F.col("sign").alias("bucket"), "key", "n", F.col("key").alias("root"))
+    roots, done, fetched = spark.createDataFrame([], "node long, root long"), None, None
+    for step in range(STARS + BAND_STARS + 1):
         if not rows.take(1):
             break
-        if step < STARS:
-            leads = rows.groupBy("sign").agg(F.min_by("n", "key").alias("m"), F.min("key").alias("lead"))
-            pairs = rows.join(leads, "sign").where("key > lead").where(near).select(F.col("lead").alias("a"), F.col("key").alias("b"))
-        else:  # the rest: classes of different components that share a bucket
-            other = rows.select("sign", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-            pairs = rows.join(other, "sign").where("key < b AND root <> other").where(near).select(F.col("key").alias("a"), "b")
-        pairs = pairs.distinct()
+        if step == STARS and fetched is not None:  # what is left is split by bands of the whole sets
+            rows = bands(fetched, rows.select("key", "n", "root").distinct())
+        if step < STARS + BAND_STARS:
+            # The lead of a bucket: its smallest class at first, then one that differs from bucket to bucket.
+            by = F.col("key") if step < STARS else F.xxhash64("key", "bucket")
+            lead = F.min_by(F.struct(F.col("key").alias("lead"), F.col("n").alias("m"), F.col("root").alias("other")), by)
+            leads = rows.groupBy("bucket").agg(lead.alias("x")).select("bucket", "x.*")
+        else:  # the few classes of different components that still share a band
+            leads = rows.select("bucket", F.col("key").alias("lead"), F.col("n").alias("m"), F.col("root").alias("other"))
+        pairs = rows.join(leads, "bucket").where("key <> lead AND root <> other").where(near)
+        pairs = pairs.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stored(pairs)
@@ -230,13 +262,13 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
                 fetched = stored(sets_of(docs, ids))
             links = links.unionByName(stored(similar(pairs, fetched)))
             roots = stored(components(links))
-        if step == STARS:
+        if step == STARS + BAND_STARS:
             break
         # Buckets go on without their leads while they hold several components.
-        rows = rows.drop("root").join(leads.select("sign", "lead"), "sign").where("key > lead").drop("lead")
+        rows = rows.drop("root").join(leads.select("bucket", "lead"), "bucket").where("key <> lead").drop("lead")
         rows = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        several = rows.groupBy("sign").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sign")
-        rows = stored(rows.join(several, "sign", "left_semi").select("sign", "key", "n", "root"))
+        several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+        rows = stored(rows.join(several, "bucket", "left_semi").select("bucket", "key", "n", "root"))
     known = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     known = stored(known)
     least = known.groupBy("root").agg(F.min("id").alias("component_id"))
