@@ -52,4 +52,4 @@ def test_compaction_loses_no_failure_and_never_grows(spark):
 def test_entry_runs(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).columns[0] == "run_id"
+    assert __spark_entry__.entry(spark).columns[0] == "command_key"
