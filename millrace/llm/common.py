@@ -26,6 +26,29 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def one_each(docs: DataFrame, keys: dict[str, Column], winners: DataFrame, share: int = 1000) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose ``keys`` (never null) are those of a row of ``winners``.
+
+    winners: the keys, each once, ``copies`` (how many rows of docs have them) and ``every``: whether all of
+    these rows stay or only one, the smallest. Keys with at least 1/share of the rows are sent to the tasks
+    (hence at most ``share`` of them) and never dealt by key.
+    """
+    names = list(keys)
+    rows = docs.select(F.struct("*").alias("row"), *(c.alias(k) for k, c in keys.items()))
+    bound = max(2.0, docs.count() / share)
+    hot = winners.where(F.col("copies") >= bound)
+    if hot.take(1):
+        few = F.broadcast(hot)
+        cold = rows.join(few.select(*names), names, "left_anti").join(winners.where(F.col("copies") < bound), names)
+        both = cold.unionByName(rows.join(few, names))
+    else:
+        both = rows.join(winners, names)
+    simple = both.where("every OR copies = 1").select("row.*")
+    if not winners.where("copies > 1 AND NOT every").take(1):
+        return simple
+    return simple.unionByName(both.where("copies > 1 AND NOT every").groupBy(*names).agg(F.min("row").alias("row")).select("row.*"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -82,6 +82,22 @@ class Block:
         return out
 
 
+def blocks(items: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The items and their shingles, in blocks of bounded size."""
+    block: list = []
+    size = 0
+    for item in items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").orderBy("item_id").toLocalIterator():
+        s = np.unique(shingles(Words([item.text]).hash))
+        if len(s):
+            block.append((item.item_id, s))
+            size += len(s)
+        if len(block) >= BLOCK or size >= MAX_SHINGLES:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs doc_id, item_id, n_shared, n_item, containment: items whose share of distinct five-word
     shingles in the document is at least ``threshold``.
@@ -94,8 +110,6 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
     schema = "doc_id long, item_id long, n_shared long, n_item long, containment double"
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("t"))
     out = spark.createDataFrame([], schema)
-    block: list = []
-    size = 0
 
     def probe(batch: list) -> DataFrame:
         sent = spark.sparkContext.broadcast(Block(batch, threshold))
@@ -112,20 +126,32 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
 
         return rows.mapInPandas(run, schema)
 
-    for item in items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").orderBy("item_id").toLocalIterator():
-        s = np.unique(shingles(Words([item.text]).hash))
-        if len(s):
-            block.append((item.item_id, s))
-            size += len(s)
-        if len(block) >= BLOCK or size >= MAX_SHINGLES:
-            out, block, size = out.unionByName(probe(block)), [], 0
-    return out.unionByName(probe(block)) if block else out
+    for batch in blocks(items):
+        out = out.unionByName(probe(batch))
+    return out
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no item (for pipelines)."""
-    hit = contained(docs, items).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]), "left_anti")
+    """The documents that hold no item, with their columns (for pipelines): every row by its own text, no shuffle."""
+    schema = docs.schema
+
+    def without(rows: DataFrame, batch: list) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(Block(batch, THRESHOLD))
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            index = sent.value
+            for part in batches:
+                texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+                stay = [not index.search(shingles(words)) for _, some in portions(texts) for words in Words(some)]
+                yield part.filter(pa.array(stay, pa.bool_()))
+
+        return rows.mapInArrow(run, schema)
+
+    for batch in blocks(items):
+        docs = without(docs, batch)
+    return docs
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,10 @@ Digests below that share hold few rows and are combined in one step, so the text
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import one_each, stored, table
 
 #: A digest with at least 1/HOT_SHARE of the rows is hot, hence there are at most HOT_SHARE of them.
 HOT_SHARE = 1000
@@ -27,22 +27,19 @@ RANK, NONE = "100000000000000000000", "10000000000000000000"
 _dec = lambda x: F.lit(x).cast("decimal(38,0)")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Null text counts as empty. Of equal texts the row with the most code points stays, then the smallest
-    id; a null id loses ties. Rows repeated with the same id and text count in group_size, are all
-    returned, and only one of them has kept = true. An empty table gives an empty result. Other columns
-    are ignored.
-    """
+def _marks(id_col: str, text_col: str) -> dict[str, Column]:
     text = F.coalesce(F.col(text_col), F.lit(""))
     norm = F.translate(text, SPACES, "")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"), norm.alias("norm"))
+    return {
+        "id": F.col(id_col).cast("long"), "norm": norm, "len": F.char_length(text), "sha": F.unhex(F.sha2(norm.cast("binary"), 256)),
+        "xx": F.xxhash64(norm), "nlen": F.octet_length(norm),
+    }
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
+    """One row per id, length and text: these, copies, n (rows of its group), keep_id and best (id and length of the row that stays)."""
+    base = docs.select(*(c.alias(k) for k, c in _marks(id_col, text_col).items()))
     keys = ["sha", "xx", "nlen"]
-    base = base.select(
-        "id", "norm", F.char_length("t").alias("len"), F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"),
-        F.xxhash64("norm").alias("xx"), F.octet_length("norm").alias("nlen"),
-    )
     ids = stored(base.groupBy("id", "len", *keys).agg(F.count("*").alias("copies")))
     total = ids.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     hot = stored(ids.groupBy(*keys).agg(F.sum("copies").alias("n")).where(F.col("n") >= max(2, total / HOT_SHARE)).select(*keys))
@@ -68,20 +65,36 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     back = _dec(NONE) - F.pmod(F.col("key") + _dec(NONE), _dec(RANK))
     keep = F.when(back != _dec(NONE), back.cast("long"))
     best = F.floor(((F.col("key") + _dec(NONE)) - F.pmod(F.col("key") + _dec(NONE), _dec(RANK))) / _dec(RANK)).cast("long")
-    out = out.withColumn("keep_id", keep).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.withColumn("keep_id", keep).withColumn("best", best)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Null text counts as empty. Of equal texts the row with the most code points stays, then the smallest
+    id; a null id loses ties. Rows repeated with the same id and text count in group_size, are all
+    returned, and only one of them has kept = true. An empty table gives an empty result. Other columns
+    are ignored.
+    """
+    out = _decided(docs, id_col, text_col, salts).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(
         F.col("id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"),
-        (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("len") == best) & (F.col("copy") == 1)).alias("kept"),
+        (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("len") == F.col("best")) & (F.col("copy") == 1)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns (for pipelines)."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"))
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    repeated = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    return out.dropDuplicates(["doc_id"]) if repeated.take(1) else out
+    """The rows of ``docs`` that stay, with their columns (for pipelines): one of each group of equal texts.
+
+    Rows are told apart by id and text, so rows that share an id each have their own verdict.
+    """
+    marks = _marks("doc_id", "text")
+    won = _decided(docs, "doc_id", "text", 32).where(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("len") == F.col("best")))
+    known = lambda id: {"id0": F.coalesce(id, F.lit(0).cast("long")), "none": id.isNull()}
+    same = ["len", "sha", "xx", "nlen"]
+    winners = stored(won.select(*(c.alias(k) for k, c in known(F.col("id")).items()), *same, "copies", F.lit(False).alias("every")))
+    return one_each(docs, known(marks["id"]) | {k: marks[k] for k in same}, winners)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import stored, table
+from .common import one_each, stored, table
 from .components import components
 from .words import Words, mixed, portions, shingles
 
@@ -115,11 +115,12 @@ def set_key(s: np.ndarray) -> int:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("t"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", text).alias("u"), text.alias("t"))
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """id, n, key and, once for each key in a task, signatures."""
+    """id, u (hash of id and text), n, key and, once for each key in a task, signatures."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -127,27 +128,28 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             ids = pdf["id"].astype("Int64")
             for first, part in portions(pdf["t"]):
                 out = []
-                for i, words in zip(ids.iloc[first : first + len(part)], Words(part), strict=True):
+                own = slice(first, first + len(part))
+                for i, u, words in zip(ids.iloc[own], pdf["u"].iloc[own], Words(part), strict=True):
                     s = np.unique(shingles(words))
                     if not len(s):
-                        out.append((i, 0, None, None))
+                        out.append((i, u, 0, None, None))
                         continue
                     key = set_key(s)
                     if key in seen:
-                        out.append((i, len(s), key, None))
+                        out.append((i, u, len(s), key, None))
                         continue
                     if len(seen) < 1_000_000:  # memory of a task; what it misses is met again below
                         seen.add(key)
-                    out.append((i, len(s), key, signatures(s).view(np.int64)))
-                i, n, key, signs = zip(*out, strict=True)
-                yield pd.DataFrame({"id": pd.array(i, "Int64"), "n": n, "key": pd.array(key, "Int64"), "signs": signs})
+                    out.append((i, u, len(s), key, signatures(s).view(np.int64)))
+                i, u, n, key, signs = zip(*out, strict=True)
+                yield pd.DataFrame({"id": pd.array(i, "Int64"), "u": u, "n": n, "key": pd.array(key, "Int64"), "signs": signs})
 
-    return stored(_texts(docs).mapInPandas(run, "id long, n long, key long, signs array<long>"))
+    return stored(_texts(docs).mapInPandas(run, "id long, u long, n long, key long, signs array<long>"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, set: the shingles of the documents whose ids are in ``wanted`` (and of few others)."""
-    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    """key, set: the shingles of the documents whose ``u`` is in ``wanted`` (and of few others)."""
+    place = F.pmod("u", F.lit(FILTER_BITS))
     bits = wanted.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b"))
     bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()  # at most 257 rows of 4 KiB
     mask = np.zeros(FILTER_BITS + 32768, np.bool_)
@@ -167,7 +169,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         out.append((set_key(s), s.tobytes()))
                 yield pd.DataFrame(out, columns=["key", "s"])
 
-    found = _texts(docs).where("id IS NOT NULL").withColumn("p", place + 0).mapInPandas(run, "key long, s binary")
+    found = _texts(docs).withColumn("p", place + 0).mapInPandas(run, "key long, s binary")
     return found.groupBy("key").agg(F.any_value("s").alias("s"))
 
 
@@ -218,17 +220,11 @@ def bands(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return stored(found.join(several, "bucket", "left_semi").select("bucket", "key", "n", "root"))
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
-
-    Documents without words have no shingles and are their own component, as are null texts. Texts of one
-    to four words have one shingle, all their words. A null id is carried through and never names a
-    component. Rows repeated with one id count once for links and are all returned. An empty table gives an
-    empty result. Other columns are ignored.
-    """
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``shingle_sets`` of the rows, and key, id (the smallest), root (smallest key of the component) of each set."""
     spark = docs.sparkSession
     sets = shingle_sets(docs)
-    classes = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    classes = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.min("u").alias("u"))
     sign = sets.where("signs IS NOT NULL").select("key", "n", F.explode("signs").alias("sign"))
     bucket = Window.partitionBy("sign")
     met = sign.withColumn("lead", F.min("key").over(bucket)).withColumn("last", F.max("key").over(bucket)).where("lead < last")
@@ -258,8 +254,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         if pairs.take(1):
             done = pairs if done is None else done.unionByName(pairs)
             if fetched is None:
-                ids = met.select("key").distinct().join(classes, "key").select("id")
-                fetched = stored(sets_of(docs, ids))
+                fetched = stored(sets_of(docs, met.select("key").distinct().join(classes, "key").select("u")))
             links = links.unionByName(stored(similar(pairs, fetched)))
             roots = stored(components(links))
         if step == STARS + BAND_STARS:
@@ -270,7 +265,18 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
         rows = stored(rows.join(several, "bucket", "left_semi").select("bucket", "key", "n", "root"))
     known = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
-    known = stored(known)
+    return sets, stored(known)
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id.
+
+    Documents without words have no shingles and are their own component, as are null texts. Texts of one
+    to four words have one shingle, all their words. A null id is carried through and never names a
+    component. Rows repeated with one id count once for links and are all returned. An empty table gives an
+    empty result. Other columns are ignored.
+    """
+    sets, known = linked(docs)
     least = known.groupBy("root").agg(F.min("id").alias("component_id"))
     named = known.join(least, "root").select("key", "component_id")
     out = sets.select("id", "n", "key").join(named, "key", "left")
@@ -278,9 +284,20 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that name their component (for pipelines): one of each group."""
-    keep = jaccard_join(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
+    """One row of each component, with its columns (for pipelines): the smallest id, a null id last.
+
+    Rows are told apart by id and text, so rows that share an id each have their own verdict. Documents
+    without words all stay.
+    """
+    sets, known = linked(docs)
+    same = {"none": F.col("id").isNull(), "id0": F.coalesce("id", F.lit(0).cast("long")), "u": F.col("u")}
+    rows = sets.groupBy(*(c.alias(k) for k, c in same.items()), "key").agg(F.count("*").alias("copies"))
+    own = rows.join(known.select("key", "root"), "key")
+    best = own.groupBy("root").agg(F.min(F.struct(*same, "copies")).alias("x")).select("x.*", F.lit(False).alias("every"))
+    bare = rows.where("key IS NULL").select(*same, "copies", F.lit(True).alias("every"))
+    id = F.col("doc_id").cast("long")
+    keys = {"none": id.isNull(), "id0": F.coalesce(id, F.lit(0).cast("long")), "u": F.xxhash64("doc_id", F.coalesce("text", F.lit("")))}
+    return one_each(docs, keys, stored(best.unionByName(bare)))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
