@@ -6,7 +6,9 @@ at most k elements (a bound that follows from the sizes). Signatures of an insta
 
 * k <= 2: every element is a part; all subsets left after removing at most k parts are signatures;
 * k <= SMALL: ceil((k + 1) / 3) parts, one of which has at most two differing elements; each part is cut into
-  six and every choice of four of them is a signature;
+  six cells and every choice of four of them that holds an element is a signature. A pair is left without one
+  only if each part has as many differing elements as it has occupied cells, up to three; so a set whose parts
+  have no more than k such cells in all is dealt again with another hash, until it has more (see ``dealt``);
 * larger k: n parts, each one signature. With n = k + 1 some part is equal; fewer, larger parts are used as
   soon as the expected number of equal parts, n * exp(-k / n), is at least ``EQUAL`` (a miss then has a chance
   below exp(-EQUAL) for a pair at the very threshold). Parts that are empty give no signature.
@@ -79,6 +81,28 @@ for _j, _c in enumerate(combinations(range(6), 4)):
     _FOUR[list(_c), _j] = 1
 
 
+def dealt(s: np.ndarray, spread: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """The choices of four cells of each part that hold an element, for one deal of the elements after the other.
+
+    If sets that differ in at most k elements share none in a deal, every part has three differing elements
+    or more, or two at most that lie in all its occupied cells. Then min(3, occupied cells), summed over the
+    parts, is at most k for both sets, and both go on to the next deal; it ends with the first whose sum is
+    larger, where a pair cannot be missed.
+    """
+    n, high, low = -(-(k + 1) // 3), s, spread >> np.uint64(8)
+    for deal in range(1, 1000):
+        at = ((high >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+        cell = (at * np.uint64(6) + low % np.uint64(6)).astype(np.int64)
+        sums, held = np.zeros(n * 6, np.uint64), np.bincount(cell, minlength=n * 6).reshape(n, 6)
+        np.add.at(sums, cell, spread)
+        number = np.arange(n * 15, dtype=np.uint64).reshape(n, 15) + np.uint64((deal - 1) << 32)
+        yield (sums.reshape(n, 6) @ _FOUR + number * np.uint64(0x9E3779B97F4A7C15))[(held @ _FOUR.astype(int)) > 0]
+        if np.minimum((held > 0).sum(1), 3).sum() > k:
+            return
+        high = mixed(spread + np.uint64(deal * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+        low = high & np.uint64(0xFFFFFFFF)
+
+
 def signatures(s: np.ndarray) -> np.ndarray:
     """s: sorted distinct hashes. All signatures of the set, in its own instance and the one below."""
     out, own = [], band(len(s))
@@ -94,13 +118,7 @@ def signatures(s: np.ndarray) -> np.ndarray:
                 found += [np.delete(spread, c).sum(dtype=np.uint64) for c in combinations(range(len(s)), d)]
             out.append(mixed(np.array(found, np.uint64) + salt))
         elif k <= SMALL:
-            n = -(-(k + 1) // 3)
-            at = ((s >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-            cell = (at * np.uint64(6) + (spread >> np.uint64(8)) % np.uint64(6)).astype(np.int64)
-            sums, held = np.zeros(n * 6, np.uint64), np.bincount(cell, minlength=n * 6).reshape(n, 6)
-            np.add.at(sums, cell, spread)
-            sign = sums.reshape(n, 6) @ _FOUR + np.arange(n * 15, dtype=np.uint64).reshape(n, 15) * np.uint64(0x9E3779B97F4A7C15)
-            out.append(mixed(sign[(held @ _FOUR.astype(int)) > 0] + salt))
+            out += [mixed(x + salt) for x in dealt(s, spread, k)]
         else:
             n = parts(k)
             at = (((s >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)  # ascending, as s is

@@ -74,6 +74,23 @@ def test_no_pair_is_missed_at_the_threshold():
             assert np.intersect1d(J.signatures(a), J.signatures(b)).size, (size, len(a), len(b))
 
 
+def test_no_pair_is_missed_when_elements_crowd_in_one_part():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for small, large in ((9, 12), (10, 13), (12, 16), (13, 17), (21, 28), (45, 60)):
+        for _ in range(200):
+            b = rng.integers(0, 1 << 58, large, dtype=np.uint64)  # all fall into the first part
+            assert np.intersect1d(J.signatures(np.sort(b[:small])), J.signatures(np.sort(b))).size, (small, large)
+
+
+def test_rows_without_id_link_others(spark):
+    words = [f"w{i}" for i in range(40)]
+    chain = [" ".join(words[i : i + 32]) for i in (0, 3, 6)]  # the ends are linked by the one between only
+    rows = J.jaccard_join(documents(spark, chain, [1, None, 2])).collect()
+    assert [r.component_id for r in rows] == [1, 1, 1]
+
+
 def test_odd_tables(spark):
     assert J.jaccard_join(documents(spark, [])).count() == 0
     rows = J.jaccard_join(documents(spark, ["a b", "a b", "A  b", None], [7, 7, None, None]).selectExpr("*", "1 as key", "2 as n")).collect()
