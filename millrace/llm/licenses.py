@@ -54,18 +54,20 @@ FAMILIES = {
     "ms-pl": ("(?:the )?(?:microsoft public|ms pl)", ()),
     "proprietary": ("(?:a |the )?(?:proprietary|commercial)", ()),
 }
-#: (priority, score, keyword, template); N is the name, V the version.
+_UNDER = "(?:licensed|released|distributed|published|available|provided) under "
+#: (priority, score, keyword, template); N is the name, V the version. Every match of a rule holds its keyword, a pattern.
 TEMPLATES = (
     (6, 0.98, "spdx", r"spdx licen[sc]e identifier N(?: V)?(?: only| or later)?"),
-    (5, 0.95, "licens", r"(?:licensed|released|distributed|published|available|provided) under (?:the terms of )?N(?: licen[sc]e)?(?: version)? V"),
-    (4, 0.9, "licens", r"(?:licensed|released|distributed|published|available|provided) under (?:the terms of )?N(?: licen[sc]e)?"),
+    (5, 0.95, _UNDER, _UNDER + r"(?:the terms of )?N(?: licen[sc]e)?(?: version)? V"),
+    (4, 0.9, _UNDER, _UNDER + r"(?:the terms of )?N(?: licen[sc]e)?"),
     (3, 0.85, "licen", r"N licen[sc]e(?: version)? V"),
     (2, 0.8, "licen", r"N licen[sc]e"),
     (1, 0.6, "licen", r"licen[sc]e (?:is |type )?N"),
 )
 #: Signatures that name no family.
 OTHERS = (
-    (1, 0.5, "all rights reserved", "copyright", r"copyright .{0,60}?all rights reserved"),
+    # However long the list of holders is, unless something that other rules find comes between.
+    (1, 0.5, "all rights reserved", "copyright", r"copyright (?:.{0,60}?|(?:(?!copyright |licen|permission is|redistribution and).)*?)all rights reserved"),
     (1, 0.4, "permission is hereby granted", "mit-text", r"permission is hereby granted free of charge to any person"),
     (1, 0.4, "redistribution and use", "bsd-text", r"redistribution and use in source and binary forms"),
 )
@@ -74,7 +76,15 @@ _WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _UPPER = {i: i + 32 for i in range(65, 91)}
 #: Whether a byte of lower-cased UTF-8 belongs to a word.
 _IN_WORD = np.array([48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122 or i >= 128 for i in range(256)])
-_ANY = re.compile(r"(?i)licen|spdx|all rights reserved|permission is hereby granted|redistribution and use")
+#: A lower-cased text without any of these, each within one word of a rule's keyword or of a phrase, has no detection ...
+_ANY = ("licen", "spdx", "reserved", "hereby", "redistribution")
+#: ... unless this is in it, where any ASCII characters may part the words.
+_APART = re.compile(_UNDER.rstrip().replace(" ", r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"))
+
+
+def _may_match(text: str) -> bool:
+    low = text.lower()
+    return any(k in low for k in _ANY) or ("under" in low and _APART.search(low) is not None)
 
 
 @lru_cache(maxsize=1)
@@ -102,7 +112,7 @@ def count_words(text: str) -> int:
 
 def scan(text: str) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, int, int, float]]]:
     """Number of words, base places (label, word), detections (label, first word, end word, priority, score)."""
-    if not _ANY.search(text):
+    if not _may_match(text):
         return count_words(text), [], []
     words = _WORDS.findall(text.translate(_UPPER))
     places = []
@@ -118,7 +128,7 @@ def scan(text: str) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, in
         at += len(w) + 1
     found = []
     for keyword, group in rules().items():
-        if keyword in line:
+        if re.search(keyword, line):
             for priority, score, label, regex in group:
                 found += [(priority, m.start(), m.end(), label, score) for m in regex.finditer(line)]
     found.sort(key=lambda x: (-x[0], x[1] - x[2], x[1], x[3]))

@@ -27,6 +27,27 @@ def test_rules_and_containment():
     assert [(x[0], x[3]) for x in found] == [("apache", 5), ("cc-by-nc", 5)]  # the weaker rules inside are suppressed
 
 
+def test_each_rule_alone_in_a_document():
+    plain = lambda x: re.sub(r"\(\?:([^()|]*)\|[^()]*\)", r"\1", re.sub(r"\(\?:[^()]*\)\?", "", x))
+    forms = ["SPDX-License-Identifier: {}", "Released under {}", "distributed\nunder the terms of {}", "{} licence", "licence type {}"]
+    for label, (name, versions) in L.FAMILIES.items():
+        for form in forms:
+            text = form.format(plain(name))
+            assert label in {x[0] for x in L.scan(text)[2]}, text
+        for v in versions:
+            for form in ("Available, under {} version {}", "{} licence v{}"):
+                text = form.format(plain(name), v)
+                assert label in {x[0] for x in L.scan(text)[2]}, text
+    for text, label in [
+        ("Distributed under the GNU GPL version 3", "gpl"), ("Released under Apache 2.0", "apache"),
+        ("distributed under the terms of the MIT licence", "mit"), ("Copyright A. All\nrights, reserved", "copyright"),
+        ("Copyright 2001 " + "Some Holder, " * 20 + "All rights reserved.", "copyright"),
+        ("Permission is\nhereby granted, free of charge, to any person", "mit-text"),
+        ("Redistribution and\tuse in source and binary forms", "bsd-text"),
+    ]:
+        assert label in {x[0] for x in L.scan(text)[2]}, text
+
+
 def test_query_columns(spark):
     docs = documents(spark, ["Under the MIT license.", None, "", "no such thing"])
     rows = {r.doc_id: r for r in L.digest(L.detect(docs)).collect()}
