@@ -82,7 +82,7 @@ class Index:
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=kinds))])
         self.wavelet, self.n = Wavelet(text[order - 1], kinds), len(text)
         self.lows, width = [documents[order]], 1
-        while 2 * width <= len(text) and width < 1 << 20:
+        while 2 * width <= len(text):
             last = self.lows[-1]
             self.lows.append(np.minimum(last[:-width], last[width:]))
             width *= 2

@@ -9,6 +9,10 @@ hash, so equal windows are owned alike wherever they stand, and every window of
 2. The owners that are left fetch their context, the units that their windows cover, and are dealt and
    sorted by gram; ``resolve`` decides for a stretch of whole grams which owned windows repeat.
 3. The covered intervals go back to their documents.
+
+Grams that hold a share of the rows are found in a sample of documents, which only says how they are dealt.
+They are never dealt or held by gram: their rows are salted, and each of their windows is compared by a
+128-bit digest, of which Spark's partial aggregation finds the first place, wherever its rows are.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ FILTER_BITS = 1 << 23
 #: Positions within a piece take so many bits beside the gram's hash; longer texts go in pieces.
 PLACE = np.uint64((1 << 24) - 1)
 LAST = 2**63 - 1
+#: Grams with at least HOT owners in a sample of about SAMPLE documents are hot; at most HOT_GRAMS, the most frequent.
+SAMPLE, HOT, HOT_GRAMS, SALTS = 5_000, 20, 20_000, 64
+#: A window with at least 1/SHARE of the rows is sent to the tasks that look it up (hence at most SHARE of them).
+SHARE = 1_000
 
 
 def owners(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,6 +100,12 @@ def repeated(
     """
     width = span - k + 1
 
+    rows = keyed(docs)
+    spark = docs.sparkSession
+    names = ("g", "u", "at", "low", "high", "hot")
+    schema = "g long, u long, at int, low short, high short, hot boolean"
+    hot = spark.sparkContext.broadcast(np.empty(0, np.int64))
+
     def list_owners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out, n = [], 0
@@ -99,18 +113,23 @@ def repeated(
                 g = grams(units(text))
                 at, low, high = owners(g, width)
                 if len(at):
-                    out.append((g[at].view(np.int64), np.full(len(at), u, np.int64), at, low, high))
+                    own = g[at].view(np.int64)
+                    out.append((own, np.full(len(at), u, np.int64), at, low, high, np.isin(own, hot.value)))
                     n += len(at)
                 if n > 200_000:
-                    yield pd.DataFrame(dict(zip(("g", "u", "at", "low", "high"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
                     out, n = [], 0
             if out:
-                yield pd.DataFrame(dict(zip(("g", "u", "at", "low", "high"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    rows = keyed(docs)
-    found = rows.select("u", "t").mapInPandas(list_owners, "g long, u long, at int, low short, high short")
-    twice = found.withColumn("n", F.count("*").over(Window.partitionBy("g"))).where("n > 1").drop("n")
-    left = twice.groupBy("u").agg(F.collect_list(F.struct("at", "low", "high", "g")).alias("own"))
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    some = rows.where(F.pmod(F.xxhash64("u"), F.lit(max(1, docs.count() // SAMPLE))) == 0).select("u", "t")
+    often = some.mapInPandas(list_owners, schema).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
+    often = [r.g for r in often.orderBy(F.desc("n"), "g").limit(HOT_GRAMS).collect()]
+    hot = spark.sparkContext.broadcast(np.array(often, np.int64))
+    found = rows.select("u", "t").mapInPandas(list_owners, schema)
+    found = found.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("u", "at"), F.lit(SALTS))).otherwise(F.lit(0)))
+    twice = found.withColumn("n", F.count("*").over(Window.partitionBy("g", "salt"))).where("n > 1 OR hot").drop("n", "salt")
+    left = twice.groupBy("u").agg(F.collect_list(F.struct("at", "low", "high", "g", "hot")).alias("own"))
     left = stored(left.join(meta.where("NOT first").select("u"), "u", "left_anti"))
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,7 +146,9 @@ def repeated(
                     out = []
             yield pd.DataFrame(out, columns=["g", "ctx", "id", "u", "at", "low", "high"])
 
-    have = _some(rows.withColumn("id", F.coalesce("id", F.lit(LAST))), left).join(left, "u").select("id", "u", "t", "own")
+    rows = rows.withColumn("id", F.coalesce("id", F.lit(LAST)))
+    cool = left.withColumn("own", F.filter("own", lambda r: ~r["hot"])).where(F.size("own") > 0) if often else left
+    have = _some(rows, cool).join(cool, "u").select("id", "u", "t", "own")
     schema = "g long, ctx binary, id long, u long, at int, low short, high short"
     dealt = have.mapInPandas(contexts, schema).withColumn("h", F.xxhash64("ctx"))
     dealt = dealt.repartition("g").sortWithinPartitions("g", "h", "low", "high", "id", "u", "at")
@@ -168,10 +189,39 @@ def repeated(
         some = pd.DataFrame({"u": u[who[low_]], "s": begin[low_], "e": begin[high_] + span}) if len(who) else whole.iloc[:0]
         return pd.concat([whole, some], ignore_index=True)
 
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, u, text, own in zip(pdf["id"], pdf["u"], pdf["t"], pdf["own"], strict=True):
+                x = units(text)
+                for r in own:
+                    for s in range(r["at"] - r["high"], r["at"] - r["low"] + 1):
+                        out.append((hashlib.blake2b(x[s : s + span].tobytes(), digest_size=16).digest(), i, u, s))
+                if len(out) > 50_000:
+                    yield pd.DataFrame(out, columns=["w", "id", "u", "s"])
+                    out = []
+            yield pd.DataFrame(out, columns=["w", "id", "u", "s"])
+
     got = dealt.mapInPandas(decide, "u long, s long, e long")
+    if often:
+        warm = left.withColumn("own", F.filter("own", lambda r: r["hot"])).where(F.size("own") > 0)
+        have = _some(rows, warm).join(warm, "u").select("id", "u", "t", "own")
+        got = got.unionByName(_later(stored(have.mapInPandas(digests, "w binary, id long, u long, s long")), span, other))
     return stored(got.groupBy("u").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
 
 
+def _later(windows: DataFrame, span: int, other: bool) -> DataFrame:
+    """u, s, e of the windows (w, id, u, s) whose digest w stands earlier, or with ``other`` in a smaller id."""
+    place = F.struct("id", "u", "s")
+    first = stored(windows.groupBy("w").agg(F.min(place).alias("lead"), F.count("*").alias("n")).where("n > 1"))
+    later = F.col("id") > F.col("lead.id") if other else place > F.col("lead")
+    bound = max(2.0, windows.count() / SHARE)
+    few = F.broadcast(first.where(F.col("n") >= bound))
+    cold = windows.join(few.select("w"), "w", "left_anti").join(first.where(F.col("n") < bound), "w")
+    hits = cold.unionByName(windows.join(few, "w")).where(later)
+    return hits.select("u", "s", (F.col("s") + span).alias("e"))
+
+
 def finish(docs: DataFrame, meta: DataFrame, covered: DataFrame, units: Callable, keep: Callable, span: int) -> DataFrame:
     """id, n, n_removed, n_spans, sha for every row; keep(units, kept intervals) gives the bytes to digest."""
 

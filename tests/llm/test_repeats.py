@@ -59,6 +59,41 @@ def test_words_by_brute_force(spark):
         assert tuple(got[i])[1:] == (len(seqs[i]), sum(gone), hashlib.sha256(kept.encode()).hexdigest()), i
 
 
+def test_no_task_holds_a_hot_gram(spark, monkeypatch):
+    """A passage that all documents share, between words of their own, is decided without a frame of its gram."""
+    shared = [f"s{i}" for i in range(40)]
+    texts = [" ".join([f"a{i}x{j}" for j in range(20)] + shared + [f"b{i}x{j}" for j in range(20)]) for i in range(60)]
+    for op, span, seqs in ((suffix_dedup, 100, [t.encode() for t in texts]), (fm_dedup, 13, [tuple(t.split()) for t in texts])):
+        seen = spark.sparkContext.accumulator(0)
+
+        def resolve(f, own=op.resolve, seen=seen):
+            seen.add(int((f["g"].value_counts() >= 20).sum()))
+            return own(f)
+
+        with monkeypatch.context() as m:
+            m.setattr(op, "resolve", resolve)
+            got = {r.doc_id: r.n_removed for r in op.dedup(documents(spark, texts)).collect()}
+        assert got == {i: sum(gone) for i, gone in enumerate(brute(seqs, span, op is fm_dedup))}
+        assert seen.value == 0
+
+
+def test_smallest_of_a_long_interval():
+    import numpy as np
+
+    n = (1 << 21) + 1000
+    text = np.ones(n, np.int64)
+    text[-1] = 0
+    order = np.arange(n)
+    documents_ = np.full(n, 7, np.int32)
+    documents_[n // 2] = 3
+    original, fm_dedup.suffix_array = fm_dedup.suffix_array, lambda text, reach: order
+    try:
+        index = fm_dedup.Index(text, documents_, 2)
+    finally:
+        fm_dedup.suffix_array = original
+    assert index.smallest(np.array([0]), np.array([n]))[0] == 3
+
+
 def test_odd_tables(spark):
     long = " ".join(f"w{i}" for i in range(40))
     for op in (suffix_dedup.dedup, fm_dedup.dedup):
