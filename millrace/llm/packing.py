@@ -159,6 +159,28 @@ def first_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[n
     return basis, use
 
 
+def inverted(basis: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan steps, each one outer product.
+
+    Nothing here goes through threaded linear algebra: it may hang in a driver that has forked.
+    """
+    m = len(basis)
+    a = np.hstack([basis.astype(float), np.eye(m)])
+    for i in range(m):
+        p = i + int(np.abs(a[i:, i]).argmax())
+        a[[i, p]] = a[[p, i]]
+        a[i] /= a[i, i]
+        factor = a[:, i].copy()
+        factor[i] = 0
+        held = np.flatnonzero(factor)
+        a[held] -= np.multiply.outer(factor[held], a[i])
+    return a[:, m:].copy()
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(axis=1)
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns of counts by size) and how often each is used, by revised simplex.
 
@@ -166,17 +188,17 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
     """
     m = len(sizes)
     basis, use = first_basis(sizes, demand, capacity)
-    inverse = np.linalg.inv(basis)
-    least = float(sizes @ demand) / capacity
+    inverse = inverted(basis)
+    least = float((sizes * demand).sum()) / capacity
     for step in range(1, 40 * m + 100):
         if step % 256 == 0:
-            inverse = np.linalg.inv(basis)
-            use = inverse @ demand
+            inverse = inverted(basis)
+            use = _times(inverse, demand)
         prices = inverse.sum(axis=0)
         worth, column = knapsack(prices, sizes, capacity)
         if max(use.sum() / worth, least) * (1 + gap) >= use.sum():  # both bound the optimum from below
             break
-        direction = inverse @ column
+        direction = _times(inverse, column)
         able = direction > 1e-9
         out = int(np.flatnonzero(able)[np.argmin(use[able] / direction[able])])
         ratio = use[out] / direction[out]
@@ -184,7 +206,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
         use[out] = ratio
         basis[:, out] = column
         row = inverse[out] / direction[out]
-        inverse -= np.outer(direction, row)
+        inverse -= np.multiply.outer(direction, row)
         inverse[out] = row
     return basis.astype(int), use
 
@@ -199,7 +221,7 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY, grid: int = GRID) ->
     places, used, sequence = [], dict.fromkeys(kinds, 0), 0
     for p in range(len(kinds)):
         column = patterns[:, p]
-        if int(column @ np.array(kinds)) < capacity // grid * FILLED:
+        if int((column * np.array(kinds)).sum()) < capacity // grid * FILLED:
             continue
         times = int(use[p] + 1e-6)
         for i in np.flatnonzero(column):  # a covering pattern may hold more of a class than there is

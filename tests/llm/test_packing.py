@@ -54,8 +54,25 @@ def test_column_generation_reaches_the_bound():
     sizes = np.arange(1, 129)
     demand = rng.integers(50, 500, 128).astype(float)
     patterns, use = P.column_generation(sizes, demand, 128)
-    assert (sizes @ patterns <= 128).all() and (patterns @ use >= demand - 1e-6).all()
-    assert use.sum() <= 1.01 * (sizes @ demand) / 128 + (sizes > 64) @ demand * 0.5
+    assert (sizes @ patterns <= 128).all() and ((patterns * use).sum(axis=1) >= demand - 1e-6).all()
+    assert use.sum() <= 1.01 * (sizes * demand).sum() / 128 + demand[sizes > 64].sum() * 0.5
+
+
+def test_inverse_and_many_classes_after_a_spark_job(spark):
+    """The linear program runs in the driver, beside Spark's workers, and must not hang there."""
+    import faulthandler
+
+    spark.range(8).selectExpr("id", "cast(id as string) as text").mapInPandas(lambda b: b, "id long, text string").count()
+    rng = np.random.default_rng(1)
+    faulthandler.dump_traceback_later(120, exit=True)
+    matrix = rng.integers(0, 4, (60, 60)) + 9 * np.eye(60)
+    assert np.allclose((P.inverted(matrix)[:, :, None] * matrix[None]).sum(axis=1), np.eye(60))
+    lengths = {k: int(rng.integers(1, 400)) for k in range(1, 401)}
+    places, used, sequences = P.plan(lengths)
+    faulthandler.cancel_dump_traceback_later()
+    total = sum(k * n for k, n in lengths.items())
+    assert sum(k * n for k, n in used.items()) <= sequences * 512 <= 1.01 * total and all(used[k] <= lengths[k] for k in lengths)
+    assert sum(high - low for _, low, high, *_ in places) == sum(used.values())
 
 
 def test_knapsack_by_brute_force():
