@@ -174,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field | None:
     picked = labelled.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("y"))
     picked = picked.orderBy(F.xxhash64("_id"), "_id").limit(LABELLED)  # a bounded sample: 16 bytes a row
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("t"))
-    sample = stored(texts.join(F.broadcast(picked), "_id").withColumn("half", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2))))
+    one = texts.join(F.broadcast(picked), "_id").groupBy("_id", "y").agg(F.min("t").alias("t"))  # an id may be repeated
+    sample = stored(one.withColumn("half", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2))))
     counts = {(r.half, r.y): r.n for r in sample.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
     if min(counts.get((h, y), 0) for h in (0, 1) for y in (0, 1)) == 0:
         return None
@@ -182,7 +183,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field | None:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(f, y) for text, y in zip(pdf["t"], pdf["y"], strict=True) for f in {f for w in set(text.split()) for f in features(w)}]
+            rows = []
+            for text, y in zip(pdf["t"], pdf["y"], strict=True):
+                rows += [(f, y) for f in {f for w in set(text.split()) for f in features(w)}]
+                if len(rows) > 50_000:  # bounded memory, however long the texts of a batch are
+                    yield pd.DataFrame(rows, columns=["f", "y"])
+                    rows = []
             yield pd.DataFrame(rows, columns=["f", "y"])
 
     half = sample.where("half = 0")
@@ -198,16 +204,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field | None:
         known = Known(cues)
         for pdf in batches:
             rows = []
-            for text, y in zip(pdf["t"], pdf["y"], strict=True):
+            for id, text, y in zip(pdf["_id"], pdf["t"], pdf["y"], strict=True):
                 tokens, past = [known[w] for w in text.split()], -1
                 for i, c in enumerate(tokens):
                     if c and i > past:
                         own = [tokens[j] if 0 <= j < len(tokens) else () for j in range(i - REACH, i + REACH + 1)]
-                        rows.append(([list(x) for x in own], [int(bool(x) and y == 1) for x in own]))
+                        rows.append((id, i, [list(x) for x in own], [int(bool(x) and y == 1) for x in own]))
                         past = i + REACH
-            yield pd.DataFrame(rows, columns=["cues", "y"])
+                if len(rows) > 10_000:
+                    yield pd.DataFrame(rows, columns=["id", "at", "cues", "y"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["id", "at", "cues", "y"])
 
-    got = half.mapInPandas(around, "cues array<array<int>>, y array<int>").limit(WINDOWS).collect()
+    windows = half.mapInPandas(around, "id long, at int, cues array<array<int>>, y array<int>")
+    got = windows.orderBy(F.xxhash64("id", "at"), "id", "at").limit(WINDOWS).collect()  # the same ones in every run
     weight, trans = train([([tuple(x) for x in r.cues], list(r.y)) for r in got], len(cues))
     field = Field(cues, weight, trans)
 
