@@ -13,13 +13,15 @@ at most k elements (a bound that follows from the sizes). Signatures of an insta
   soon as the expected number of equal parts, n * exp(-k / n), is at least ``EQUAL`` (a miss then has a chance
   below exp(-EQUAL) for a pair at the very threshold). Parts that are empty give no signature.
 
-Equal sets are one class from the start. In each bucket of a signature the smallest class is compared with
-the others (a star, not all pairs); classes that are joined by then need no more comparisons, so a bucket of
-near copies costs its size. Classes of buckets that still hold several components after ``STARS`` rounds,
-mostly unrelated texts that share a passage, are split once more, by ``BANDS`` bands of three MinHash values
-of the whole set (a pair at the threshold shares none with a chance of 2e-11), and joined by ``BAND_STARS``
-rounds of stars; only what then shares a band and not a component is compared pair by pair. Sets are fetched
-for the candidates only.
+Equal sets are one class from the start. The smallest class of a bucket is its *lead*; the classes that share a
+bucket with a lead are a *group*, dealt to one task with their sets, each set once however many buckets it
+shares. There all pairs of the group that are not yet linked through others are intersected exactly, and only
+a spanning forest of the links found leaves the task, at most one row less than the group has. A group of more
+than ``LOAD`` elements is cut into blocks and dealt as pairs of blocks, so rows grow with blocks, never with
+pairs. Connected components of the forests end it.
+
+Signatures that many documents carry are found in a sample of documents, which only says how they are dealt:
+such a bucket is salted, its lead is the least of the salts' leads, and no task holds it whole.
 """
 
 from __future__ import annotations
@@ -40,8 +42,13 @@ from .components import components
 from .words import Words, mixed, portions, shingles
 
 NUMERATOR, DENOMINATOR = 3, 4  # Jaccard threshold 0.75
-SMALL, EQUAL, STARS = 26, 20.0, 1
-BANDS, ROWS, BAND_STARS = 45, 3, 3
+SMALL, EQUAL = 26, 20.0
+#: Elements of a block of sets; a task holds two blocks (and no less than two sets).
+LOAD = 1_000_000
+#: Signatures of at least HOT documents in a sample of about SAMPLE are hot; at most HOT_SIGNS, the most frequent.
+SAMPLE, HOT, HOT_SIGNS, SALTS = 5_000, 20, 20_000, 64
+#: A lead with at least 1/SHARE of the memberships is sent to the tasks that cut its group (hence at most SHARE).
+SHARE = 1_000
 #: Bits of the filter of candidate documents that is sent to tasks: 1 MiB, whatever the input.
 FILTER_BITS = 1 << 23
 
@@ -67,9 +74,10 @@ def reach(i: int) -> int:
 
 
 @lru_cache(maxsize=1_000)
-def parts(k: int) -> int:
+def parts(k: int, exact: bool = False) -> int:
+    """How many parts; with ``exact`` as many as leave one part equal whatever the hashes are."""
     n = k + 1
-    for m in range(1, k + 1):
+    for m in range(1, 0 if exact else k + 1):
         if m * math.exp(-k / m) >= EQUAL:
             n = m
             break
@@ -103,7 +111,7 @@ def dealt(s: np.ndarray, spread: np.ndarray, k: int) -> Iterator[np.ndarray]:
         low = high & np.uint64(0xFFFFFFFF)
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
+def signatures(s: np.ndarray, exact: bool = False) -> np.ndarray:
     """s: sorted distinct hashes. All signatures of the set, in its own instance and the one below."""
     out, own = [], band(len(s))
     if not len(s):
@@ -120,7 +128,7 @@ def signatures(s: np.ndarray) -> np.ndarray:
         elif k <= SMALL:
             out += [mixed(x + salt) for x in dealt(s, spread, k)]
         else:
-            n = parts(k)
+            n = parts(k, exact)
             at = (((s >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)  # ascending, as s is
             first = np.flatnonzero(np.diff(at, prepend=-1))
             sign = np.add.reduceat(spread, first) + at[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -137,7 +145,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", text).alias("u"), text.alias("t"))
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, exact: bool = False) -> DataFrame:
     """id, u (hash of id and text), n, key and, once for each key in a task, signatures."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +166,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                         continue
                     if len(seen) < 1_000_000:  # memory of a task; what it misses is met again below
                         seen.add(key)
-                    out.append((i, u, len(s), key, signatures(s).view(np.int64)))
+                    out.append((i, u, len(s), key, signatures(s, exact).view(np.int64)))
                 i, u, n, key, signs = zip(*out, strict=True)
                 yield pd.DataFrame({"id": pd.array(i, "Int64"), "u": u, "n": n, "key": pd.array(key, "Int64"), "signs": signs})
 
@@ -191,110 +199,130 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(F.any_value("s").alias("s"))
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose sets have Jaccard >= 0.75."""
+def forest(sets: list[np.ndarray], left: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (positions i, j) with Jaccard >= 0.75 that join what all such links of the sets join.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                if len(small) * DENOMINATOR < len(large) * NUMERATOR:
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int(np.count_nonzero(large[at] == small))
-                keep.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
-            yield pdf.loc[keep, ["a", "b"]]
-
-    one = pairs.join(sets.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
-    two = one.join(sets.select(F.col("key").alias("a"), F.col("s").alias("x")), "a")
-    return two.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
-
-
-def bands(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``wanted`` (key, n, root) once for each band of MinHash values of their sets, as ``bucket``."""
-    odd = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-    seed = mixed(odd)
+    Elements that many sets hold are bits and intersected by counting bits, the others by their lists of sets.
+    left: only pairs of a set that is in it and one that is not (two blocks).
+    """
+    m, size = len(sets), np.array([len(s) for s in sets])
+    of = np.repeat(np.arange(m), size)
+    element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    often = count >= max(4, m // 32)
+    dense = np.flatnonzero(often)
+    place = np.zeros(len(count), np.int64)
+    place[dense] = np.arange(len(dense))
+    held = np.zeros((m, (len(dense) + 63) // 64 * 64), np.bool_)
+    own = often[element]
+    held[of[own], place[element[own]]] = True
+    bits = np.packbits(held, axis=1).view(np.uint64)
+    rare = (count[element] > 1) & ~own
+    who, what = of[rare], element[rare]
+    order = np.argsort(what, kind="stable")
+    holders, begin = who[order], np.searchsorted(what[order], np.arange(len(count) + 1))
+    start = np.searchsorted(who, np.arange(m + 1))
+    label, links = np.arange(m), []
+    for i in range(m - 1):
+        fit = (label != label[i]) & (np.minimum(size, size[i]) * DENOMINATOR >= np.maximum(size, size[i]) * NUMERATOR)
+        fit[: i + 1] = False
+        if left is not None:
+            fit &= left != left[i]
+        with_ = np.flatnonzero(fit)
+        if not len(with_):
+            continue
+        both = np.bitwise_count(bits[with_] & bits[i]).sum(1, dtype=np.int64)
+        mine = what[start[i] : start[i + 1]]
+        if len(mine):
+            length = begin[mine + 1] - begin[mine]
+            at = np.repeat(begin[mine] - np.cumsum(length) + length, length) + np.arange(length.sum())
+            both += np.bincount(holders[at], minlength=m)[with_]
+        for j in with_[DENOMINATOR * both >= NUMERATOR * (size[with_] + size[i] - both)]:
+            if label[j] != label[i]:
+                links.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def groups(sets: DataFrame, hot: DataFrame) -> DataFrame:
+    """lead, key, n: every class of a bucket beside the bucket's smallest class, each pair once."""
+    sign = sets.where("signs IS NOT NULL").select("key", "n", F.explode("signs").alias("sign"))
+    sign = sign.join(F.broadcast(hot.select("sign", F.col("sign").alias("warm"))), "sign", "left")
+    salt = F.when(F.col("warm").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(F.lit(0))
+    bucket = Window.partitionBy("sign", "salt")
+    met = sign.withColumn("salt", salt).withColumn("lead", F.min("key").over(bucket)).withColumn("last", F.max("key").over(bucket))
+    met = stored(met.where("lead < last OR warm IS NOT NULL").select("lead", "key", "n", "warm").distinct())
+    first = F.broadcast(met.where("warm IS NOT NULL").groupBy("warm").agg(F.min("lead").alias("least")))  # at most HOT_SIGNS rows
+    return stored(met.join(first, "warm", "left").select(F.coalesce("least", "lead").alias("lead"), "key", "n").distinct())
+
+
+def blocks(members: DataFrame, load: int = LOAD) -> DataFrame:
+    """The rows of ``members`` once for each pair of blocks (i <= j) of their group they take part in."""
+    one = F.lit(0)
+    size = members.groupBy("lead").agg(F.sum("n").alias("elements"), F.count("*").alias("rows")).where(F.col("elements") > load)
+    large = stored(size.select("lead", F.ceil(F.col("elements") / load).cast("int").alias("cuts"), "rows"))
+    if not large.take(1):
+        return members.select("lead", "key", one.alias("i"), one.alias("j"), one.alias("block"))
+    bound = max(2.0, members.count() / SHARE)
+    few = F.broadcast(large.where(F.col("rows") >= bound).drop("rows"))
+    rest = large.where(F.col("rows") < bound).drop("rows")
+    cold = members.join(few.select("lead"), "lead", "left_anti").join(rest, "lead", "left")
+    cut = cold.unionByName(members.join(few, "lead")).withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int"))
+    cut = cut.withColumn("x", F.explode(F.sequence(one, F.col("cuts") - 1)))
+    return cut.select("lead", "key", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block")
+
+
+def links(members: DataFrame, sets: DataFrame, load: int = LOAD) -> DataFrame:
+    """a, b: a spanning forest of the similar pairs of each group (or pair of blocks)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, name = [], None
+
+        def close() -> pd.DataFrame:
+            keys, values, block = [h[0] for h in held], [np.frombuffer(h[1], np.uint64) for h in held], np.array([h[2] for h in held])
+            cut = None if name is None or name[1] == name[2] else block == name[1]
+            found = forest(values, cut) if len(held) > 1 else []
+            return pd.DataFrame([(keys[i], keys[j]) for i, j in found], columns=["a", "b"], dtype=np.int64)
+
         for pdf in batches:
-            out = []
-            for s in pdf["s"]:
-                x = np.frombuffer(s, np.uint64)
-                least = np.array([((x ^ b) * a).min() for a, b in zip(odd, seed, strict=True)], np.uint64).reshape(BANDS, ROWS)
-                sign = np.arange(BANDS, dtype=np.uint64)
-                for r in range(ROWS):
-                    sign = mixed(sign * np.uint64(0x9E3779B97F4A7C15) + least[:, r])
-                out.append(sign.view(np.int64))
-            yield pd.DataFrame({"key": pdf["key"], "n": pdf["n"], "root": pdf["root"], "bands": out})
-
-    found = sets.join(wanted, "key").select("key", "n", "root", "s").mapInPandas(run, "key long, n long, root long, bands array<long>")
-    found = stored(found.select(F.explode("bands").alias("bucket"), "key", "n", "root"))
-    # A band whose classes are all of one component has nothing to compare.
-    several = found.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    return stored(found.join(several, "bucket", "left_semi").select("bucket", "key", "n", "root"))
-
-
-def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+            for lead, i, j, key, block, s in zip(pdf["lead"], pdf["i"], pdf["j"], pdf["key"], pdf["block"], pdf["s"], strict=True):
+                if name != (lead, i, j):
+                    if len(held) > 1:
+                        yield close()
+                    held, name = [], (lead, i, j)
+                held.append((key, s, block))
+        if len(held) > 1:
+            yield close()
+
+    dealt = blocks(members, load).join(sets, "key").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "key")
+    return dealt.select("lead", "i", "j", "key", "block", "s").mapInPandas(run, "a long, b long")
+
+
+def linked(docs: DataFrame, exact: bool = False, load: int = LOAD) -> tuple[DataFrame, DataFrame]:
     """``shingle_sets`` of the rows, and key, id (the smallest), root (smallest key of the component) of each set."""
-    spark = docs.sparkSession
-    sets = shingle_sets(docs)
+    sets = shingle_sets(docs, exact)
     classes = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.min("u").alias("u"))
-    sign = sets.where("signs IS NOT NULL").select("key", "n", F.explode("signs").alias("sign"))
-    bucket = Window.partitionBy("sign")
-    met = sign.withColumn("lead", F.min("key").over(bucket)).withColumn("last", F.max("key").over(bucket)).where("lead < last")
-    met = stored(met.select("sign", "key", "n", "lead").distinct())
-
-    links = spark.createDataFrame([], "a long, b long")
-    near = F.expr(f"least(n, m) * {DENOMINATOR} >= greatest(n, m) * {NUMERATOR}")
-    rows = met.select(F.col("sign").alias("bucket"), "key", "n", F.col("key").alias("root"))
-    roots, done, fetched = spark.createDataFrame([], "node long, root long"), None, None
-    for step in range(STARS + BAND_STARS + 1):
-        if not rows.take(1):
-            break
-        if step == STARS and fetched is not None:  # what is left is split by bands of the whole sets
-            rows = bands(fetched, rows.select("key", "n", "root").distinct())
-        if step < STARS + BAND_STARS:
-            # The lead of a bucket: its smallest class at first, then one that differs from bucket to bucket.
-            by = F.col("key") if step < STARS else F.xxhash64("key", "bucket")
-            lead = F.min_by(F.struct(F.col("key").alias("lead"), F.col("n").alias("m"), F.col("root").alias("other")), by)
-            leads = rows.groupBy("bucket").agg(lead.alias("x")).select("bucket", "x.*")
-        else:  # the few classes of different components that still share a band
-            leads = rows.select("bucket", F.col("key").alias("lead"), F.col("n").alias("m"), F.col("root").alias("other"))
-        pairs = rows.join(leads, "bucket").where("key <> lead AND root <> other").where(near)
-        pairs = pairs.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        if pairs.take(1):
-            done = pairs if done is None else done.unionByName(pairs)
-            if fetched is None:
-                fetched = stored(sets_of(docs, met.select("key").distinct().join(classes, "key").select("u")))
-            links = links.unionByName(stored(similar(pairs, fetched)))
-            roots = stored(components(links))
-        if step == STARS + BAND_STARS:
-            break
-        # Buckets go on without their leads while they hold several components.
-        rows = rows.drop("root").join(leads.select("bucket", "lead"), "bucket").where("key <> lead").drop("lead")
-        rows = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-        rows = stored(rows.join(several, "bucket", "left_semi").select("bucket", "key", "n", "root"))
+    some = sets.where("signs IS NOT NULL").where(F.pmod(F.xxhash64("key"), F.lit(max(1, sets.count() // SAMPLE))) == 0)
+    some = some.select("key", F.explode("signs").alias("sign")).distinct().groupBy("sign").agg(F.count("*").alias("n"))
+    hot = stored(some.where(F.col("n") >= HOT).orderBy(F.desc("n"), "sign").limit(HOT_SIGNS).select("sign"))
+    members = groups(sets, hot)
+    if not members.where("lead <> key").take(1):
+        return sets, stored(classes.select("key", "id", F.col("key").alias("root")))
+    fetched = sets_of(docs, members.select("key").distinct().join(classes, "key").select("u"))
+    roots = components(stored(links(members, fetched, load)))
     known = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     return sets, stored(known)
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
+def jaccard_join(docs: DataFrame, exact: bool = False, load: int = LOAD) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Documents without words have no shingles and are their own component, as are null texts. Texts of one
     to four words have one shingle, all their words. A null id is carried through and never names a
     component. Rows repeated with one id count once for links and are all returned. An empty table gives an
-    empty result. Other columns are ignored.
+    empty result. Other columns are ignored. exact: as many parts as exclude a miss for large sets too.
     """
-    sets, known = linked(docs)
+    sets, known = linked(docs, exact, load)
     least = known.groupBy("root").agg(F.min("id").alias("component_id"))
     named = known.join(least, "root").select("key", "component_id")
     out = sets.select("id", "n", "key").join(named, "key", "left")

@@ -59,6 +59,63 @@ def test_components_by_brute_force(spark):
     assert {i: v for i, v in got.items() if v != want[i]} == {}
 
 
+def test_blocks_and_exact_parts_give_the_same(spark):
+    rng = random.Random(4)
+    texts = family(rng, 60, 90, 9) + family(rng, 30, 300, 30) + [f"alone {i} a b c d e f g" for i in range(20)]
+    want = {i: v for i, v in brute(texts).items()}
+    for exact, load in ((False, 400), (True, 400), (True, 10**6)):
+        got = {r.doc_id: tuple(r)[1:] for r in J.jaccard_join(documents(spark, texts), exact, load).collect()}
+        assert got == want, (exact, load)
+
+
+def test_forest_joins_what_all_links_join():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for m, size in ((2, 30), (5, 8), (40, 30), (150, 60), (300, 20)):
+        base = rng.integers(0, 1 << 62, size, dtype=np.uint64)
+        sets = []
+        for _ in range(m):
+            own = base[rng.random(size) > rng.choice([0.02, 0.1, 0.2])]
+            sets.append(np.unique(np.concatenate([own, rng.integers(0, 1 << 62, rng.integers(1, 6), dtype=np.uint64)])))
+        for left in (None, rng.random(m) < 0.5):
+            root = list(range(m))
+            for i in range(m):
+                for j in range(i):
+                    both = len(np.intersect1d(sets[i], sets[j]))
+                    if 4 * both >= 3 * (len(sets[i]) + len(sets[j]) - both) and (left is None or left[i] != left[j]):
+                        old, new = root[i], root[j]
+                        root = [new if r == old else r for r in root]
+            own = list(range(m))
+            links = J.forest(sets, left)
+            for i, j in links:
+                assert own[i] != own[j]
+                old, new = own[i], own[j]
+                own = [new if r == old else r for r in own]
+            assert len(set(own)) == len(set(root)) and all((own[i] == own[0]) == (root[i] == root[0]) for i in range(m))
+
+
+def test_many_texts_just_below_the_threshold(spark):
+    """2,000 texts that share half of their words and more, none of which is linked, cost rows and not pairs."""
+    rng = random.Random(6)
+    shared = [f"s{i}" for i in range(200)]
+    texts = []
+    for k in range(2000):
+        own = [f"o{k}x{i}" for i in range(40)]
+        texts.append(" ".join(shared + own))  # 196 of 240 + 40 shingles are shared: 0.69
+    texts += [texts[7] + " end", texts[11].replace(" s50 ", " other ")]
+    rng.shuffle(texts)
+    sets = J.shingle_sets(documents(spark, texts))
+    members = J.groups(sets, spark.createDataFrame([], "sign long"))
+    assert J.blocks(members, 100_000).count() < 40 * len(texts)
+    rows = J.jaccard_join(documents(spark, texts), load=100_000).collect()
+    linked = [r for r in rows if r.component_id != r.doc_id]
+    assert len(rows) == 2002 and len(linked) == 2
+    for r in linked:
+        a, b = texts[r.doc_id].split(), texts[r.component_id].split()
+        assert len(set(a) ^ set(b)) <= 3
+
+
 def test_no_pair_is_missed_at_the_threshold():
     import numpy as np
 
