@@ -21,7 +21,7 @@ def test_base_places_by_brute_force():
 
 
 def test_rules_and_containment():
-    assert sum(map(len, L.rules().values())) > 200
+    assert sum(map(len, L.rules()[0].values())) > 350 and len(L.SIGNATURES) > 140
     _, places, found = L.scan("Released under the Apache License, Version 2.0. And CC BY-NC 4.0 too: licensed under CC BY-NC 4.0.")
     assert places == [("apache", 3)]
     assert [(x[0], x[3]) for x in found] == [("apache", 5), ("cc-by-nc", 5)]  # the weaker rules inside are suppressed
@@ -30,7 +30,7 @@ def test_rules_and_containment():
 def test_each_rule_alone_in_a_document():
     plain = lambda x: re.sub(r"\(\?:([^()|]*)\|[^()]*\)", r"\1", re.sub(r"\(\?:[^()]*\)\?", "", x))
     forms = ["SPDX-License-Identifier: {}", "Released under {}", "distributed\nunder the terms of {}", "{} licence", "licence type {}"]
-    for label, (name, versions) in L.FAMILIES.items():
+    for label, (name, versions, _) in L.FAMILIES.items():
         for form in forms:
             text = form.format(plain(name))
             assert label in {x[0] for x in L.scan(text)[2]}, text
@@ -48,6 +48,44 @@ def test_each_rule_alone_in_a_document():
         assert label in {x[0] for x in L.scan(text)[2]}, text
 
 
+def test_each_signature_alone_in_a_document():
+    for _, _, keyword, label, body in L.SIGNATURES:
+        for text in re.split(r"\|(?![^(]*\))", body) if label != "copyright" else ["copyright 2001 some all rights reserved"]:
+            while "(" in text:  # the first choice of each group, also of optional ones
+                text = re.sub(r"\((?:\?:)?([^()|]*)(?:\|[^()]*)?\)\??", r"\1", text)
+            text = re.sub(r"\.\{\d+,\d+\}\??", "some", text)
+            text = re.sub(r"\[(?:0-9|1-3)\]\+?", "2", text).replace("[01]", "1").replace("[sc]", "s").replace("[bc]", "b").replace("?", "")
+            assert re.search(rf"\b(?:{body})\b", text) and keyword in text, (label, keyword, text)
+            found = L.scan(text.replace(" ", ",\n").upper())[2]
+            assert label in {x[0] for x in found} or any(x[3] >= 2 for x in found), (label, text, found)
+
+
+def test_containment_by_brute_force_and_in_bounded_time():
+    import time
+
+    rng = random.Random(7)
+    for _ in range(300):
+        found = [(rng.randint(1, 3), s := rng.randint(0, 20), s + rng.randint(1, 9), rng.choice("abc"), 0.5) for _ in range(rng.randint(0, 25))]
+        want = [
+            f for i, f in enumerate(found)
+            if not any(
+                g[1] <= f[1] and f[2] <= g[2] and (g[0] > f[0] or (g[0] == f[0] and ((g[1], g[2]) != (f[1], f[2]) or (g[3], j) < (f[3], i))))
+                for j, g in enumerate(found) if j != i
+            )
+        ]
+        assert sorted(L.outermost(found)) == sorted(want)
+    text = "Released under the MIT license, " * 35_000  # over 1 MB
+    began = time.time()
+    assert len(L.scan(text)[2]) == 35_000
+    assert time.time() - began < 20
+
+
+def test_odd_rows(spark):
+    docs = documents(spark, ["the mit license", "the mit license", "the mit license", None], [3, 3, None, None]).selectExpr("*", "1 as id", "2 as t", "3 as n")
+    rows = L.digest(L.detect(docs)).collect()
+    assert sorted((r.doc_id or 0, r.n_base) for r in rows) == [(0, 0), (0, 1), (3, 1), (3, 1)]
+
+
 def test_query_columns(spark):
     docs = documents(spark, ["Under the MIT license.", None, "", "no such thing"])
     rows = {r.doc_id: r for r in L.digest(L.detect(docs)).collect()}
