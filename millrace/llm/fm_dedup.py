@@ -49,27 +49,38 @@ def suffix_array(text: np.ndarray, reach: int) -> np.ndarray:
 
 
 class Wavelet:
-    """Wavelet matrix: bit vectors of the symbols, most significant first, with running counts of zeros."""
+    """Wavelet matrix: a bit vector for each bit of the symbols, most significant first.
+
+    Bits are packed into words of 64 with one running count of 32 bits for each, 1.5 bits a bit; a rank adds
+    the count of a word and the bits of it that stand before.
+    """
 
     def __init__(self, symbols: np.ndarray, kinds: int):
         self.bits = max(1, int(kinds - 1).bit_length())
-        self.zeros, self.split = [], []
+        self.words, self.ones, self.split = [], [], []
         for b in range(self.bits - 1, -1, -1):
-            bit = (symbols >> b) & 1
-            zeros = np.concatenate([[0], np.cumsum(1 - bit, dtype=np.int32)]).astype(np.int32)
-            self.zeros.append(zeros)
-            self.split.append(int(zeros[-1]))
-            symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
+            bit = (symbols >> b) & 1 == 1
+            packed = np.zeros((len(bit) // 64 + 1) * 8, np.uint8)
+            packed[: (len(bit) + 7) // 8] = np.packbits(bit, bitorder="little")
+            words = packed.view("<u8")
+            self.words.append(words)
+            self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int32)[:-1]]).astype(np.int32))
+            self.split.append(int(len(bit) - np.count_nonzero(bit)))
+            symbols = np.concatenate([symbols[~bit], symbols[bit]])
+
+    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
+        """How many ones stand before ``at`` in a level."""
+        word, below = at >> 6, (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.ones[level][word] + np.bitwise_count(self.words[level][word] & below).astype(np.int64)
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often ``symbol`` stands before ``at``."""
         low = np.zeros_like(at)
         for level in range(self.bits):
             one = (symbol >> (self.bits - 1 - level)) & 1 == 1
-            zeros = self.zeros[level]
-            a, z = zeros[at], zeros[low]
-            at = np.where(one, at - a + self.split[level], a)
-            low = np.where(one, low - z + self.split[level], z)
+            a, z = self._ones(level, at), self._ones(level, low)
+            at = np.where(one, a + self.split[level], at - a)
+            low = np.where(one, z + self.split[level], low - z)
         return at - low
 
 

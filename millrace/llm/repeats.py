@@ -38,18 +38,20 @@ SAMPLE, HOT, HOT_GRAMS, SALTS = 5_000, 20, 20_000, 64
 SHARE = 1_000
 
 
-def owners(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def owners(grams: np.ndarray, width: int, most: int = 1 << 23, cut: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Position of each owner, and the smallest and largest distance from a window's start to it.
 
-    A window is ``width`` consecutive grams; the smallest hash owns it, of equal ones the rightmost.
+    A window is ``width`` consecutive grams; the smallest hash owns it, of equal ones the rightmost. More than
+    ``most`` grams go in pieces of ``cut`` windows; an owner of windows on both sides of a cut is one owner.
     """
     n = len(grams)
     if n < width:
         return (np.empty(0, np.int64),) * 3
-    if n > 1 << 23:
-        cut = 1 << 22
-        parts = [tuple(x + (s if j == 0 else 0) for j, x in enumerate(owners(grams[s : s + cut + width - 1], width))) for s in range(0, n - width + 1, cut)]
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    if n > most:
+        parts = [tuple(x + (s if j == 0 else 0) for j, x in enumerate(owners(grams[s : s + cut + width - 1], width, most, cut))) for s in range(0, n - width + 1, cut)]
+        at, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        return at[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
     best, covered = (grams & ~PLACE) | (PLACE - np.arange(n, dtype=np.uint64)), 1
     while covered < width:
         step = min(covered, width - covered)

@@ -77,6 +77,34 @@ def test_no_task_holds_a_hot_gram(spark, monkeypatch):
         assert seen.value == 0
 
 
+def test_owners_of_a_long_text_do_not_depend_on_the_cut():
+    import numpy as np
+
+    from millrace.llm.repeats import owners
+
+    rng = np.random.default_rng(2)
+    for width, n in ((77, 3000), (9, 700), (9, 40)):
+        grams = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        grams[n // 3 : n // 3 + 10] = grams[5]
+        for cut in (1, 13, 64, 512):
+            for a, b in zip(owners(grams, width), owners(grams, width, cut + width, cut), strict=True):
+                assert (a == b).all()
+
+
+def test_repeats_across_a_cut(spark, monkeypatch):
+    """The text is cut into pieces; an owner of windows on both sides of a cut keeps them all."""
+    from millrace.llm import repeats
+
+    rng = random.Random(13)
+    texts = corpus(rng, lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 8))), 25)
+    whole = repeats.owners
+    for op, span, seqs in ((suffix_dedup, 100, [(t or "").encode() for t in texts]), (fm_dedup, 13, [tuple((t or "").split()) for t in texts])):
+        with monkeypatch.context() as m:
+            m.setattr(repeats, "owners", lambda grams, width, most=150, cut=40: whole(grams, width, most, cut))
+            got = {r.doc_id: r.n_removed for r in op.dedup(documents(spark, texts)).collect()}
+        assert got == {i: sum(gone) for i, gone in enumerate(brute(seqs, span, op is fm_dedup))}
+
+
 def test_smallest_of_a_long_interval():
     import numpy as np
 
