@@ -23,7 +23,7 @@ from .plans.config import Config
 from .sources import tables as T
 from .streaming.stream import stream_savings
 
-FLAGSHIP = "top_commands"
+FLAGSHIP = "compact_stats"
 CFG = Config(before=2, after=2, head=10, tail=15)
 
 #: The text of an event's line, in SQL that both engines read.
@@ -114,7 +114,7 @@ def event_runs(spark: SparkSession, d: str) -> DataFrame:
     """One run per user, with a command picked by the user's number."""
     pick = F.element_at(F.array(*[F.lit(c) for c in COMMANDS]), (F.col("run_id") % len(COMMANDS) + 1).cast("int"))
     runs = _read(spark, d, "events").select(F.col("user_id").alias("run_id")).distinct().withColumn("command", pick)
-    return runs.withColumn("argv", C.fields(F.col("command")))
+    return C.decided(runs, argv=C.fields(F.col("command")))
 
 
 def ledger(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +182,7 @@ _per_line("is_marker", lambda t: L.is_marker(t, "npm"), r"starts_with(regexp_rep
 
 
 def _per_call(name: str, column: Callable, sql: str | None = None) -> None:
-    _add(name, lambda s, d: calls(s, d).select("call_id", column(F.col("command")).alias("value")), sql and f"SELECT call_id, {sql} AS value FROM ({CMD})")
+    _add(name, lambda s, d: C.decided(calls(s, d), value=column(F.col("command"))).select("call_id", "value"), sql and f"SELECT call_id, {sql} AS value FROM ({CMD})")
 
 
 def _picked(values: list) -> str:
@@ -206,7 +206,11 @@ def _base(word: str, suffixes: str = "exe cmd bat ps1") -> str:
 _per_call("short_command", L.short_command, r"CASE WHEN strlen(trim(regexp_replace(command, '\s+', ' ', 'g'))) > 80 THEN substr(trim(regexp_replace(command, '\s+', ' ', 'g')), 1, 77) || '…' ELSE trim(regexp_replace(command, '\s+', ' ', 'g')) END")
 _per_call("archive_label", L.archive_label, r"""coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(regexp_extract(regexp_replace(trim(command), '/+$', ''), '[^/]*$'), '[^A-Za-z0-9_-]+', '-', 'g'), '^-+', ''), 1, 24), '^-+|-+$', '', 'g'), ''), 'cmd')""")
 _per_call("base_command", C.base_command, _base("command"))
-_per_call("command_words", lambda c: F.array_join(C.command_words(C.fields(c)), " "))
+_per_call(
+    "command_words", lambda c: F.array_join(C.command_words(C.fields(c)), " "),
+    f"""CASE command WHEN 'bash -c npm test' THEN 'bash npm -c npm test' WHEN 'sh -c pytest && echo done' THEN 'sh pytest -c pytest && echo done'
+    ELSE array_to_string(list_transform({_WORDS}, lambda w: {_base('w')}), ' ') END""",
+)
 _per_call("classify_kind", lambda c: C.classify_kind(C.fields(c)), _picked(KIND_OF))
 _per_call("is_query_segment", lambda c: C.is_query_segment(C.fields(c)), _picked([i in QUERIES_BY_WORDS for i in _ALL]))
 _per_call("is_query_command", lambda c: C.is_query_command(C.fields(c)), _picked([k == "query" for k in KIND_OF]))
@@ -222,9 +226,9 @@ _per_call("wrap_command", C.wrap_command, "'millrace run -- bash -c ' || '''' ||
 _KEY = f"""CASE WHEN len(w) = 0 THEN '(empty)' WHEN NOT list_contains({list(C.TWO_WORDS)}, {_base('w[1]', 'exe cmd bat')}) THEN w[1]
  WHEN len(w) > 2 AND w[2] IN ('run', 'exec') THEN array_to_string(w[1:3], ' ') ELSE array_to_string(w[1:2], ' ') END"""
 _KEYED = f"SELECT *, CASE WHEN len(v) > 2 AND {_base('v[1]', 'exe cmd bat')} IN ('bash', 'sh', 'zsh', 'dash') AND v[2] = '-c' THEN v[3:] ELSE v END AS w FROM (SELECT *, {_WORDS} AS v FROM ({{0}}))"
-_add("command_key", lambda s, d: calls(s, d).select("call_id", C.command_key(F.col("command")).alias("value")), f"SELECT call_id, {_KEY} AS value FROM ({_KEYED.format(CMD)})")
-_add("wrap_decision", lambda s, d: calls(s, d).select("call_id", C.wrap_decision(F.col("command")).alias("x")).select("call_id", "x.wrap", "x.reason"), f"SELECT call_id, reason = 'handled here' AS wrap, reason FROM (SELECT event_id AS call_id, {_picked(_REASONS).replace('call_id', 'event_id')} AS reason FROM events)")
-_add("wrap_summary", lambda s, d: calls(s, d).select(C.wrap_decision(F.col("command"))["reason"].alias("reason"), C.classify_kind(C.fields(F.col("command"))).alias("kind")).groupBy("reason", "kind").agg(F.count("*").alias("n")), f"SELECT reason, kind, count(*) AS n FROM (SELECT {_picked(_REASONS).replace('call_id', 'event_id')} AS reason, {_picked(KIND_OF).replace('call_id', 'event_id')} AS kind FROM events) GROUP BY ALL")
+_add("command_key", lambda s, d: C.decided(calls(s, d), value=C.command_key(F.col("command"))).select("call_id", "value"), f"SELECT call_id, {_KEY} AS value FROM ({_KEYED.format(CMD)})")
+_add("wrap_decision", lambda s, d: C.decided(calls(s, d), x=C.wrap_decision(F.col("command"))).select("call_id", "x.wrap", "x.reason"), f"SELECT call_id, reason = 'handled here' AS wrap, reason FROM (SELECT event_id AS call_id, {_picked(_REASONS).replace('call_id', 'event_id')} AS reason FROM events)")
+_add("wrap_summary", lambda s, d: C.decided(calls(s, d), reason=C.wrap_decision(F.col("command"))["reason"], kind=C.classify_kind(C.fields(F.col("command")))).groupBy("reason", "kind").agg(F.count("*").alias("n")), f"SELECT reason, kind, count(*) AS n FROM (SELECT {_picked(_REASONS).replace('call_id', 'event_id')} AS reason, {_picked(KIND_OF).replace('call_id', 'event_id')} AS kind FROM events) GROUP BY ALL")
 
 
 def _deferred(s: SparkSession, d: str) -> DataFrame:
@@ -233,7 +237,8 @@ def _deferred(s: SparkSession, d: str) -> DataFrame:
     return C.deferred_to_other(c, claims).select("call_id", "deferred")
 
 
-_add("deferred_to_other", _deferred)
+_CLAIMED = COMMANDS[::2]
+_add("deferred_to_other", _deferred, f"SELECT call_id, {_picked([bool(SEGMENTS.get(i, (c,))) and all(x in _CLAIMED for x in SEGMENTS.get(i, (c,))) for i, c in enumerate(COMMANDS)])} AS deferred FROM ({CMD})")
 
 
 def _tool_calls(s: SparkSession, d: str) -> DataFrame:
@@ -243,7 +248,12 @@ def _tool_calls(s: SparkSession, d: str) -> DataFrame:
     return calls(s, d).select("call_id", F.when(F.col("call_id") % 11 == 0, F.substring(whole, 1, 20)).otherwise(whole).alias("payload"))
 
 
-_add("rewrite_tool_call", lambda s, d: C.rewrite_tool_call(_tool_calls(s, d)))
+_WRAPPED = "'millrace run -- bash -c ' || '''' || replace(command, '''', '''\\''''') || ''''"
+_add(
+    "rewrite_tool_call", lambda s, d: C.rewrite_tool_call(_tool_calls(s, d)),
+    f"""SELECT call_id, '{{"hookSpecificOutput":{{"hookEventName":"PreToolUse","updatedInput":{{"command":' || to_json({_WRAPPED}) || ',"timeout":30,"description":"why"}}}}}}' AS reply
+    FROM ({CMD}) WHERE call_id % 5 <> 0 AND call_id % 11 <> 0 AND {_picked(_REASONS)} = 'handled here'""",
+)
 
 # Ordered stages over the lines of events.
 _SHOW = ["run_id", "pos", "src", "text", "protected", "in_block", "dropped_by", "marker"]
@@ -259,8 +269,29 @@ _stage(
     f"""SELECT run_id, pos, src, text, false AS protected, false AS in_block, CASE WHEN k = lead(k) OVER (PARTITION BY run_id ORDER BY pos) THEN 'ansi' END AS dropped_by, false AS marker
     FROM (SELECT *, CASE WHEN {_PROGRESS} THEN {_SHAPE} END AS k FROM ({_FRAME}))""",
 )
-_stage("failure_blocks", S.failure_blocks, show=["run_id", "pos", "src", "text", "block"])
-_stage("cap_blocks", lambda df: S.cap_blocks(S.failure_blocks(df), Config(max_block=3)))
+_INDENT = "length(regexp_extract(text, '^[ \t]*'))"
+#: The block scan, one line of every run a step.
+_BLOCKS = f"""f AS MATERIALIZED (SELECT *, trim(text) = '' AS blank, {_like(P.BLOCK_START)} AS header, {_like(P.BLOCK_END)} AS ends, {_like(P.DETAIL)} OR {_FAIL} AS detail, {_INDENT} AS indent FROM ({EVT})),
+    b(run_id, line_no, number, inside, depth) AS (
+      SELECT DISTINCT run_id, 0::bigint, 0::bigint, false, 0::bigint FROM f
+      UNION ALL
+      SELECT run_id, line_no, number + (NOT stays AND header AND NOT ends)::bigint, stays OR (header AND NOT ends), CASE WHEN stays THEN depth WHEN header AND NOT ends THEN indent ELSE 0 END
+      FROM (SELECT f.*, b.number, b.depth, b.inside AND (f.blank OR (NOT f.ends AND (f.indent > b.depth OR (NOT f.header AND f.detail)))) AS stays FROM b JOIN f ON f.run_id = b.run_id AND f.line_no = b.line_no + 1)),
+    blocks AS (SELECT run_id, line_no AS pos, line_no AS src, text, blank, CASE WHEN inside THEN number END AS block FROM b JOIN f USING (run_id, line_no))"""
+_stage("failure_blocks", S.failure_blocks, f"WITH RECURSIVE {_BLOCKS} SELECT run_id, pos, src, text, block FROM blocks", ["run_id", "pos", "src", "text", "block"])
+_NUMBERED = "SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY a, o) AS pos, src, text, protected, in_block, dropped_by, marker"
+_MARK = "NULL AS src, {0} AS text, false AS protected, false AS in_block, NULL AS dropped_by, true AS marker"
+_plural = lambda n, word: f"{n} || CASE WHEN {n} = 1 THEN ' {word}' ELSE ' {word}s' END"
+_stage(
+    "cap_blocks", lambda df: S.cap_blocks(S.failure_blocks(df), Config(max_block=3)),
+    f"""WITH RECURSIVE {_BLOCKS},
+    w AS (SELECT *, max(CASE WHEN NOT blank THEN pos END) OVER (PARTITION BY run_id, block) AS last, row_number() OVER (PARTITION BY run_id, block ORDER BY pos) AS n FROM blocks),
+    x AS (SELECT *, block IS NOT NULL AND pos <= last AS body, block IS NOT NULL AND pos <= last AND NOT blank AND n > 3 AS over FROM w),
+    y AS (SELECT *, sum(over::int) OVER (PARTITION BY run_id, block) AS gone FROM x),
+    r AS (SELECT run_id, pos AS a, 0 AS o, src, text, block IS NOT NULL AS protected, body AND NOT over AS in_block, CASE WHEN over THEN 'guard' END AS dropped_by, false AS marker FROM y
+      UNION ALL SELECT run_id, pos, 1, {_MARK.format("'[millrace] ' || " + _plural("gone", "line") + " || ' elided from this failure; see the full output log'")} FROM y WHERE block IS NOT NULL AND pos = last AND gone > 0)
+    {_NUMBERED} FROM r""",
+)
 _stage("guard", lambda df: S.guard(S.collapse_progress(df), CFG))
 _W = "OVER (PARTITION BY run_id ORDER BY line_no ROWS BETWEEN"
 _stage(
@@ -272,12 +303,81 @@ _stage(
     SELECT run_id, line_no AS pos, line_no AS src, text, fail OR near OR (g > 0 AND NOT fail AND c <= 2) AS protected FROM h""",
     ["run_id", "pos", "src", "text", "protected"],
 )
-_stage("drop_install_noise", lambda df: S.drop_install_noise(df, CFG))
-_stage("drop_dotnet_noise", lambda df: S.drop_dotnet_noise(df, CFG))
+_stage(
+    "drop_install_noise", lambda df: S.drop_install_noise(df, CFG),
+    f"""WITH f AS (SELECT *, NOT {_like(P.INSTALL_SUMMARY)} AND {_like(P.INSTALL_DEPRECATED)} AS old, NOT {_like(P.INSTALL_SUMMARY)} AND NOT {_like(P.INSTALL_DEPRECATED)} AND {_like(P.INSTALL_NOISE)} AS noise FROM ({EVT})),
+    g AS (SELECT run_id, count(*) + 1 AS a, sum(old::int) AS x, sum(noise::int) AS y FROM f GROUP BY run_id),
+    r AS (SELECT run_id, line_no AS a, 0 AS o, line_no AS src, text, false AS protected, false AS in_block, CASE WHEN old OR noise THEN 'node-install' END AS dropped_by, false AS marker FROM f
+      UNION ALL SELECT run_id, a, 0, {_MARK.format("'[millrace] dropped ' || concat_ws(' and ', CASE WHEN x > 0 THEN x || ' deprecation warnings' END, CASE WHEN y > 0 THEN y || ' progress/notice lines' END)")} FROM g WHERE x + y > 0)
+    {_NUMBERED} FROM r""",
+)
+_stage(
+    "drop_dotnet_noise", lambda df: S.drop_dotnet_noise(df, CFG),
+    f"""WITH e AS (SELECT *, NOT {_like(P.DOTNET_KEEP)} AS free, {_like(P.DOTNET_RESTORED)} AS r, {_like(P.DOTNET_BUILT)} AS b, {_like(P.DOTNET_CHATTER)} AS c FROM ({EVT})),
+    f AS (SELECT *, free AND r AS restored, free AND NOT r AND b AS built, free AND NOT r AND NOT b AND c AS chatter FROM e),
+    g AS (SELECT run_id, count(*) + 1 AS a, sum(restored::int) AS x, sum(built::int) AS y FROM f GROUP BY run_id),
+    r AS (SELECT run_id, line_no AS a, 0 AS o, line_no AS src, text, false AS protected, false AS in_block, CASE WHEN restored OR built OR chatter THEN 'dotnet' END AS dropped_by, false AS marker FROM f
+      UNION ALL SELECT run_id, a, 0, {_MARK.format("'[millrace] restored ' || " + _plural("x", "project"))} FROM g WHERE x > 0
+      UNION ALL SELECT run_id, a, 1, {_MARK.format("'[millrace] built ' || " + _plural("y", "project"))} FROM g WHERE y > 0)
+    {_NUMBERED} FROM r""",
+)
 _stage("detect_test_output", S.detect_test_output, f"""SELECT run_id, line_no AS pos, coalesce(line_no >= min(CASE WHEN {_like(P.TEST_MARKER)} THEN line_no END) OVER (PARTITION BY run_id), false) AS detected FROM ({EVT})""", ["run_id", "pos", "detected"])
-_stage("drop_passing_tests", lambda df: S.drop_passing_tests(df, CFG))
-_stage("docker_steps", lambda df: S.docker_steps(df, Config(max_step=1)))
-_stage("dedup_lines", lambda df: S.dedup(df, CFG))
+_stage(
+    "drop_passing_tests", lambda df: S.drop_passing_tests(df, CFG),
+    f"""WITH RECURSIVE f AS MATERIALIZED (SELECT *, {_like(P.TEST_FAILING)} AS failing, trim(text) = '' OR {_FAIL} AS solid, {_INDENT} AS indent, {_like(P.TEST_FAILURE)} AS fail, {_like(P.TEST_HEADER)} AS head,
+        {_like(P.TEST_SUMMARY)} OR NOT {_like(P.TEST_PASS)} AS stays, {_like(P.TAP_RESULT)} AS tap FROM ({EVT})),
+    s(run_id, line_no, failure, late, hush, gone) AS (
+      SELECT DISTINCT run_id, 0::bigint, false, false, -1::bigint, 0 FROM f
+      UNION ALL
+      SELECT run_id, line_no, CASE WHEN failing OR late OR hushed THEN failure ELSE fail OR (failure AND NOT head) END, late OR failing,
+        CASE WHEN failing OR (hushed AND NOT late) THEN hush WHEN goes AND tap THEN indent ELSE -1 END, CASE WHEN failing OR late THEN 0 WHEN hushed THEN 2 WHEN goes THEN 1 ELSE 0 END
+      FROM (SELECT f.*, s.failure, s.late, s.hush, NOT f.failing AND NOT s.late AND s.hush >= 0 AND NOT f.solid AND f.indent > s.hush AS hushed,
+          NOT f.failing AND NOT s.late AND NOT (s.hush >= 0 AND NOT f.solid AND f.indent > s.hush) AND NOT f.fail AND NOT (s.failure AND NOT f.head) AND NOT f.stays AS goes
+        FROM s JOIN f ON f.run_id = s.run_id AND f.line_no = s.line_no + 1)),
+    g AS (SELECT run_id, count(*) AS a, count(*) FILTER (gone = 1) AS n FROM s GROUP BY run_id),
+    r AS (SELECT run_id, line_no AS a, 0 AS o, line_no AS src, text, false AS protected, false AS in_block, CASE WHEN gone > 0 THEN 'test-runner' END AS dropped_by, false AS marker FROM s JOIN f USING (run_id, line_no)
+      UNION ALL SELECT run_id, a, 0, {_MARK.format("'[millrace] dropped ' || " + _plural("n", "passing-test line"))} FROM g WHERE n > 0)
+    {_NUMBERED} FROM r""",
+)
+_CELL = "PARTITION BY run_id, id, epoch"
+_LAYER = "' of layer/progress output elided'"
+_stage(
+    "docker_steps", lambda df: S.docker_steps(df, Config(max_step=1)),
+    f"""WITH f AS (SELECT run_id, line_no AS pos, text, trim(text) = '' AS blank, CASE WHEN {_like(P.STEP_LINE)} THEN regexp_extract(text, {_q(P.STEP_LINE)}, 1) END AS id, regexp_extract(text, {_q(P.STEP_LINE)}, 2) AS rest FROM ({EVT})),
+    e AS (SELECT *, CASE WHEN id IS NULL THEN NULL WHEN {_like(P.STEP_DONE, 'rest')} THEN 'D' WHEN {_like(P.STEP_ERROR, 'rest')} THEN 'E' WHEN {_like(P.STEP_HEADER, 'rest')} THEN 'H' END AS ev,
+      {_like(P.STEP_PROGRESS, 'rest')} OR (SELECT {_PROGRESS} FROM (SELECT rest AS text)) AS moving FROM f),
+    o AS (SELECT *, id IS NOT NULL AND coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY run_id, id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'H', false) AS open FROM e),
+    p AS (SELECT *, coalesce(ev = 'H' AND NOT open, false) AS opens, open AND coalesce(ev IN ('D', 'E'), false) AS status FROM o),
+    q AS (SELECT *, sum(opens::int) OVER (PARTITION BY run_id, id ORDER BY pos) AS epoch, open OR opens AS mine, open AND NOT status AND moving AS prog, open AND NOT status AND NOT moving AS body FROM p),
+    s AS (SELECT *, body AND coalesce(sum(body::int) OVER ({_CELL} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 1 AS fit FROM q),
+    t AS (SELECT *, max(CASE WHEN status THEN pos END) OVER ({_CELL}) AS done, coalesce(bool_or(status AND ev = 'E') OVER ({_CELL}), false) AS bad, sum((fit OR prog)::int) OVER ({_CELL}) AS n,
+      sum(prog::int) OVER ({_CELL}) AS progs, sum((body AND NOT fit)::int) OVER ({_CELL}) AS over, min(CASE WHEN opens THEN pos END) OVER (PARTITION BY run_id, id) AS first FROM s),
+    u AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN NOT mine THEN pos WHEN done IS NOT NULL THEN done ELSE 1000000000000 + first END, CASE WHEN NOT mine OR opens THEN 0 WHEN status THEN 3 ELSE 1 END, pos) AS a,
+      (mine AND (prog OR (body AND NOT fit) OR (open AND NOT status AND done IS NOT NULL AND NOT bad))) OR (id IS NULL AND blank) AS gone FROM t),
+    v AS (SELECT *, max(CASE WHEN mine THEN a END) OVER ({_CELL}) AS tail FROM u),
+    r AS (SELECT run_id, a, 0 AS o, pos AS src, text, false AS protected, false AS in_block, CASE WHEN gone THEN 'docker-build' END AS dropped_by, false AS marker FROM v
+      UNION ALL SELECT run_id, a - 1, 1, {_MARK.format("'#' || id || ' [millrace] ' || " + _plural("n", "line") + " || " + _LAYER)} FROM v WHERE status AND NOT bad AND n > 0
+      UNION ALL SELECT run_id, a - 1, 1, {_MARK.format("'#' || id || ' [millrace] ' || over || ' further ' || CASE WHEN over = 1 THEN 'line' ELSE 'lines' END || ' elided; see the full output log'")} FROM v WHERE status AND bad AND over > 0
+      UNION ALL SELECT run_id, a, 1, {_MARK.format("'#' || id || ' [millrace] ' || " + _plural("progs", "line") + " || " + _LAYER)} FROM v WHERE mine AND done IS NULL AND a = tail AND progs > 0)
+    {_NUMBERED} FROM r""",
+)
+_stage(
+    "dedup_lines", lambda df: S.dedup(df, CFG),
+    f"""WITH f AS (SELECT *, line_no AS pos, NOT {_FAIL} AS free, trim(text) = '' AS blank, CASE WHEN {_like(P.LOG_NOISE)} THEN {_SHAPE} ELSE text END AS k FROM ({EVT})),
+    a AS (SELECT *, NOT (free AND coalesce(lag(free) OVER w AND lag(k) OVER w = k, false)) AS new FROM f WINDOW w AS (PARTITION BY run_id ORDER BY pos)),
+    b AS (SELECT *, sum(new::int) OVER w AS isle, CASE WHEN coalesce(lead(free) OVER w, false) THEN pos + 1 ELSE pos END AS ends FROM a WINDOW w AS (PARTITION BY run_id ORDER BY pos)),
+    i AS (SELECT run_id, isle, count(*) AS c, min(pos) AS pos, max(pos) AS stop, max(ends) AS flush, arg_min(text, pos) AS t, arg_min(k, pos) AS k, bool_and(free AND NOT blank) AS lead FROM b GROUP BY run_id, isle),
+    j AS (SELECT *, coalesce(c < 3 AND strlen(t) >= 24 AND flush - lag(flush) OVER (PARTITION BY run_id, k ORDER BY pos) <= 50, false) AS near FROM i WHERE lead),
+    l AS (SELECT *, near AND coalesce(sum(CASE WHEN near THEN 2 ELSE 1 END) OVER (PARTITION BY run_id, k ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 > 2 AS sup FROM j),
+    m AS (SELECT *, sum(CASE WHEN sup THEN c ELSE 0 END) OVER (PARTITION BY run_id, k) AS extra, row_number() OVER (PARTITION BY run_id, k ORDER BY pos) AS nth FROM l),
+    r AS (
+      SELECT b.run_id, b.pos AS a, 0 AS o, b.pos AS src, CASE WHEN m.c < 3 THEN m.t ELSE b.text END AS text, false AS protected, false AS in_block,
+        CASE WHEN (b.free AND b.blank AND NOT b.new) OR (m.c >= 3 AND NOT b.new) OR coalesce(m.sup, false) THEN 'dedup' END AS dropped_by, false AS marker
+      FROM b LEFT JOIN m ON m.run_id = b.run_id AND m.isle = b.isle
+      UNION ALL SELECT run_id, stop, 1, {_MARK.format("'[millrace] ×' || c || ' similar lines collapsed'")} FROM m WHERE c >= 3
+      UNION ALL SELECT run_id, 1000000000000, pos, {_MARK.format("'[millrace] ×' || " + "extra || CASE WHEN extra = 1 THEN ' further similar line: ' ELSE ' further similar lines: ' END || " + f"(SELECT CASE WHEN strlen({_TRIMMED}) > 70 THEN substr({_TRIMMED}, 1, 70) || '…' ELSE {_TRIMMED} END FROM (SELECT t AS text))")} FROM m WHERE nth = 1 AND extra > 0)
+    {_NUMBERED} FROM r""",
+)
 _add("collapse_runs_docs", lambda s, d: S.dedup(S.start(doc_lines(s, d)), Config(window=0, min_run=2)).where("NOT marker AND dropped_by = 'dedup'").select("run_id", "src"))
 
 
@@ -330,7 +430,7 @@ _audit("audit_no_escapes", lambda lines, runs, x: A.no_escapes(x.where("NOT use_
 _audit("audit_multiset", lambda lines, runs, x: A.multiset(lines.where(L.is_failure(F.col("text"))), K.kept_lines(x, CFG), r"^\s*[-+]|Error"))
 _audit("audit_savings_floor", lambda lines, runs, x: A.savings_floor(K.run_stats(x), runs.select("run_id", F.lit(0.0).alias("min_saving"))))
 _audit("audit_must_keep", lambda lines, runs, x: A.must_keep(K.kept_lines(x, CFG), lines.where("text LIKE 'Error: event%'").select("run_id", F.col("text").alias("needle"))))
-_audit("audit_queries_complete", lambda lines, runs, x: A.queries_complete(lines.where(~F.col("text").rlike("[\\x1b\\r]|^\\s*\\z|MB / ")), K.kept_lines(x, Config(footer=False)), runs.withColumn("kind", F.when(C.is_query_command(F.col("argv")), "query"))))
+_audit("audit_queries_complete", lambda lines, runs, x: A.queries_complete(lines, K.kept_lines(x, Config(footer=False)), runs.withColumn("kind", F.when(C.is_query_command(F.col("argv")), "query"))))
 _add("audit_block_equality", lambda s, d: A.block_equality(event_lines(s, d), event_lines(s, d).select("run_id", F.col("line_no").alias("out_no"), "text", F.lit(False).alias("is_marker"))), "SELECT cast(NULL AS bigint) AS run_id, cast(NULL AS bigint) AS block_no, cast(NULL AS varchar) AS expected, cast(NULL AS varchar) AS got WHERE false")
 
 
@@ -352,7 +452,12 @@ _GROUPED = f"""SELECT command_key, count(*) AS runs, cast(sum(raw_bytes) as bigi
  FROM (SELECT {_KEY} AS command_key, raw_bytes, out_bytes FROM ({_KEYED.format(LEDGER)})) GROUP BY command_key"""
 _add("savings_by_command", lambda s, d: G.savings_by_command(ledger(s, d)).drop("pct"), _GROUPED)
 _add("top_commands", lambda s, d: G.top_commands(ledger(s, d), 10).drop("pct"), f"{_GROUPED} ORDER BY saved DESC, command_key LIMIT 10")
-_add("report", lambda s, d: G.report(ledger(s, d), 10))
+_HUMAN = "CASE WHEN saved >= 1073741824 THEN printf('%.1f GB', saved / 1073741824.0) WHEN saved >= 1048576 THEN printf('%.1f MB', saved / 1048576.0) WHEN saved >= 1024 THEN printf('%.1f KB', saved / 1024.0) ELSE saved || ' B' END"
+_add(
+    "report", lambda s, d: G.report(ledger(s, d), 10),
+    f"""SELECT rank, printf('%-40s  %4d %-4s  %9s saved  (%.0f%%)', CASE WHEN strlen(command_key) > 40 THEN substr(command_key, 1, 39) || '…' ELSE command_key END, runs, CASE WHEN runs = 1 THEN 'run' ELSE 'runs' END, {_HUMAN}, pct) AS line
+    FROM (SELECT *, CASE WHEN raw_bytes > 0 THEN 100.0 * saved / raw_bytes ELSE 0.0 END AS pct, cast(row_number() OVER (ORDER BY saved DESC, command_key) as int) AS rank FROM ({_GROUPED})) WHERE rank <= 10""",
+)
 _since = lambda d: G.parse_since("36h", datetime(2024, 1, 10))
 _add("ledger_since", lambda s, d: ledger(s, d).where(F.col("time") >= F.lit(_since(d))).agg(F.count("*").alias("runs"), F.sum("raw_bytes").alias("raw_bytes")), f"SELECT count(*) AS runs, cast(sum(raw_bytes) as bigint) AS raw_bytes FROM ({LEDGER}) WHERE time >= TIMESTAMP '2024-01-08 12:00:00'")
 _add(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
 from .lines import _trim
 
 # The words that decide how a command is classed.
@@ -206,12 +207,25 @@ def wrap_decision(command: Column, deferred: Column | None = None, own_names: tu
     return F.struct((key == "wrap").alias("wrap"), F.element_at(text, key).alias("reason"))
 
 
+def decided(df: DataFrame, by: str = "command", limit: int = 100_000, **columns: Column) -> DataFrame:
+    """``df`` with columns that depend on the column ``by`` alone: worked out once for each distinct value.
+
+    Commands repeat by the million, and their rules are long expressions. The distinct values are sent to all
+    tasks if there are at most ``limit``; more are joined by value.
+    """
+    once = stored(df.select(by).distinct().select(F.col(by).alias("_by"), *[c.alias(k) for k, c in columns.items()]))
+    once = F.broadcast(once) if once.limit(limit + 1).count() <= limit else once
+    return df.join(once, df[by].eqNullSafe(once["_by"]), "left").drop("_by")
+
+
 def deferred_to_other(calls: DataFrame, claims: DataFrame, call_id: str = "call_id", command: str = "command") -> DataFrame:
     """``calls`` with ``deferred``: whether every segment of a call is claimed. No segment: not deferred."""
-    parts = calls.select(call_id, F.explode(split_segments(F.col(command))).alias("_segment"))
+    # By distinct command, so that the commonest one is no hot key.
+    parts = calls.select(F.col(command).alias("_c")).distinct().select("_c", F.explode(split_segments(F.col("_c"))).alias("_segment"))
     known = claims.select(F.col("command").alias("_segment")).distinct().withColumn("_claimed", F.lit(True))
-    done = parts.join(known, "_segment", "left").groupBy(call_id).agg(F.bool_and(F.coalesce("_claimed", F.lit(False))).alias("deferred"))
-    return calls.join(done, call_id, "left").withColumn("deferred", F.coalesce("deferred", F.lit(False)))
+    done = parts.join(known, "_segment", "left").groupBy("_c").agg(F.bool_and(F.coalesce("_claimed", F.lit(False))).alias("deferred"))
+    joined = calls.join(done, F.col(command) == F.col("_c"), "left").drop("_c")
+    return joined.withColumn("deferred", F.coalesce("deferred", F.lit(False)))
 
 
 def shell_quote(text: Column) -> Column:

@@ -42,9 +42,18 @@ def never_grows(stats: DataFrame) -> DataFrame:
 
 
 def queries_complete(lines: DataFrame, kept: DataFrame, runs: DataFrame) -> DataFrame:
-    """A4: lines of query runs that the output lacks (by text, adjacent repeats aside)."""
+    """A4: lines of query runs that the output lacks.
+
+    Compared by what compaction compares: the text without escapes and redraws, log lines and progress by shape
+    (of a pair of equal shape the first text is shown twice). Repeats aside.
+    """
+
+    def shapes(df: DataFrame) -> DataFrame:
+        t = L.resolve_redraw(L.strip_ansi(L.normalize_eol(F.col("text"))))
+        return df.select("run_id", t.alias("text")).select("run_id", F.when(L.is_progress(F.col("text")), L.similarity_key(F.col("text"))).otherwise(L.dedup_key(F.col("text"))).alias("shape"), "text")
+
     query = lines.join(runs.where("kind = 'query'").select("run_id"), "run_id", "left_semi")
-    return query.select("run_id", "text").distinct().join(kept.select("run_id", "text"), ["run_id", "text"], "left_anti")
+    return shapes(query).groupBy("run_id", "shape").agg(F.min("text").alias("text")).join(shapes(kept), ["run_id", "shape"], "left_anti").select("run_id", "text")
 
 
 def multiset(lines: DataFrame, kept: DataFrame, pattern: str = r"^\s*[-+]") -> DataFrame:

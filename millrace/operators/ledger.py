@@ -43,8 +43,9 @@ def ledger_totals(ledger: DataFrame) -> DataFrame:
 
 
 def savings_by_command(ledger: DataFrame) -> DataFrame:
-    g = ledger.groupBy(command_key(F.col("command")).alias("command_key"))
-    g = g.agg(F.count("*").alias("runs"), F.sum("raw_bytes").alias("raw_bytes"), F.sum("out_bytes").alias("out_bytes"))
+    # Summed by command first, so that the key is worked out once for each distinct command.
+    g = ledger.groupBy("command").agg(F.count("*").alias("runs"), F.sum("raw_bytes").alias("raw_bytes"), F.sum("out_bytes").alias("out_bytes"))
+    g = g.groupBy(command_key(F.col("command")).alias("command_key")).agg(*[F.sum(c).alias(c) for c in ("runs", "raw_bytes", "out_bytes")])
     g = g.withColumn("saved", entry_saved(F.col("raw_bytes"), F.col("out_bytes")))
     return g.withColumn("pct", F.when(F.col("raw_bytes") > 0, 100.0 * F.col("saved") / F.col("raw_bytes")).otherwise(0.0))
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
-from ..functions.commands import classify_kind
+from ..functions.commands import classify_kind, decided
 from ..operators import stages as S
+from ..sources.tables import stored
 from .config import Config
 
 #: Stages in order: name, the kinds they serve (None: all), function.
@@ -41,7 +42,7 @@ def staged(lines: DataFrame, runs: DataFrame, cfg: Config = Config()) -> DataFra
     lines: run_id, line_no, text; runs: run_id, argv. A run without argv is generic. Adds raw_text, kind,
     small, raw_lines, raw_bytes, lines_out, bytes_out, changed, use_raw.
     """
-    kinds = runs.select("run_id", F.coalesce(classify_kind(F.col("argv")), F.lit("generic")).alias("kind"))
+    kinds = decided(runs.select("run_id", "argv"), "argv", kind=F.coalesce(classify_kind(F.col("argv")), F.lit("generic"))).select("run_id", "kind")
     df = S.start(lines.select("run_id", "line_no", "text", F.coalesce("text", F.lit("")).alias("raw_text")))
     df = df.join(kinds, "run_id", "left").withColumn("kind", F.coalesce("kind", F.lit("generic")))
     whole = Window.partitionBy("run_id")
@@ -53,6 +54,8 @@ def staged(lines: DataFrame, runs: DataFrame, cfg: Config = Config()) -> DataFra
         if name == "guard" or cfg.on(name):  # protection can't be switched off
             on = ~F.col("small") & (F.col("kind").isin(*kinds_) if kinds_ else F.lit(True))
             df = fn(df, cfg, on)
+        if name in cfg.cuts:
+            df = stored(df)
     alive = F.col("dropped_by").isNull()
     df = df.withColumn("lines_out", F.sum(alive.cast("long")).over(whole)).withColumn("bytes_out", F.sum(F.when(alive, F.octet_length("text") + 1).otherwise(0)).over(whole))
     for name in ("raw_lines", "raw_bytes", "small", "kind"):  # markers carry their run's figures

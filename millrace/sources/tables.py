@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,20 +51,42 @@ def reassemble_lines(chunks: DataFrame) -> DataFrame:
     return every.join(full, ["run_id", "line_no"], "left").select("run_id", "line_no", text.alias("text"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        found = shared_dir.own = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="millrace-")
+    return found.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: cuts the plan, survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/millrace-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_ledger(spark: SparkSession, path: str, since: datetime | None = None) -> DataFrame:
     """JSON lines; blank and malformed ones are skipped, and entries before ``since``, or without a time then."""
-    rows = spark.read.text(path).where("trim(value) <> ''")
+    try:
+        rows = spark.read.text(path).where("trim(value) <> ''")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)  # no ledger yet
     parsed = F.from_json("value", LEDGER + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
     df = rows.select(parsed.alias("x")).where("x._corrupt_record IS NULL").select("x.*").drop("_corrupt_record")
     return df.where(F.col("time") >= F.lit(since)) if since is not None else df
 
 
-def append_ledger(stats: DataFrame, runs: DataFrame, path: str, now: datetime, fmt: str = "parquet") -> None:
-    """Appends one row per run, stamped and with a short command, by date."""
+def append_ledger(stats: DataFrame, runs: DataFrame, path: str, now: datetime, fmt: str = "parquet", archive: str | None = None) -> None:
+    """Appends one row per run, stamped and with a short command, by date; archive: where S7 wrote the raw lines."""
+    lost = F.col("filtered") & (F.size("filters") > 0)
+    raw_log = F.when(lost, F.concat(F.lit(f"{archive}#run_id="), F.col("run_id").cast("string"))) if archive else F.lit(None).cast("string")
     when = F.coalesce("started_at", F.lit(now)) if "started_at" in runs.columns else F.lit(now)
     code = F.col("exit_code") if "exit_code" in runs.columns else F.lit(0)
     side = runs.select("run_id", when.cast("timestamp").alias("time"), short_command(F.col("command")).alias("command"), code.cast("int").alias("exit_code"))
-    out = stats.join(side, "run_id").select("time", "command", "filters", F.col("raw_bytes"), F.col("bytes_out").alias("out_bytes"), "exit_code", F.lit(None).cast("string").alias("raw_log"))
+    out = stats.join(side, "run_id").select("time", "command", "filters", F.col("raw_bytes"), F.col("bytes_out").alias("out_bytes"), "exit_code", raw_log.alias("raw_log"))
     out.withColumn("date", F.to_date("time")).write.mode("append").partitionBy("date").format(fmt).save(path)
 
 

@@ -31,8 +31,8 @@ def compact_stream(
         late = fresh.join(done.distinct(), "run_id", "left_semi")
         late.write.mode("overwrite").parquet(f"{state}/late/{number}")
         rows = held.unionByName(fresh.join(done.distinct(), "run_id", "left_anti"))
-        newest = F.max("ts").over(plan.Window.partitionBy())
-        ends = rows.groupBy("run_id").agg(F.max("ts").alias("ts"), F.bool_or("end").alias("end")).withColumn("now", newest)
+        newest = rows.agg(F.max("ts")).first()[0]
+        ends = rows.groupBy("run_id").agg(F.max("ts").alias("ts"), F.bool_or("end").alias("end")).withColumn("now", F.lit(newest).cast("timestamp"))
         over = ends.where(F.col("end") | (F.col("ts") < F.col("now") - F.expr(f"INTERVAL {idle}"))).select("run_id")
         over.write.mode("overwrite").parquet(f"{state}/done/{number}")
         over = spark.read.schema("run_id bigint").parquet(f"{state}/done/{number}")

@@ -86,7 +86,6 @@ def _run(n):
     return [f"info: [x] step {i} took {i} ms in the build" if i % 9 else f"Error: {i}" for i in range(n)]
 
 
-@pytest.mark.skipif(not os.environ.get("TEST_SLOW"), reason="takes minutes; set TEST_SLOW=1")
 def test_sinks(spark, tmp_path):
     texts = _run(200)
     lines = spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(texts)], "run_id long, line_no long, text string")
@@ -96,9 +95,13 @@ def test_sinks(spark, tmp_path):
     assert stats.first().bytes_out < stats.first().bytes_in and gone.count() > 0
     T.write_compacted(kept, str(tmp_path / "out"))
     T.write_raw_archive(lines, stats, str(tmp_path / "raw"))
-    T.append_ledger(stats, runs, str(tmp_path / "ledger"), datetime(2024, 1, 1))
+    T.append_ledger(stats, runs, str(tmp_path / "ledger"), datetime(2024, 1, 1), archive="raw")
     assert spark.read.parquet(str(tmp_path / "raw")).count() == 200
-    assert spark.read.parquet(str(tmp_path / "ledger")).first().command == "make"
+    entry = spark.read.parquet(str(tmp_path / "ledger")).first()
+    assert (entry.command, entry.raw_log) == ("make", "raw#run_id=1")
+    written = spark.read.parquet(str(tmp_path / "out")).orderBy("out_no")
+    assert [r.text for r in written.collect()] == want
+    assert T.read_ledger(spark, str(tmp_path / "no such ledger")).count() == 0
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs" / "a.log").write_text("12345")
     assert tuple(T.prune_archive(spark, str(tmp_path / "logs"), 1, datetime.now() + timedelta(days=2)).first()) == (1, 5)
