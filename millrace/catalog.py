@@ -361,9 +361,13 @@ _stage(
       UNION ALL SELECT run_id, a, 1, {_MARK.format("'#' || id || ' [millrace] ' || " + _plural("progs", "line") + " || " + _LAYER)} FROM v WHERE mine AND done IS NULL AND a = tail AND progs > 0)
     {_NUMBERED} FROM r""",
 )
-_stage(
-    "dedup_lines", lambda df: S.dedup(df, CFG),
-    f"""WITH f AS (SELECT *, line_no AS pos, NOT {_FAIL} AS free, trim(text) = '' AS blank, CASE WHEN {_like(P.LOG_NOISE)} THEN {_SHAPE} ELSE text END AS k FROM ({EVT})),
+
+
+def _collapsed(source: str) -> str:
+    """CTEs f to r: ``source`` (run_id, pos dense in a run, text) after the collapse of runs and repeats; r in order a, o."""
+    more = f"(SELECT CASE WHEN strlen({_TRIMMED}) > 70 THEN substr({_TRIMMED}, 1, 70) || '…' ELSE {_TRIMMED} END FROM (SELECT t AS text))"
+    further = f"'[millrace] ×' || extra || CASE WHEN extra = 1 THEN ' further similar line: ' ELSE ' further similar lines: ' END || {more}"
+    return f"""f AS (SELECT *, NOT {_FAIL} AS free, trim(text) = '' AS blank, CASE WHEN {_like(P.LOG_NOISE)} THEN {_SHAPE} ELSE text END AS k FROM ({source})),
     a AS (SELECT *, NOT (free AND coalesce(lag(free) OVER w AND lag(k) OVER w = k, false)) AS new FROM f WINDOW w AS (PARTITION BY run_id ORDER BY pos)),
     b AS (SELECT *, sum(new::int) OVER w AS isle, CASE WHEN coalesce(lead(free) OVER w, false) THEN pos + 1 ELSE pos END AS ends FROM a WINDOW w AS (PARTITION BY run_id ORDER BY pos)),
     i AS (SELECT run_id, isle, count(*) AS c, min(pos) AS pos, max(pos) AS stop, max(ends) AS flush, arg_min(text, pos) AS t, arg_min(k, pos) AS k, bool_and(free AND NOT blank) AS lead FROM b GROUP BY run_id, isle),
@@ -375,9 +379,10 @@ _stage(
         CASE WHEN (b.free AND b.blank AND NOT b.new) OR (m.c >= 3 AND NOT b.new) OR coalesce(m.sup, false) THEN 'dedup' END AS dropped_by, false AS marker
       FROM b LEFT JOIN m ON m.run_id = b.run_id AND m.isle = b.isle
       UNION ALL SELECT run_id, stop, 1, {_MARK.format("'[millrace] ×' || c || ' similar lines collapsed'")} FROM m WHERE c >= 3
-      UNION ALL SELECT run_id, 1000000000000, pos, {_MARK.format("'[millrace] ×' || " + "extra || CASE WHEN extra = 1 THEN ' further similar line: ' ELSE ' further similar lines: ' END || " + f"(SELECT CASE WHEN strlen({_TRIMMED}) > 70 THEN substr({_TRIMMED}, 1, 70) || '…' ELSE {_TRIMMED} END FROM (SELECT t AS text))")} FROM m WHERE nth = 1 AND extra > 0)
-    {_NUMBERED} FROM r""",
-)
+      UNION ALL SELECT run_id, 1000000000000, pos, {_MARK.format(further)} FROM m WHERE nth = 1 AND extra > 0)"""
+
+
+_stage("dedup_lines", lambda df: S.dedup(df, CFG), f"WITH {_collapsed(f'SELECT *, line_no AS pos FROM ({EVT})')} {_NUMBERED} FROM r")
 _add("collapse_runs_docs", lambda s, d: S.dedup(S.start(doc_lines(s, d)), Config(window=0, min_run=2)).where("NOT marker AND dropped_by = 'dedup'").select("run_id", "src"))
 
 
@@ -403,7 +408,35 @@ def _staged(s: SparkSession, d: str) -> DataFrame:
 _add("compact_stats", lambda s, d: K.run_stats(_staged(s, d)))
 _add("compact_kept", lambda s, d: K.kept_lines(_staged(s, d), CFG))
 _add("compact_elided", lambda s, d: K.elided(_staged(s, d)))
-_add("compact_documents", lambda s, d: K.run_stats(K.staged(doc_lines(s, d), doc_lines(s, d).select("run_id").distinct().withColumn("argv", F.array(F.lit("make"))), CFG)))
+
+
+def _document_stats(s: SparkSession, d: str) -> DataFrame:
+    lines = doc_lines(s, d)
+    runs = lines.select("run_id").distinct().withColumn("argv", F.array(F.lit("make")))
+    return K.run_stats(K.staged(lines, runs, CFG)).withColumn("filters", F.array_join("filters", ","))
+
+
+#: The whole plan over documents, in which no line is a failure, opens a block or needs context.
+_SOURCE = f"""SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY line_no) AS pos FROM (
+    SELECT *, coalesce(k0 = lead(k0) OVER (PARTITION BY run_id ORDER BY line_no), false) AS moved FROM (
+      SELECT *, CASE WHEN {_PROGRESS} THEN {_SHAPE} END AS k0 FROM (
+        SELECT run_id, line_no, clean, {_REDRAW.format('(' + _CLEAN.replace('text', 'clean') + ')')} AS text FROM big))) WHERE NOT moved"""
+_add(
+    "compact_documents", _document_stats,
+    f"""WITH base AS MATERIALIZED (SELECT run_id, line_no, text AS raw, regexp_replace(text, '\r$', '') AS clean FROM ({DOC})),
+    size AS (SELECT run_id, count(*) AS lines_in, cast(sum(strlen(raw) + 1) as bigint) AS raw_bytes, cast(sum(strlen(clean) + 1) as bigint) AS clean_bytes FROM base GROUP BY run_id),
+    big AS (SELECT base.* FROM base JOIN size USING (run_id) WHERE NOT (lines_in <= 40 AND raw_bytes <= 2048)),
+    {_collapsed(_SOURCE)},
+    n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY a, o) AS n, count(*) OVER (PARTITION BY run_id) AS alive FROM r WHERE dropped_by IS NULL),
+    cut AS (SELECT run_id, count(*) FILTER (NOT mid) AS stay, count(*) FILTER (mid) AS skip, sum(strlen(text) + 1) FILTER (NOT mid) AS bytes FROM (SELECT *, n > {CFG.head} AND n <= greatest({CFG.head}, alive - {CFG.tail}) AS mid FROM n) GROUP BY run_id),
+    hit AS (SELECT r.run_id, bool_or(r.marker) AS marked, bool_or(r.dropped_by IS NOT NULL) AS collapsed, bool_or(coalesce(r.text <> f.clean, false)) AS rewritten FROM r LEFT JOIN f ON f.run_id = r.run_id AND f.pos = r.src GROUP BY r.run_id),
+    x AS (SELECT size.*, coalesce(cut.stay + (skip > 0)::int, lines_in) AS n_out, cast(coalesce(bytes + CASE WHEN skip > 0 THEN strlen('[millrace] ... ' || {_plural('skip', 'line')} || ' elided ...') + 1 ELSE 0 END, raw_bytes) as bigint) AS b_out,
+      cut.run_id IS NULL AS small, coalesce(skip > 0, false) AS cut_, coalesce(marked, false) AS marked, coalesce(collapsed, false) AS collapsed, coalesce(rewritten OR lines_in > (SELECT count(*) FROM f WHERE f.run_id = size.run_id), false) AND cut.run_id IS NOT NULL AS cleaned
+      FROM size LEFT JOIN cut USING (run_id) LEFT JOIN hit USING (run_id)),
+    y AS (SELECT *, NOT small AND NOT (raw_bytes <= 1048576 AND b_out + CASE WHEN cut_ OR marked OR collapsed OR cleaned THEN strlen('[millrace] ' || CASE WHEN lines_in > n_out THEN (lines_in - n_out) || ' lines elided' ELSE 'output rewritten' END || ' — full output: run ' || run_id) + 1 ELSE 0 END >= raw_bytes) AS used FROM x)
+    SELECT run_id, 'generic' AS kind, lines_in, CASE WHEN used THEN n_out ELSE lines_in END AS lines_out, CASE WHEN used THEN clean_bytes ELSE raw_bytes END AS bytes_in, CASE WHEN used THEN b_out ELSE raw_bytes END AS bytes_out, raw_bytes, used AS filtered,
+      CASE WHEN used THEN concat_ws(',', CASE WHEN cleaned THEN 'ansi' END, CASE WHEN collapsed THEN 'dedup' END, CASE WHEN cut_ THEN 'truncate' END) ELSE '' END AS filters FROM y""",
+)
 _add("savings_line", lambda s, d: K.savings_line(K.run_stats(_staged(s, d))))
 _add(
     "passthrough", lambda s, d: K.passthrough(doc_lines(s, d)),

@@ -23,9 +23,25 @@ def _definitions() -> dict[str, tuple[str, str]]:
         shape = f"regexp_replace({shape}, {_text(pattern)}, '" + blank.replace("'", "\\'") + "')"
     plain = f"regexp_replace(text, {_text(P.URL_TOKEN)}, ' ')"
     bar = "r'" + P.PROGRESS_BAR_JAVA + "'"
+    fails = f"({_like(P.STACK_FRAME)} OR {_like(P.FAILURE, plain)})"
+    base = r"lower(regexp_extract(text, r'[^/\\]*\z', 0))"
+    for suffix in ("exe", "cmd", "bat", "ps1"):
+        base = rf"regexp_replace({base}, r'\.{suffix}\z', '')"
+    quoted = r"concat('\'', replace(text, '\'', '\'\\\'\''), '\'')"
     return {
+        "normalize_eol": ("STRING", r"regexp_replace(text, r'\r\z', '')"),
+        "is_blank_line": ("BOOLEAN", r"coalesce(rlike(text, r'(?U)^\s*\z'), false)"),
+        "indent_of": ("INT", r"length(regexp_extract(text, r'^[ \t]*', 0))"),
+        "needs_context": ("BOOLEAN", f"{fails} AND NOT {_like(P.SELF_CONTAINED)}"),
+        "is_block_end": ("BOOLEAN", _like(P.BLOCK_END)),
+        "is_failure_detail": ("BOOLEAN", _like(P.DETAIL)),
+        "dedup_key": ("STRING", f"CASE WHEN {_like(P.LOG_NOISE)} THEN {shape} ELSE text END"),
+        "estimate_tokens": ("BIGINT", "CASE WHEN octet_length(text) = 0 THEN 0 ELSE greatest(1, octet_length(text) div 4) END"),
+        "base_command": ("STRING", base),
+        "redirects_all": ("BOOLEAN", "contains(text, '&>') OR contains(text, '>&') OR (contains(text, '>') AND contains(text, '2>&1'))"),
+        "shell_quote": ("STRING", quoted),
         "strip_ansi": ("STRING", f"regexp_replace(text, {_text(P.ESCAPES)}, '')"),
-        "resolve_redraw": ("STRING", r"CASE WHEN contains(text, '\r') THEN coalesce(try_element_at(filter(split(text, '\r'), x -> trim(x) <> ''), -1), '') ELSE text END"),
+        "resolve_redraw": ("STRING", r"CASE WHEN contains(text, '\r') THEN coalesce(try_element_at(filter(split(text, '\r'), x -> regexp_replace(x, r'(?U)^\s+|\s+\z', '') <> ''), -1), '') ELSE text END"),
         "is_progress_line": ("BOOLEAN", f"coalesce({trimmed} <> '' AND (rlike({trimmed}, {bar}) OR rlike({trimmed}, {_text(P.PROGRESS_FIGURE)})), false)"),
         "is_stack_frame": ("BOOLEAN", _like(P.STACK_FRAME)),
         "is_failure_line": ("BOOLEAN", f"{_like(P.STACK_FRAME)} OR {_like(P.FAILURE, plain)}"),
@@ -43,6 +59,15 @@ def register(spark: SparkSession) -> list[str]:
     return [*_definitions(), "failure_blocks"]
 
 
+def block_scan(table: str) -> str:
+    """SQL for the failure blocks of ``table`` (run_id, line_no, text): run_id, line_no, block."""
+    flags = (
+        "is_blank_line(text) AS blank, is_block_start(text) AND NOT is_block_end(text) AS starts, is_block_start(text) AS header, "
+        "is_block_end(text) AS ends, is_failure_detail(text) OR is_failure_line(text) AS detail, indent_of(text) AS indent"
+    )
+    return f"SELECT * FROM failure_blocks(TABLE(SELECT run_id, line_no, {flags} FROM {table}) PARTITION BY run_id ORDER BY line_no)"
+
+
 @udtf(returnType="run_id bigint, line_no bigint, block bigint")
 class FailureBlocks:
     """``SELECT * FROM failure_blocks(TABLE(t) PARTITION BY run_id ORDER BY line_no)``.

@@ -28,3 +28,38 @@ def test_sql_functions_equal_the_columns(spark):
     got = spark.sql("SELECT line_no, block FROM failure_blocks(TABLE(block_input) PARTITION BY run_id ORDER BY line_no)").collect()
     want = S.failure_blocks(S.start(df)).select("src", "block").collect()
     assert sorted((r.line_no, r.block) for r in got) == sorted((r.src, r.block) for r in want)
+
+
+def test_more_functions_equal_the_columns(spark):
+    from millrace.functions import commands as C
+    from millrace.functions import lines as L
+    from millrace.functions import sql
+
+    sql.register(spark)
+    texts = [
+        "", " ", "\t\u00a0 ", "a\r", "a\rb\r\t", "  1) x", "Error: y", "warning CS0168: unused", "12 passing", "   + x", "info: took 3 ms", "it's 'x'",
+        r"C:\\tools\\Docker.exe", "/usr/bin/npm.cmd", "make > a 2>&1", "x &> y", "npm warn deprecated z", "é" * 9,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    t = sql_text = df.text
+    columns = {
+        "normalize_eol": L.normalize_eol(t), "is_blank_line": L.is_blank(t), "indent_of": L.indent_of(t), "needs_context": L.needs_context(t), "is_block_end": L.is_block_end(t),
+        "is_failure_detail": L.is_failure_detail(t), "dedup_key": L.dedup_key(t), "estimate_tokens": L.estimate_tokens(t), "resolve_redraw": L.resolve_redraw(t),
+        "base_command": C.base_command(sql_text), "redirects_all": C.redirects_all(t), "shell_quote": C.shell_quote(t),
+    }
+    for name, column in columns.items():
+        rows = df.select("text", column.alias("a")).selectExpr("text", "a", f"{name}(text) AS b").collect()
+        assert [(r.text, r.b) for r in rows if r.a != r.b] == [], name
+
+
+def test_block_scan_of_a_plain_table(spark):
+    from millrace.functions import sql
+    from millrace.operators import stages as S
+
+    sql.register(spark)
+    texts = ["a", "  1) x", "     AssertionError: y", "      + b", "", "done", "Error: z", "  at f (a.js:1:2)", "12 passing"]
+    lines = spark.createDataFrame([(r, i + 1, t) for r in (1, 2) for i, t in enumerate(texts)], "run_id long, line_no long, text string")
+    lines.createOrReplaceTempView("plain_lines")
+    got = {(r.run_id, r.line_no): r.block for r in spark.sql(sql.block_scan("plain_lines")).collect()}
+    want = {(r.run_id, r.src): r.block for r in S.failure_blocks(S.start(lines)).collect()}
+    assert got == {k: None if v is None or v != v else v for k, v in want.items()} and any(got.values())
