@@ -73,15 +73,13 @@ class Wavelet:
         word, below = at >> 6, (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
         return self.ones[level][word] + np.bitwise_count(self.words[level][word] & below).astype(np.int64)
 
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often ``symbol`` stands before ``at``."""
-        low = np.zeros_like(at)
+    def walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where ``at`` leads down the levels of ``symbol``; less what 0 leads to, how often it stands before ``at``."""
         for level in range(self.bits):
             one = (symbol >> (self.bits - 1 - level)) & 1 == 1
-            a, z = self._ones(level, at), self._ones(level, low)
+            a = self._ones(level, at)
             at = np.where(one, a + self.split[level], at - a)
-            low = np.where(one, z + self.split[level], low - z)
-        return at - low
+        return at
 
 
 class Index:
@@ -92,6 +90,8 @@ class Index:
         kinds = int(text.max()) + 1
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=kinds))])
         self.wavelet, self.n = Wavelet(text[order - 1], kinds), len(text)
+        every = np.arange(kinds)
+        self.begin = self.before[:-1] - self.wavelet.walk(every, np.zeros(kinds, np.int64))
         self.lows, width = [documents[order]], 1
         while 2 * width <= len(text):
             last = self.lows[-1]
@@ -103,7 +103,7 @@ class Index:
         low, high = np.zeros(len(windows), np.int64), np.full(len(windows), self.n, np.int64)
         for j in range(windows.shape[1] - 1, -1, -1):
             c = windows[:, j]
-            low, high = self.before[c] + self.wavelet.rank(c, low), self.before[c] + self.wavelet.rank(c, high)
+            low, high = self.begin[c] + self.wavelet.walk(c, low), self.begin[c] + self.wavelet.walk(c, high)
         return low, high
 
     def smallest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -161,7 +161,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "u": pdf["u"], "n": [len(w) for w in words], "sha": sha})
 
     meta = with_first(keyed(docs).mapInPandas(count, "id long, u long, n long, sha string"))
-    covered = repeated(docs, units, grams, resolve, meta, SPAN, GRAM, other=True)
+    covered = repeated(docs, units, grams, resolve, meta, SPAN, GRAM, other=True, many=lambda texts: Words(texts, lower=False))
     out = finish(docs, meta, covered, split_words, keep, SPAN)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_words"), "n_removed", "kept_sha256")
 

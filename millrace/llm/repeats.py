@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
+from .words import portions
 
 #: Bits of the filter of document keys that is sent to tasks: 1 MiB, whatever the input.
 FILTER_BITS = 1 << 23
@@ -92,37 +93,44 @@ def _some(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repeated(
-    docs: DataFrame, units: Callable, grams: Callable, resolve: Callable, meta: DataFrame, span: int, k: int, other: bool = False
+    docs: DataFrame, units: Callable, grams: Callable, resolve: Callable, meta: DataFrame, span: int, k: int, other: bool = False,
+    many: Callable | None = None,
 ) -> DataFrame:
     """u and its covered intervals ``spans`` array<struct<s, e>> in units.
 
     units(text) gives an array, grams(units) its k-gram hashes. resolve(frame) gets whole groups of equal
     grams, sorted, and returns the repeated windows: number of the row, distance from the start to the owner.
-    meta: u, first (whether no earlier document is the same). other: only other documents count.
+    meta: u, first (whether no earlier document is the same). other: only other documents count. many(texts)
+    gives the units of several texts at once.
     """
+    many = many or (lambda texts: map(units, texts))
     width = span - k + 1
 
     rows = keyed(docs)
     spark = docs.sparkSession
-    names = ("g", "u", "at", "low", "high", "hot")
+    names = ("g", "u", "at", "low", "high")
     schema = "g long, u long, at int, low short, high short, hot boolean"
     hot = spark.sparkContext.broadcast(np.empty(0, np.int64))
 
     def list_owners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def frame(out: list) -> pd.DataFrame:
+            found = pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
+            return found.assign(hot=np.isin(found["g"].to_numpy(), hot.value))
+
         for pdf in batches:
             out, n = [], 0
-            for u, text in zip(pdf["u"], pdf["t"], strict=True):
-                g = grams(units(text))
-                at, low, high = owners(g, width)
-                if len(at):
-                    own = g[at].view(np.int64)
-                    out.append((own, np.full(len(at), u, np.int64), at, low, high, np.isin(own, hot.value)))
-                    n += len(at)
-                if n > 200_000:
-                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
-                    out, n = [], 0
+            for first, part in portions(pdf["t"]):
+                for u, x in zip(pdf["u"].iloc[first : first + len(part)], many(part), strict=True):
+                    g = grams(x)
+                    at, low, high = owners(g, width)
+                    if len(at):
+                        out.append((g[at].view(np.int64), np.full(len(at), u, np.int64), at, low, high))
+                        n += len(at)
+                    if n > 200_000:
+                        yield frame(out)
+                        out, n = [], 0
             if out:
-                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                yield frame(out)
 
     some = rows.where(F.pmod(F.xxhash64("u"), F.lit(max(1, docs.count() // SAMPLE))) == 0).select("u", "t")
     often = some.mapInPandas(list_owners, schema).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
