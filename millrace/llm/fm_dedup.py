@@ -98,14 +98,31 @@ class Index:
             self.lows.append(np.minimum(last[:-width], last[width:]))
             width *= 2
 
+    def extend(self, word: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One step of backward search: intervals of the runs with ``word`` put before them."""
+        return self.begin[word] + self.wavelet.walk(word, low), self.begin[word] + self.wavelet.walk(word, high)
+
     def search(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of the rows of ``windows`` in the suffix array, by backward search."""
+        """Intervals of the rows of ``windows`` in the suffix array."""
         low, high = np.zeros(len(windows), np.int64), np.full(len(windows), self.n, np.int64)
         for j in range(windows.shape[1] - 1, -1, -1):
-            c = windows[:, j]
-            low, high = self.begin[c] + self.wavelet.walk(c, low), self.begin[c] + self.wavelet.walk(c, high)
+            low, high = self.extend(windows[:, j], low, high)
         return low, high
 
+    def matching(self, text: np.ndarray, ends: np.ndarray, document: np.ndarray, reach: int) -> np.ndarray:
+        """Matching statistics: how long a run that ends at each of ``ends`` also stands in a smaller document.
+
+        The last ``reach`` symbols of ``text`` up to each end belong to ``document``; longer runs count as ``reach``.
+        """
+        length = np.zeros(len(ends), np.int8)
+        low, high, live = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64), np.arange(len(ends))
+        for step in range(reach):
+            low, high = self.extend(text[ends[live] - step], low, high)
+            more = self.smallest(low, high) < document[live]
+            live, low, high = live[more], low[more], high[more]
+            length[live] = step + 1
+        return length
+
     def smallest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         level = np.minimum(np.frexp((high - low).astype(float))[1] - 1, len(self.lows) - 1)
         out = np.empty(len(low), self.lows[0].dtype)
@@ -136,9 +153,7 @@ def resolve(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(f)), count)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)  # from the context's first window
     index = Index(text, np.repeat(document, length + 1).astype(np.int32), SPAN)
-    windows = text[(start[row] + offset)[:, None] + np.arange(SPAN)[None, :]]
-    first = index.smallest(*index.search(windows))
-    hit = first < document[row]
+    hit = index.matching(text, start[row] + offset + SPAN - 1, document[row], SPAN) >= SPAN
     return back[row[hit]], (high[row] - offset)[hit]
 
 

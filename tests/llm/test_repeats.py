@@ -141,3 +141,19 @@ def test_index_counts():
     for i, w in enumerate(windows):
         places = [j for j in range(397) if (text[j : j + 3] == w).all()]
         assert high[i] - low[i] == len(places) and index.smallest(low[i : i + 1], high[i : i + 1])[0] == places[0]
+
+
+def test_matching_statistics():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(1, 4, int(n)) for n in rng.integers(8, 30, 12)]
+    text = np.concatenate([np.append(d, 0) for d in docs])
+    index = fm_dedup.Index(text, np.repeat(np.arange(12, dtype=np.int32), [len(d) + 1 for d in docs]), 8)
+    start = 0
+    for i, d in enumerate(docs):
+        ends = np.arange(7, len(d))
+        got = index.matching(text, start + ends, np.full(len(ends), i), 8)
+        earlier = [tuple(e[j : j + n]) for e in docs[:i] for n in range(1, 9) for j in range(len(e) - n + 1)]
+        assert list(got) == [max([n for n in range(1, 9) if tuple(d[e - n + 1 : e + 1]) in earlier], default=0) for e in ends]
+        start += len(d) + 1
