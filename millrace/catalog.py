@@ -464,7 +464,21 @@ _audit("audit_multiset", lambda lines, runs, x: A.multiset(lines.where(L.is_fail
 _audit("audit_savings_floor", lambda lines, runs, x: A.savings_floor(K.run_stats(x), runs.select("run_id", F.lit(0.0).alias("min_saving"))))
 _audit("audit_must_keep", lambda lines, runs, x: A.must_keep(K.kept_lines(x, CFG), lines.where("text LIKE 'Error: event%'").select("run_id", F.col("text").alias("needle"))))
 _audit("audit_queries_complete", lambda lines, runs, x: A.queries_complete(lines, K.kept_lines(x, Config(footer=False)), runs.withColumn("kind", F.when(C.is_query_command(F.col("argv")), "query"))))
-_add("audit_block_equality", lambda s, d: A.block_equality(event_lines(s, d), event_lines(s, d).select("run_id", F.col("line_no").alias("out_no"), "text", F.lit(False).alias("is_marker"))), "SELECT cast(NULL AS bigint) AS run_id, cast(NULL AS bigint) AS block_no, cast(NULL AS varchar) AS expected, cast(NULL AS varchar) AS got WHERE false")
+
+
+def _blocks(s: SparkSession, d: str) -> DataFrame:
+    """Every tenth line is changed: the blocks that hold such a line are the violations."""
+    lines = event_lines(s, d)
+    text = F.when(F.col("line_no") % 10 == 0, F.upper("text")).otherwise(F.col("text"))
+    return A.block_equality(lines, lines.select("run_id", F.col("line_no").alias("out_no"), text.alias("text"), F.lit(False).alias("is_marker")))
+
+
+_add(
+    "audit_block_equality", _blocks,
+    rf"""WITH h AS (SELECT *, CASE WHEN line_no % 10 = 0 THEN upper(text) ELSE text END AS other, count(*) FILTER (regexp_matches(text, '^\s*\d+\)\s')) OVER (PARTITION BY run_id ORDER BY line_no) AS block_no FROM ({EVT})),
+    b AS (SELECT run_id, block_no, regexp_replace(string_agg(text, chr(10) ORDER BY line_no), '\s+$', '') AS expected, regexp_replace(string_agg(other, chr(10) ORDER BY line_no), '\s+$', '') AS got FROM h WHERE block_no > 0 GROUP BY run_id, block_no)
+    SELECT run_id, block_no, expected, got FROM b WHERE expected <> got""",
+)
 
 
 def _diff(s: SparkSession, d: str) -> DataFrame:
