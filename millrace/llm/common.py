@@ -13,6 +13,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="millrace-")
         shared_dir.own = found
     return found.rstrip("/")
