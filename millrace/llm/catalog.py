@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, fm_dedup, hmm, jaccard_join, licenses, merkle, packing, pii, suffix_dedup, toxicity
+from . import decontaminate, exact_dedup, fm_dedup, hmm, jaccard_join, licenses, merkle, packing, pii, prefix_trie, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,9 +16,12 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_fm_dedup": fm_dedup.op10_fm_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_quality": quality.op13_quality,
 }
 SQL = {
     "op6_exact_dedup": exact_dedup.SQL,
     "op9_decontamination": decontaminate.SQL,
     "op11_merkle_manifest": merkle.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
 }
