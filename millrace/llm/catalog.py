@@ -20,8 +20,10 @@ QUERIES = {
     "op13_quality": quality.op13_quality,
 }
 SQL = {
+    "op4_jaccard_join": jaccard_join.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op9_decontamination": decontaminate.SQL,
+    "op10_fm_dedup": fm_dedup.SQL,
     "op11_merkle_manifest": merkle.SQL,
     "op12_prefix_trie": prefix_trie.SQL,
 }

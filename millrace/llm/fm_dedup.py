@@ -183,3 +183,16 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def op10_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (
+  SELECT doc_id, j, w[j] AS word, CASE WHEN j + 12 <= len(w) THEN array_to_string(w[j:j + 12], ' ') END AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM w)),
+f AS (SELECT key, min(doc_id) AS first FROM g WHERE key IS NOT NULL GROUP BY key),
+m AS (
+  SELECT doc_id, j, word, coalesce(max(doc_id > first) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM g LEFT JOIN f USING (key)),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM m GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""

@@ -141,3 +141,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen == [[0, 1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 6], [1, 3, 4, 5, 6], [1, 4, 5, 6]]
     rows = C.run(spark, sf).collect()
     assert sorted({r.doc_id for r in rows}) == [1, 4, 5, 6]
+
+
+def test_a_text_scores_the_same_in_every_batch():
+    rng = np.random.default_rng(11)
+    model = hmm.Model.first(rng.integers(1, 50, 60).astype(float))
+    docs = [rng.integers(0, 60, rng.integers(1, 80)).astype(np.uint16) for _ in range(50)]
+    alone = [model.log10([d])[0] for d in docs]
+    for n in range(1, 51):
+        assert list(model.log10(docs[:n])) == alone[:n] and list(model.log10(docs[-n:])) == alone[-n:]
+
+
+def test_sums_over_thousands_of_partitions_go_in_two_levels(spark):
+    rows = [(i, p, [float(p), 1.0, float(i)]) for p in range(5000) for i in (0, 1)]
+    parts = spark.createDataFrame(rows, "i int, p int, v array<double>").repartition(7)
+    got = {r.i: list(r.v) for r in hmm.merged(parts, 70).collect()}
+    assert got == {i: [sum(range(5000)), 5000.0, 5000.0 * i] for i in (0, 1)}
