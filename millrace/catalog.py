@@ -292,7 +292,6 @@ _stage(
       UNION ALL SELECT run_id, pos, 1, {_MARK.format("'[millrace] ' || " + _plural("gone", "line") + " || ' elided from this failure; see the full output log'")} FROM y WHERE block IS NOT NULL AND pos = last AND gone > 0)
     {_NUMBERED} FROM r""",
 )
-_stage("guard", lambda df: S.guard(S.collapse_progress(df), CFG))
 _W = "OVER (PARTITION BY run_id ORDER BY line_no ROWS BETWEEN"
 _stage(
     "context_window",
@@ -363,19 +362,22 @@ _stage(
 )
 
 
-def _collapsed(source: str) -> str:
-    """CTEs f to r: ``source`` (run_id, pos dense in a run, text) after the collapse of runs and repeats; r in order a, o."""
+def _collapsed(source: str, src: str = "b.pos", kept: str = "false", far: str = "true", also: str = "") -> str:
+    """CTEs f to r: ``source`` (run_id, pos dense in a run, text) after the collapse of runs and repeats; r in order a, o.
+
+    kept: lines that are left alone besides failures; far: where repeats at a distance go too; also: columns of a line that are handed on.
+    """
     more = f"(SELECT CASE WHEN strlen({_TRIMMED}) > 70 THEN substr({_TRIMMED}, 1, 70) || '…' ELSE {_TRIMMED} END FROM (SELECT t AS text))"
     further = f"'[millrace] ×' || extra || CASE WHEN extra = 1 THEN ' further similar line: ' ELSE ' further similar lines: ' END || {more}"
-    return f"""f AS (SELECT *, NOT {_FAIL} AS free, trim(text) = '' AS blank, CASE WHEN {_like(P.LOG_NOISE)} THEN {_SHAPE} ELSE text END AS k FROM ({source})),
+    return f"""f AS (SELECT *, NOT {_FAIL} AND NOT ({kept}) AS free, trim(text) = '' AS blank, CASE WHEN {_like(P.LOG_NOISE)} THEN {_SHAPE} ELSE text END AS k FROM ({source})),
     a AS (SELECT *, NOT (free AND coalesce(lag(free) OVER w AND lag(k) OVER w = k, false)) AS new FROM f WINDOW w AS (PARTITION BY run_id ORDER BY pos)),
     b AS (SELECT *, sum(new::int) OVER w AS isle, CASE WHEN coalesce(lead(free) OVER w, false) THEN pos + 1 ELSE pos END AS ends FROM a WINDOW w AS (PARTITION BY run_id ORDER BY pos)),
-    i AS (SELECT run_id, isle, count(*) AS c, min(pos) AS pos, max(pos) AS stop, max(ends) AS flush, arg_min(text, pos) AS t, arg_min(k, pos) AS k, bool_and(free AND NOT blank) AS lead FROM b GROUP BY run_id, isle),
-    j AS (SELECT *, coalesce(c < 3 AND strlen(t) >= 24 AND flush - lag(flush) OVER (PARTITION BY run_id, k ORDER BY pos) <= 50, false) AS near FROM i WHERE lead),
+    i AS (SELECT run_id, isle, count(*) AS c, min(pos) AS pos, max(pos) AS stop, max(ends) AS flush, arg_min(text, pos) AS t, arg_min(k, pos) AS k, bool_and(free AND NOT blank) AS lead, bool_and({far}) AS far FROM b GROUP BY run_id, isle),
+    j AS (SELECT *, coalesce(far AND c < 3 AND strlen(t) >= 24 AND flush - lag(flush) OVER (PARTITION BY run_id, k ORDER BY pos) <= 50, false) AS near FROM i WHERE lead),
     l AS (SELECT *, near AND coalesce(sum(CASE WHEN near THEN 2 ELSE 1 END) OVER (PARTITION BY run_id, k ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 > 2 AS sup FROM j),
     m AS (SELECT *, sum(CASE WHEN sup THEN c ELSE 0 END) OVER (PARTITION BY run_id, k) AS extra, row_number() OVER (PARTITION BY run_id, k ORDER BY pos) AS nth FROM l),
     r AS (
-      SELECT b.run_id, b.pos AS a, 0 AS o, b.pos AS src, CASE WHEN m.c < 3 THEN m.t ELSE b.text END AS text, false AS protected, false AS in_block,
+      SELECT b.run_id, b.pos AS a, 0 AS o, {src} AS src, CASE WHEN m.c < 3 THEN m.t ELSE b.text END AS text, {'b.prot' if also else 'false'} AS protected, false AS in_block,
         CASE WHEN (b.free AND b.blank AND NOT b.new) OR (m.c >= 3 AND NOT b.new) OR coalesce(m.sup, false) THEN 'dedup' END AS dropped_by, false AS marker
       FROM b LEFT JOIN m ON m.run_id = b.run_id AND m.isle = b.isle
       UNION ALL SELECT run_id, stop, 1, {_MARK.format("'[millrace] ×' || c || ' similar lines collapsed'")} FROM m WHERE c >= 3
@@ -383,7 +385,11 @@ def _collapsed(source: str) -> str:
 
 
 _stage("dedup_lines", lambda df: S.dedup(df, CFG), f"WITH {_collapsed(f'SELECT *, line_no AS pos FROM ({EVT})')} {_NUMBERED} FROM r")
-_add("collapse_runs_docs", lambda s, d: S.dedup(S.start(doc_lines(s, d)), Config(window=0, min_run=2)).where("NOT marker AND dropped_by = 'dedup'").select("run_id", "src"))
+_add(
+    "collapse_runs_docs", lambda s, d: S.dedup(S.start(doc_lines(s, d)), Config(window=0, min_run=2)).where("NOT marker AND dropped_by = 'dedup'").select("run_id", "src"),
+    f"""WITH f AS (SELECT *, NOT {_FAIL} AS free, CASE WHEN {_like(P.LOG_NOISE)} THEN {_SHAPE} ELSE text END AS k FROM ({DOC}))
+    SELECT run_id, line_no AS src FROM (SELECT *, free AND coalesce(lag(free) OVER w AND lag(k) OVER w = k, false) AS again FROM f WINDOW w AS (PARTITION BY run_id ORDER BY line_no)) WHERE again""",
+)
 
 
 def _head_tail(s: SparkSession, d: str) -> DataFrame:
@@ -405,9 +411,118 @@ def _staged(s: SparkSession, d: str) -> DataFrame:
     return K.staged(event_lines(s, d), event_runs(s, d), CFG)
 
 
-_add("compact_stats", lambda s, d: K.run_stats(_staged(s, d)))
-_add("compact_kept", lambda s, d: K.kept_lines(_staged(s, d), CFG))
-_add("compact_elided", lambda s, d: K.elided(_staged(s, d)))
+def _note(text: str, src: str = "NULL") -> str:
+    return f"{src} AS src, '[millrace] ' || {text} AS text, false AS prot, false AS inb"
+
+
+_KIND = f"list_extract([{', '.join(_q(k) for k in KIND_OF)}], cast(run_id % {len(COMMANDS)} + 1 as int))"
+_DENSE = "row_number() OVER (PARTITION BY run_id ORDER BY a, o) AS n"
+#: The whole plan over the lines of events, live lines from stage to stage, with the lines that each stage drops. No block
+#: or build step of these runs reaches its cap.
+_PLAN = rf"""base AS MATERIALIZED (SELECT run_id, line_no, text AS raw, regexp_replace(text, '\r$', '') AS clean, {_KIND} AS kind FROM ({EVT})),
+    size AS MATERIALIZED (SELECT run_id, any_value(kind) AS kind, count(*) AS raw_lines, cast(sum(strlen(raw) + 1) as bigint) AS raw_bytes, cast(sum(strlen(clean) + 1) as bigint) AS clean_bytes FROM base GROUP BY run_id),
+    t0 AS (SELECT *, CASE WHEN {_PROGRESS} THEN {_SHAPE} END AS k0 FROM (
+      SELECT base.*, {_REDRAW.format('(' + _CLEAN.replace('text', 'clean') + ')')} AS text FROM base JOIN size USING (run_id) WHERE NOT (raw_lines <= 40 AND raw_bytes <= 2048))),
+    t1 AS (SELECT *, coalesce(k0 = lead(k0) OVER (PARTITION BY run_id ORDER BY line_no), false) AS moved FROM t0),
+    a1 AS MATERIALIZED (SELECT run_id, kind, line_no AS src, text, row_number() OVER (PARTITION BY run_id ORDER BY line_no) AS n, trim(text) = '' AS blank, {_FAIL} AS fail, {_like(P.SELF_CONTAINED)} AS alone,
+      {_like(P.BLOCK_START)} AS header, {_like(P.BLOCK_END)} AS ends, {_like(P.DETAIL)} OR {_FAIL} AS detail, {_INDENT} AS indent FROM t1 WHERE NOT moved),
+    s1(run_id, n, number, inside, depth) AS (
+      SELECT DISTINCT run_id, 0::bigint, 0::bigint, false, 0::bigint FROM a1
+      UNION ALL
+      SELECT run_id, n, number + (NOT stays AND header AND NOT ends)::bigint, stays OR (header AND NOT ends), CASE WHEN stays THEN depth WHEN header AND NOT ends THEN indent ELSE 0 END
+      FROM (SELECT a1.*, s1.number, s1.depth, s1.inside AND (a1.blank OR (NOT a1.ends AND (a1.indent > s1.depth OR (NOT a1.header AND a1.detail)))) AS stays FROM s1 JOIN a1 ON a1.run_id = s1.run_id AND a1.n = s1.n + 1)),
+    b1 AS (SELECT a1.*, CASE WHEN inside THEN number END AS block FROM a1 JOIN s1 USING (run_id, n)),
+    b2 AS (SELECT *, max(CASE WHEN NOT blank THEN n END) OVER (PARTITION BY run_id, block) AS last, fail AND NOT alone AND block IS NULL AS need, lag(block) OVER w AS pb FROM b1 WINDOW w AS (PARTITION BY run_id ORDER BY n)),
+    b3 AS (SELECT *, need OR (block IS NOT NULL AND coalesce(pb <> block, true)) AS trig, need OR (pb IS NOT NULL AND coalesce(pb <> block, true)) AS resets FROM b2),
+    b4 AS (SELECT *, block IS NULL AND coalesce(max(trig) OVER (PARTITION BY run_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND {CFG.before} FOLLOWING), false) AS near, sum(resets::int) OVER (PARTITION BY run_id ORDER BY n) AS g, block IS NULL AND NOT fail AS cand FROM b3),
+    b5 AS (SELECT *, sum(cand::int) OVER (PARTITION BY run_id, g ORDER BY n) AS c FROM b4),
+    a2 AS MATERIALIZED (SELECT run_id, kind, n, src, text, blank, fail, indent, coalesce(block IS NOT NULL OR near OR fail OR (g > 0 AND cand AND c <= {CFG.after}), false) AS prot, coalesce(block IS NOT NULL AND n <= last, false) AS inb FROM b5),
+    i1 AS (SELECT *, kind IN ('node-install', 'node-script') AND NOT prot AND NOT {_like(P.INSTALL_SUMMARY)} AS free, {_like(P.INSTALL_DEPRECATED)} AS old_, {_like(P.INSTALL_NOISE)} AS noise_ FROM a2),
+    i2 AS (SELECT *, free AND old_ AS old, free AND NOT old_ AND noise_ AS noise FROM i1),
+    i3 AS (SELECT run_id, any_value(kind) AS kind, sum(old::int) AS x, sum(noise::int) AS y FROM i2 GROUP BY run_id),
+    a3 AS MATERIALIZED (SELECT *, {_DENSE} FROM (
+      SELECT run_id, kind, n AS a, 0 AS o, src, text, prot, inb FROM i2 WHERE NOT old AND NOT noise
+      UNION ALL SELECT run_id, kind, 1000000000000, 0, {_note("'dropped ' || concat_ws(' and ', CASE WHEN x > 0 THEN x || ' deprecation warnings' END, CASE WHEN y > 0 THEN y || ' progress/notice lines' END)")} FROM i3 WHERE x + y > 0)),
+    d1 AS (SELECT *, n >= min(CASE WHEN kind = 'node-script' AND {_like(P.TEST_MARKER)} THEN n END) OVER (PARTITION BY run_id) AS seen FROM a3),
+    d2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n) AS m, {_like(P.TEST_FAILING)} AS failing, trim(text) = '' OR prot OR {_FAIL} AS solid, {_INDENT} AS indent, {_like(P.TEST_FAILURE)} AS fail, {_like(P.TEST_HEADER)} AS head,
+      prot OR {_like(P.TEST_SUMMARY)} OR NOT {_like(P.TEST_PASS)} AS stays, {_like(P.TAP_RESULT)} AS tap FROM d1 WHERE coalesce(seen, false)),
+    s2(run_id, m, failure, late, hush, gone) AS (
+      SELECT DISTINCT run_id, 0::bigint, false, false, -1::bigint, 0 FROM d2
+      UNION ALL
+      SELECT run_id, m, CASE WHEN failing OR late OR inb OR hushed THEN failure ELSE fail OR (failure AND NOT head) END, late OR failing,
+        CASE WHEN failing OR (hushed AND NOT late) THEN hush WHEN goes AND tap THEN indent ELSE -1 END, CASE WHEN failing OR late THEN 0 WHEN hushed THEN 2 WHEN goes THEN 1 ELSE 0 END
+      FROM (SELECT d2.*, s2.failure, s2.late, s2.hush, NOT d2.failing AND NOT s2.late AND NOT d2.inb AND s2.hush >= 0 AND NOT d2.solid AND d2.indent > s2.hush AS hushed,
+          NOT d2.failing AND NOT s2.late AND NOT d2.inb AND NOT (s2.hush >= 0 AND NOT d2.solid AND d2.indent > s2.hush) AND NOT d2.fail AND NOT (s2.failure AND NOT d2.head) AND NOT d2.stays AS goes
+        FROM s2 JOIN d2 ON d2.run_id = s2.run_id AND d2.m = s2.m + 1)),
+    d3 AS (SELECT d2.run_id, d2.n, s2.gone FROM s2 JOIN d2 USING (run_id, m) WHERE s2.gone > 0),
+    d4 AS (SELECT run_id, count(*) FILTER (gone = 1) AS x FROM d3 GROUP BY run_id),
+    a4 AS MATERIALIZED (SELECT *, {_DENSE} FROM (
+      SELECT run_id, kind, n AS a, 0 AS o, src, text, prot, inb FROM a3 WHERE NOT EXISTS (SELECT 1 FROM d3 WHERE d3.run_id = a3.run_id AND d3.n = a3.n)
+      UNION ALL SELECT run_id, 'node-script', 1000000000000, 0, {_note("'dropped ' || x || CASE WHEN x = 1 THEN ' passing-test line' ELSE ' passing-test lines' END")} FROM d4 WHERE x > 0)),
+    e1 AS (SELECT *, kind = 'docker-build' AS on_, CASE WHEN kind = 'docker-build' AND {_like(P.STEP_LINE)} THEN regexp_extract(text, {_q(P.STEP_LINE)}, 1) END AS id, regexp_extract(text, {_q(P.STEP_LINE)}, 2) AS rest FROM a4),
+    e2 AS (SELECT *, CASE WHEN id IS NULL THEN NULL WHEN {_like(P.STEP_DONE, 'rest')} THEN 'D' WHEN {_like(P.STEP_ERROR, 'rest')} THEN 'E' WHEN {_like(P.STEP_HEADER, 'rest')} THEN 'H' END AS ev,
+      {_like(P.STEP_PROGRESS, 'rest')} OR (SELECT {_PROGRESS} FROM (SELECT rest AS text)) AS moving FROM e1),
+    e3 AS (SELECT *, id IS NOT NULL AND coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY run_id, id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'H', false) AS open FROM e2),
+    e4 AS (SELECT *, coalesce(ev = 'H' AND NOT open, false) AS opens, open AND coalesce(ev IN ('D', 'E'), false) AS status FROM e3),
+    e5 AS (SELECT *, sum(opens::int) OVER (PARTITION BY run_id, id ORDER BY n) AS epoch, open OR opens AS mine, open AND NOT status AS held FROM e4),
+    e6 AS (SELECT *, max(CASE WHEN status THEN n END) OVER c AS done, coalesce(bool_or(mine AND ((held AND prot) OR (status AND ev = 'E'))) OVER c, false) AS bad, sum((held AND (NOT moving OR prot))::int) OVER c AS x, sum((held AND moving AND NOT prot)::int) OVER c AS progs,
+      min(CASE WHEN opens THEN n END) OVER (PARTITION BY run_id, id) AS first, max(CASE WHEN mine THEN n END) OVER c AS tail FROM e5 WINDOW c AS (PARTITION BY run_id, id, epoch)),
+    e7 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN NOT mine THEN n WHEN done IS NOT NULL THEN done ELSE 1000000000000 + first END, CASE WHEN NOT mine OR opens THEN 0 WHEN status THEN 3 ELSE 1 END, n) AS place,
+      (mine AND held AND ((moving AND NOT prot) OR (done IS NOT NULL AND NOT bad))) OR (on_ AND id IS NULL AND trim(text) = '' AND NOT prot) AS gone FROM e6),
+    a5 AS MATERIALIZED (SELECT *, {_DENSE} FROM (
+      SELECT run_id, kind, place AS a, 0 AS o, src, text, prot, inb FROM e7 WHERE NOT gone
+      UNION ALL SELECT run_id, kind, place - 1, 1, NULL, '#' || id || ' [millrace] ' || {_plural('(x + progs)', 'line')} || {_LAYER}, false, false FROM e7 WHERE status AND NOT bad AND x + progs > 0
+      UNION ALL SELECT run_id, kind, place, 1, NULL, '#' || id || ' [millrace] ' || {_plural('progs', 'line')} || {_LAYER}, false, false FROM e7 WHERE mine AND done IS NULL AND n = tail AND progs > 0)),
+    f1 AS (SELECT *, kind = 'dotnet' AND NOT prot AND NOT {_like(P.DOTNET_KEEP)} AS own, {_like(P.DOTNET_RESTORED)} AS r, {_like(P.DOTNET_BUILT)} AS u, {_like(P.DOTNET_CHATTER)} AS h FROM a5),
+    f2 AS (SELECT run_id, sum((own AND r)::int) AS x, sum((own AND NOT r AND u)::int) AS y FROM f1 GROUP BY run_id),
+    a6 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY a, o) AS pos FROM (
+      SELECT run_id, kind, n AS a, 0 AS o, src, text, prot, inb FROM f1 WHERE NOT (own AND (r OR u OR h))
+      UNION ALL SELECT run_id, 'dotnet', 1000000000000, 0, {_note("'restored ' || " + _plural('x', 'project'))} FROM f2 WHERE x > 0
+      UNION ALL SELECT run_id, 'dotnet', 1000000000000, 1, {_note("'built ' || " + _plural('y', 'project'))} FROM f2 WHERE y > 0)),
+    {_collapsed('SELECT * FROM a6', 'b.src', 'prot OR inb', "kind <> 'query'", 'prot')},
+    n1 AS (SELECT r.*, kind, row_number() OVER (PARTITION BY run_id ORDER BY a, o) AS n, count(*) OVER (PARTITION BY run_id) AS alive FROM r JOIN size USING (run_id) WHERE dropped_by IS NULL),
+    n2 AS (SELECT *, greatest({CFG.head}, alive - {CFG.tail}) AS tail, kind <> 'query' AND n > {CFG.head} AND n <= greatest({CFG.head}, alive - {CFG.tail}) AS mid FROM n1),
+    n3 AS MATERIALIZED (SELECT *, sum((mid AND NOT protected)::int) OVER (PARTITION BY run_id) AS skip, sum((mid AND protected)::int) OVER (PARTITION BY run_id) AS held FROM n2),
+    live AS MATERIALIZED (SELECT run_id, src, text, protected AS prot, row_number() OVER (PARTITION BY run_id ORDER BY a, o) AS n FROM (
+      SELECT run_id, n AS a, 0 AS o, src, text, protected FROM n3 WHERE NOT mid OR protected
+      UNION ALL SELECT run_id, n, -1, NULL, '[millrace] ... ' || {_plural('skip', 'line')} || CASE WHEN held > 0 THEN ' elided; failures from the middle follow ...' ELSE ' elided ...' END, false FROM n3 WHERE mid AND n = {CFG.head + 1} AND skip > 0
+      UNION ALL SELECT run_id, n, -1, NULL, '[millrace] ... resuming at the last ' || {_plural('(alive - tail)', 'line')} || ' ...', false FROM n3 WHERE kind <> 'query' AND n = tail + 1 AND skip > 0 AND held > 0)),
+    gone AS MATERIALIZED (
+      SELECT run_id, line_no AS src, 'ansi' AS stage FROM t1 WHERE moved
+      UNION ALL SELECT run_id, src, 'node-install' FROM i2 WHERE old OR noise
+      UNION ALL SELECT run_id, src, 'test-runner' FROM a3 JOIN d3 USING (run_id, n)
+      UNION ALL SELECT run_id, src, 'docker-build' FROM e7 WHERE gone
+      UNION ALL SELECT run_id, src, 'dotnet' FROM f1 WHERE own AND (r OR u OR h)
+      UNION ALL SELECT run_id, src, 'dedup' FROM r WHERE dropped_by IS NOT NULL
+      UNION ALL SELECT run_id, src, 'truncate' FROM n3 WHERE mid AND NOT protected),
+    x1 AS (SELECT run_id, count(*) AS n_out, cast(sum(strlen(text) + 1) as bigint) AS b_out, bool_or(src IS NULL) AS marked FROM live GROUP BY run_id),
+    x2 AS (SELECT run_id, bool_or(text <> clean) AS rewritten FROM t1 GROUP BY run_id),
+    x3 AS (SELECT run_id, list_sort(list_distinct(list(stage))) AS stages FROM gone GROUP BY run_id),
+    plan AS MATERIALIZED (
+      SELECT *, x AND NOT (raw_bytes <= 1048576 AND b_out + CASE WHEN changed THEN strlen(foot) + 1 ELSE 0 END >= raw_bytes) AS used FROM (
+        SELECT *, '[millrace] ' || CASE WHEN raw_lines > n_out THEN (raw_lines - n_out) || ' lines elided' ELSE 'output rewritten' END || ' — full output: run ' || run_id AS foot FROM (
+          SELECT size.*, x1.run_id IS NOT NULL AS x, n_out, b_out, coalesce(marked OR rewritten OR len(stages) > 0, false) AS changed, coalesce(rewritten, false) AS rewritten, coalesce(stages, []) AS stages
+          FROM size LEFT JOIN x1 USING (run_id) LEFT JOIN x2 USING (run_id) LEFT JOIN x3 USING (run_id))))"""
+_STATS = f"""SELECT run_id, kind, raw_lines AS lines_in, CASE WHEN used THEN n_out ELSE raw_lines END AS lines_out, CASE WHEN used THEN clean_bytes ELSE raw_bytes END AS bytes_in, CASE WHEN used THEN b_out ELSE raw_bytes END AS bytes_out,
+    raw_bytes, used AS filtered, CASE WHEN used THEN list_filter(['ansi', 'guard', 'node-install', 'test-runner', 'docker-build', 'dotnet', 'dedup', 'truncate'], lambda s: list_contains(stages, s) OR (s = 'ansi' AND rewritten)) ELSE [] END AS filters FROM plan"""
+_KEPT = """SELECT run_id, n AS out_no, src AS src_line_no, text, src IS NULL AS is_marker, prot AS protected FROM live JOIN plan USING (run_id) WHERE used
+    UNION ALL SELECT run_id, n_out + 1, NULL, foot, true, false FROM plan WHERE used AND changed
+    UNION ALL SELECT run_id, line_no, line_no, raw, false, prot FROM base JOIN plan USING (run_id) LEFT JOIN (SELECT run_id, src AS line_no, prot FROM a2) USING (run_id, line_no) WHERE NOT used"""
+
+
+def _joined(df: DataFrame) -> DataFrame:
+    return df.withColumn("filters", F.array_join("filters", ","))
+
+
+_add("compact_stats", lambda s, d: _joined(K.run_stats(_staged(s, d))), f"WITH RECURSIVE {_PLAN} SELECT * REPLACE (array_to_string(filters, ',') AS filters) FROM ({_STATS})")
+_add("compact_kept", lambda s, d: K.kept_lines(_staged(s, d), CFG), f"WITH RECURSIVE {_PLAN} SELECT * REPLACE (coalesce(protected, false) AS protected) FROM ({_KEPT})")
+_add("compact_elided", lambda s, d: K.elided(_staged(s, d)), f"WITH RECURSIVE {_PLAN} SELECT run_id, src AS line_no, raw AS text, stage FROM gone JOIN plan USING (run_id) JOIN base ON base.run_id = gone.run_id AND base.line_no = gone.src WHERE used")
+_stage(
+    "guard", lambda df: S.guard(S.collapse_progress(df), CFG),
+    f"""WITH RECURSIVE {_PLAN.replace('JOIN size USING (run_id) WHERE NOT (raw_lines <= 40 AND raw_bytes <= 2048)', 'JOIN size USING (run_id)', 1)}
+    SELECT run_id, line_no AS pos, line_no AS src, text, coalesce(prot, false) AS protected, coalesce(inb, false) AS in_block, CASE WHEN moved THEN 'ansi' END AS dropped_by, false AS marker
+    FROM t1 LEFT JOIN (SELECT run_id, src AS line_no, prot, inb FROM a2) USING (run_id, line_no)""",
+)
 
 
 def _document_stats(s: SparkSession, d: str) -> DataFrame:
@@ -429,7 +544,7 @@ _add(
     {_collapsed(_SOURCE)},
     n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY a, o) AS n, count(*) OVER (PARTITION BY run_id) AS alive FROM r WHERE dropped_by IS NULL),
     cut AS (SELECT run_id, count(*) FILTER (NOT mid) AS stay, count(*) FILTER (mid) AS skip, sum(strlen(text) + 1) FILTER (NOT mid) AS bytes FROM (SELECT *, n > {CFG.head} AND n <= greatest({CFG.head}, alive - {CFG.tail}) AS mid FROM n) GROUP BY run_id),
-    hit AS (SELECT r.run_id, bool_or(r.marker) AS marked, bool_or(r.dropped_by IS NOT NULL) AS collapsed, bool_or(coalesce(r.text <> f.clean, false)) AS rewritten FROM r LEFT JOIN f ON f.run_id = r.run_id AND f.pos = r.src GROUP BY r.run_id),
+    hit AS (SELECT r.run_id, bool_or(r.marker) AS marked, bool_or(r.dropped_by IS NOT NULL) AS collapsed, bool_or(coalesce(f.text <> f.clean, false)) AS rewritten FROM r LEFT JOIN f ON f.run_id = r.run_id AND f.pos = r.src GROUP BY r.run_id),
     x AS (SELECT size.*, coalesce(cut.stay + (skip > 0)::int, lines_in) AS n_out, cast(coalesce(bytes + CASE WHEN skip > 0 THEN strlen('[millrace] ... ' || {_plural('skip', 'line')} || ' elided ...') + 1 ELSE 0 END, raw_bytes) as bigint) AS b_out,
       cut.run_id IS NULL AS small, coalesce(skip > 0, false) AS cut_, coalesce(marked, false) AS marked, coalesce(collapsed, false) AS collapsed, coalesce(rewritten OR lines_in > (SELECT count(*) FROM f WHERE f.run_id = size.run_id), false) AND cut.run_id IS NOT NULL AS cleaned
       FROM size LEFT JOIN cut USING (run_id) LEFT JOIN hit USING (run_id)),
@@ -437,56 +552,126 @@ _add(
     SELECT run_id, 'generic' AS kind, lines_in, CASE WHEN used THEN n_out ELSE lines_in END AS lines_out, CASE WHEN used THEN clean_bytes ELSE raw_bytes END AS bytes_in, CASE WHEN used THEN b_out ELSE raw_bytes END AS bytes_out, raw_bytes, used AS filtered,
       CASE WHEN used THEN concat_ws(',', CASE WHEN cleaned THEN 'ansi' END, CASE WHEN collapsed THEN 'dedup' END, CASE WHEN cut_ THEN 'truncate' END) ELSE '' END AS filters FROM y""",
 )
-_add("savings_line", lambda s, d: K.savings_line(K.run_stats(_staged(s, d))))
+_add(
+    "savings_line", lambda s, d: K.savings_line(K.run_stats(_staged(s, d))),
+    f"""WITH RECURSIVE {_PLAN}, z AS ({_STATS})
+    SELECT run_id, printf('%d -> %d lines, ~%s -> ~%s tok (-%.0f%%)', lines_in, lines_out, format('{{:,}}', greatest(1, bytes_in // 4)), format('{{:,}}', greatest(1, bytes_out // 4)), CASE WHEN bytes_in > 0 THEN greatest(0.0, 100.0 * (bytes_in - bytes_out) / bytes_in) ELSE 0.0 END) AS line FROM z""",
+)
 _add(
     "passthrough", lambda s, d: K.passthrough(doc_lines(s, d)),
     f"SELECT run_id, count(*) AS raw_lines, cast(sum(strlen(text) + 1) as bigint) AS raw_bytes, count(*) <= 40 AND sum(strlen(text) + 1) <= 2048 AS small FROM ({DOC}) GROUP BY run_id",
 )
 
-# Audits of the plan's output: no violations.
-_NONE = "SELECT cast(NULL AS bigint) AS run_id WHERE false"
+# Audits of the plan's output, in which violations are planted by a rule that both sides apply: every 29th source line is
+# taken out of the output, and one run in ten reports more bytes than it has.
+_PLANTED = f"kept AS MATERIALIZED ({_KEPT}), planted AS MATERIALIZED (SELECT * FROM kept WHERE src_line_no IS NULL OR src_line_no % 29 <> 3), stats AS (SELECT * REPLACE (CASE WHEN run_id % 10 = 3 THEN bytes_out + 100000 ELSE bytes_out END AS bytes_out) FROM ({_STATS}))"
+
+
+def _tidy(source: str) -> str:
+    """``source`` with ``shown``, its text as far as it may be tidied."""
+    return f"SELECT *, {_REDRAW.format('(' + _CLEAN.replace('text', 'eol') + ')')} AS shown FROM (SELECT *, regexp_replace(text, '\r$', '') AS eol FROM {source})"
+
 
+_SHOWN_FAIL = _FAIL.replace("text", "shown")
 
-def _audit(name: str, fn: Callable) -> None:
+
+def _audit(name: str, fn: Callable, sql: str) -> None:
     def query(s: SparkSession, d: str) -> DataFrame:
         lines, runs = event_lines(s, d), event_runs(s, d)
         done = K.staged(lines, runs, CFG)
-        return fn(lines, runs, done).select("run_id")
-
-    _add(name, query, _NONE)
+        planted = K.kept_lines(done, CFG).where("src_line_no IS NULL OR src_line_no % 29 <> 3")
+        stats = K.run_stats(done).withColumn("bytes_out", F.when(F.col("run_id") % 10 == 3, F.col("bytes_out") + 100000).otherwise(F.col("bytes_out")))
+        return fn(lines, runs, planted, stats)
 
+    _add(name, query, f"WITH RECURSIVE {_PLAN}, {_PLANTED} {sql}")
 
-_audit("audit_failures_survive", lambda lines, runs, x: A.failures_survive(lines, K.kept_lines(x, CFG)))
-_audit("audit_block_gaps", lambda lines, runs, x: A.block_gaps(lines, K.kept_lines(x, CFG)))
-_audit("audit_never_grows", lambda lines, runs, x: A.never_grows(K.run_stats(x)))
-_audit("audit_no_escapes", lambda lines, runs, x: A.no_escapes(x.where("NOT use_raw AND dropped_by IS NULL").select("run_id", F.col("pos").alias("out_no"), "text")))
-_audit("audit_multiset", lambda lines, runs, x: A.multiset(lines.where(L.is_failure(F.col("text"))), K.kept_lines(x, CFG), r"^\s*[-+]|Error"))
-_audit("audit_savings_floor", lambda lines, runs, x: A.savings_floor(K.run_stats(x), runs.select("run_id", F.lit(0.0).alias("min_saving"))))
-_audit("audit_must_keep", lambda lines, runs, x: A.must_keep(K.kept_lines(x, CFG), lines.where("text LIKE 'Error: event%'").select("run_id", F.col("text").alias("needle"))))
-_audit("audit_queries_complete", lambda lines, runs, x: A.queries_complete(lines, K.kept_lines(x, Config(footer=False)), runs.withColumn("kind", F.when(C.is_query_command(F.col("argv")), "query"))))
 
+_audit(
+    "audit_failures_survive", lambda lines, runs, kept, stats: A.failures_survive(lines, kept),
+    f"""SELECT run_id, line_no, text, CASE WHEN out_no IS NULL THEN 'missing' ELSE 'out of order' END AS problem FROM (
+      SELECT need.*, out_no, lag(out_no) OVER (PARTITION BY need.run_id, out_no IS NULL ORDER BY line_no) AS above FROM (SELECT * FROM ({_tidy(f'({EVT})')}) WHERE {_SHOWN_FAIL}) need
+      LEFT JOIN planted ON planted.run_id = need.run_id AND src_line_no = line_no) WHERE out_no IS NULL OR above >= out_no""",
+)
+_audit(
+    "audit_failures_aligned", lambda lines, runs, kept, stats: A.failures_survive(lines, kept.drop("src_line_no")),
+    f"""SELECT run_id, line_no, text, CASE WHEN out_no IS NULL THEN 'missing' ELSE 'out of order' END AS problem FROM (
+      SELECT *, max(out_no) OVER (PARTITION BY run_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM (
+        SELECT run_id, line_no, shown AS text, row_number() OVER (PARTITION BY run_id, shown ORDER BY line_no) AS nth FROM ({_tidy(f'({EVT})')}) WHERE {_SHOWN_FAIL})
+      LEFT JOIN (SELECT run_id, out_no, shown AS text, row_number() OVER (PARTITION BY run_id, shown ORDER BY out_no) AS nth FROM ({_tidy('planted')}) WHERE {_SHOWN_FAIL}) USING (run_id, text, nth))
+    WHERE out_no IS NULL OR out_no < above""",
+)
+_audit(
+    "audit_block_gaps", lambda lines, runs, kept, stats: A.block_gaps(lines, kept),
+    f"""SELECT run_id, after_line, before_line FROM (
+      SELECT run_id, line_no AS before_line, lag(line_no) OVER h AS after_line, m, lag(m) OVER h AS pm FROM (
+        SELECT run_id, line_no, head, max((line_no > head AND indent <= depth)::int) OVER (PARTITION BY run_id, head ORDER BY line_no) AS shallow FROM (
+          SELECT *, first_value(indent) OVER (PARTITION BY run_id, head ORDER BY line_no) AS depth FROM (
+            SELECT *, {_INDENT} AS indent, last_value(CASE WHEN {_like(P.BLOCK_START)} AND NOT {_like(P.BLOCK_END)} THEN line_no END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY line_no) AS head FROM ({EVT}))) WHERE head IS NOT NULL)
+      JOIN (SELECT run_id, src_line_no AS line_no, sum(is_marker::int) OVER (PARTITION BY run_id ORDER BY out_no) AS m FROM planted) USING (run_id, line_no)
+      WHERE shallow = 0 AND line_no IS NOT NULL WINDOW h AS (PARTITION BY run_id, head ORDER BY line_no)) WHERE before_line > after_line + 1 AND m = pm""",
+)
+_audit(
+    "audit_silent_gaps", lambda lines, runs, kept, stats: A.silent_gaps(lines, kept.drop("src_line_no", "is_marker")),
+    rf""", q0 AS MATERIALIZED (SELECT *, {_like(A.AUDIT_HEADER, 'shown')} AS head, CASE WHEN trim(shown) = '' THEN coalesce(lead({_INDENT.replace('text', 'shown')}) OVER (PARTITION BY run_id ORDER BY line_no), -1) ELSE {_INDENT.replace('text', 'shown')} END AS indent FROM ({_tidy(f'({EVT})')})),
+    q1(run_id, line_no, number, depth) AS (
+      SELECT DISTINCT run_id, 0::bigint, 0::bigint, NULL::bigint FROM q0
+      UNION ALL
+      SELECT run_id, line_no, number + (NOT stays AND head)::int, CASE WHEN stays THEN depth WHEN head THEN indent END FROM (SELECT q0.*, number, depth, coalesce(q0.indent > depth, false) AS stays FROM q1 JOIN q0 ON q0.run_id = q1.run_id AND q0.line_no = q1.line_no + 1)),
+    q2 AS (SELECT q0.run_id, q0.line_no, shown, min(q0.line_no) OVER g AS header_no, row_number() OVER (PARTITION BY q0.run_id, number ORDER BY q0.line_no) - 1 AS j, count(*) OVER g AS size FROM q1 JOIN q0 USING (run_id, line_no) WHERE depth IS NOT NULL WINDOW g AS (PARTITION BY q0.run_id, number)),
+    q3 AS MATERIALIZED (SELECT *, starts_with(ltrim(shown), '[millrace]') AS mark, max(out_no) OVER (PARTITION BY run_id) AS last FROM ({_tidy('planted')})),
+    q4 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY out_no) AS m, lag(out_no) OVER (PARTITION BY run_id ORDER BY out_no) AS after, max(out_no) OVER (PARTITION BY run_id) AS fin FROM q3 WHERE NOT mark),
+    q5 AS (SELECT h.run_id, h.line_no AS header_no, m, last, fin FROM (SELECT *, row_number() OVER (PARTITION BY run_id, shown ORDER BY line_no) AS nth FROM q0 WHERE head) h
+      JOIN (SELECT *, row_number() OVER (PARTITION BY run_id, shown ORDER BY out_no) AS nth FROM q4 WHERE {_like(A.AUDIT_HEADER, 'shown')}) o USING (run_id, shown, nth)),
+    q6 AS (SELECT q2.run_id, q2.header_no, q2.line_no, q2.shown, q4.out_no, q4.after, q5.last, q5.fin, row_number() OVER (PARTITION BY q2.run_id, q2.header_no ORDER BY j) AS nth
+      FROM q2 JOIN q5 ON q5.run_id = q2.run_id AND q5.header_no = q2.header_no LEFT JOIN q4 ON q4.run_id = q2.run_id AND q4.m = q5.m + j WHERE size > 1 AND q4.shown IS DISTINCT FROM q2.shown)
+    SELECT run_id, header_no, line_no, shown AS text FROM q6 WHERE nth = 1 AND NOT coalesce(CASE WHEN out_no IS NULL THEN last > fin ELSE out_no > after + 1 END, false)""",
+)
+_audit("audit_never_grows", lambda lines, runs, kept, stats: A.never_grows(stats), "SELECT run_id, raw_bytes, bytes_out FROM stats WHERE bytes_out > raw_bytes")
+_audit("audit_no_escapes", lambda lines, runs, kept, stats: A.no_escapes(kept), "SELECT run_id, out_no, text FROM planted WHERE contains(text, chr(27)) OR contains(text, chr(13))")
+_SIGNED = r"^\s*[-+]|Error|ok \d"
+_counted = lambda source: f"SELECT run_id, text, count(*) AS n FROM {source} WHERE {_like(_SIGNED)} GROUP BY ALL"
+_audit(
+    "audit_multiset", lambda lines, runs, kept, stats: A.multiset(lines, kept, _SIGNED),
+    f"SELECT run_id, text, i.n AS n_in, coalesce(o.n, 0) AS n_out FROM ({_counted(f'({EVT})')}) i LEFT JOIN ({_counted('planted')}) o USING (run_id, text) WHERE i.n > coalesce(o.n, 0)",
+)
+#: What a kind's runs must save at least, above what most do.
+FLOORS = {"node-install": 0.3, "node-script": 0.1, "docker-build": 0.05, "dotnet": 0.05, "generic": 0.02, "query": 0.0}
+_audit(
+    "audit_savings_floor",
+    lambda lines, runs, kept, stats: A.savings_floor(stats, stats.select("run_id", F.element_at(F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv]), F.col("kind")).alias("min_saving"))),
+    f"""SELECT run_id, saving, min_saving FROM (SELECT run_id, CASE WHEN raw_bytes > 0 THEN 1.0::double - bytes_out / raw_bytes ELSE 0.0 END AS saving,
+      CASE kind {' '.join(f"WHEN '{k}' THEN {v}::double" for k, v in FLOORS.items())} END AS min_saving FROM stats) WHERE saving < min_saving""",
+)
+_audit(
+    "audit_must_keep", lambda lines, runs, kept, stats: A.must_keep(kept, lines.where(L.is_failure(_SHOWN := A._shown(F.col("text")))).select("run_id", F.trim(_SHOWN).alias("needle")).distinct()),
+    f"""SELECT run_id, needle FROM (SELECT DISTINCT run_id, trim(shown, ' ') AS needle FROM ({_tidy(f'({EVT})')}) WHERE {_SHOWN_FAIL}) r
+    WHERE NOT EXISTS (SELECT 1 FROM planted p WHERE p.run_id = r.run_id AND contains(p.text, r.needle))""",
+)
+_shaped = lambda source: f"SELECT run_id, text, CASE WHEN {_PROGRESS} THEN {_SHAPE} WHEN {_like(P.LOG_NOISE)} THEN {_SHAPE} ELSE text END AS shape FROM (SELECT run_id, shown AS text FROM ({_tidy(source)}))"
+_audit(
+    "audit_queries_complete", lambda lines, runs, kept, stats: A.queries_complete(lines, kept, runs.withColumn("kind", F.when(C.is_query_command(F.col("argv")), "query"))),
+    f"""SELECT i.run_id, min(i.text) AS text FROM ({_shaped(f'({EVT})')}) i WHERE i.run_id IN (SELECT run_id FROM size WHERE kind = 'query')
+      AND NOT EXISTS (SELECT 1 FROM ({_shaped('planted')}) k WHERE k.run_id = i.run_id AND k.shape = i.shape) GROUP BY i.run_id, i.shape""",
+)
 
-def _blocks(s: SparkSession, d: str) -> DataFrame:
-    """Every tenth line is changed: the blocks that hold such a line are the violations."""
-    lines = event_lines(s, d)
-    text = F.when(F.col("line_no") % 10 == 0, F.upper("text")).otherwise(F.col("text"))
-    return A.block_equality(lines, lines.select("run_id", F.col("line_no").alias("out_no"), text.alias("text"), F.lit(False).alias("is_marker")))
 
 
-_add(
-    "audit_block_equality", _blocks,
-    rf"""WITH h AS (SELECT *, CASE WHEN line_no % 10 = 0 THEN upper(text) ELSE text END AS other, count(*) FILTER (regexp_matches(text, '^\s*\d+\)\s')) OVER (PARTITION BY run_id ORDER BY line_no) AS block_no FROM ({EVT})),
-    b AS (SELECT run_id, block_no, regexp_replace(string_agg(text, chr(10) ORDER BY line_no), '\s+$', '') AS expected, regexp_replace(string_agg(other, chr(10) ORDER BY line_no), '\s+$', '') AS got FROM h WHERE block_no > 0 GROUP BY run_id, block_no)
-    SELECT run_id, block_no, expected, got FROM b WHERE expected <> got""",
-)
+def _numbered_blocks(source: str) -> str:
+    return rf"""SELECT run_id, block_no, regexp_replace(string_agg(text, chr(10) ORDER BY place), '\s+$', '') AS body FROM (
+      SELECT *, count(*) FILTER (regexp_matches(text, '^\s*\d+\)\s')) OVER (PARTITION BY run_id ORDER BY place) AS block_no FROM ({source})) WHERE block_no > 0 GROUP BY run_id, block_no"""
 
 
-def _diff(s: SparkSession, d: str) -> DataFrame:
-    lines = event_lines(s, d).withColumnRenamed("line_no", "out_no")
-    return A.diff_outputs(lines, lines.withColumn("text", F.when(F.col("out_no") % 10 == 0, F.upper("text")).otherwise(F.col("text"))))
+_audit(
+    "audit_block_equality", lambda lines, runs, kept, stats: A.block_equality(lines, kept),
+    f"""SELECT run_id, block_no, a.body AS expected, b.body AS got FROM ({_numbered_blocks(f'SELECT *, line_no AS place FROM ({EVT})')}) a
+    FULL JOIN ({_numbered_blocks('SELECT *, out_no AS place FROM planted WHERE NOT is_marker')}) b USING (run_id, block_no) WHERE a.body IS DISTINCT FROM b.body""",
+)
 
 
-_add("diff_outputs", _diff, f"SELECT run_id, line_no AS out_no, text AS expected, upper(text) AS got FROM ({EVT}) WHERE line_no % 10 = 0 AND text <> upper(text)")
+_audit(
+    "diff_outputs", lambda lines, runs, kept, stats: A.diff_outputs(lines.withColumnRenamed("line_no", "out_no"), kept),
+    f"SELECT run_id, out_no, a.text AS expected, b.text AS got FROM (SELECT *, line_no AS out_no FROM ({EVT})) a FULL JOIN planted b USING (run_id, out_no) WHERE a.text IS DISTINCT FROM b.text",
+)
 
 # The ledger.
 _add("entry_saved", lambda s, d: _read(s, d, "events").select("event_id", G.entry_saved(F.round(F.abs("value") * 100).cast("long"), F.col("event_id")).alias("saved")), "SELECT event_id, greatest(0, cast(round(abs(value) * 100) as bigint) - event_id) AS saved FROM events")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import stored
 from .lines import _trim
 
 # The words that decide how a command is classed.
@@ -213,8 +212,9 @@ def decided(df: DataFrame, by: str = "command", limit: int = 100_000, **columns:
     Commands repeat by the million, and their rules are long expressions. The distinct values are sent to all
     tasks if there are at most ``limit``; more are joined by value.
     """
-    once = stored(df.select(by).distinct().select(F.col(by).alias("_by"), *[c.alias(k) for k, c in columns.items()]))
-    once = F.broadcast(once) if once.limit(limit + 1).count() <= limit else once
+    known = df.select(by).distinct()
+    once = known.select(F.col(by).alias("_by"), *[c.alias(k) for k, c in columns.items()])
+    once = F.broadcast(once) if known.limit(limit + 1).count() <= limit else once
     return df.join(once, df[by].eqNullSafe(once["_by"]), "left").drop("_by")
 
 

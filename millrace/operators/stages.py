@@ -3,25 +3,44 @@
 A stage takes and returns the working frame of ``start``: run_id, pos (dense within a run), src (line number,
 null for markers), text, protected, in_block, dropped_by (null while a line is alive) and marker, besides
 columns it does not know. Dropped lines stay in the frame, so everything that goes can be shown. Markers are
-added by exploding a row, never by a union, so the partitioning by run stays and all stages share one
-exchange (two for those that scan). ``active`` limits a stage to some runs.
+added by exploding a row, so the partitioning by run stays and all stages share one exchange. The two stages
+that scan (failure blocks, passing tests) add intervals by a union ahead of that exchange, and read narrow
+rows on the side (see ``scans``). ``active`` limits a stage to some runs.
+
+``featured`` works out once what the text of a line is; stages use its bits where the frame has them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import lines as L
 from ..functions import patterns as P
 from ..plans.config import Config
+from . import scans as Z
 
 COLUMNS = ("run_id", "pos", "src", "text", "protected", "in_block", "dropped_by", "marker")
 _LAST = 2**62
+#: Bits of ``_f``.
+BLANK, HEADER, ENDS, DETAIL, FAIL, NEED = 1, 2, 4, 8, 16, 32
+
+
+def _features(t: Column) -> Column:
+    bit = lambda c, b: F.when(c, b).otherwise(0)
+    fail = F.when(L.is_failure(t), F.lit(FAIL) + bit(~L._is(t, P.SELF_CONTAINED), NEED)).otherwise(0)
+    return bit(L.is_blank(t), BLANK) + bit(L.is_block_start(t), HEADER) + bit(L.is_block_end(t), ENDS) + bit(L.is_failure_detail(t), DETAIL) + fail
+
+
+def featured(df: DataFrame) -> DataFrame:
+    """``df`` with ``_f``, bits of what the text of a line is, and ``_indent``."""
+    return df if "_f" in df.columns else df.withColumns({"_f": _features(F.col("text")), "_indent": L.indent_of(F.col("text"))})
+
+
+def _has(df: DataFrame, bit: int) -> Column:
+    if "_f" in df.columns:
+        return F.col("_f").bitwiseAND(bit) != 0
+    return {BLANK: L.is_blank, HEADER: L.is_block_start, ENDS: L.is_block_end, DETAIL: L.is_failure_detail, FAIL: L.is_failure, NEED: L.needs_context}[bit](F.col("text"))
 
 
 def start(lines: DataFrame) -> DataFrame:
@@ -60,45 +79,12 @@ def _mark(df: DataFrame, *marks: tuple[Column, Column, Column, Column]) -> DataF
         "run_id", F.col("_x.a").alias("pos"), F.col("_x.b").alias("_order"), F.when(~fresh, F.col("src")).alias("src"), F.col("_x.t").alias("text"),
         (F.col("protected") & ~fresh).alias("protected"), (F.col("in_block") & ~fresh).alias("in_block"),
         F.when(~fresh, F.col("dropped_by")).alias("dropped_by"), (F.col("marker") | fresh).alias("marker"),
-        *[c for c in df.columns if c not in (*COLUMNS, "_x")],
+        *[c for c in df.columns if c not in (*COLUMNS, "_x", "_f", "_indent")],
+        *([F.when(fresh, _features(F.col("_x.t"))).otherwise(F.col("_f")).alias("_f"), F.when(~fresh, F.col("_indent")).otherwise(L.indent_of(F.col("_x.t"))).alias("_indent")] if "_f" in df.columns else []),
     )
     return _renumber(out, [F.col("pos"), F.col("_order")]).drop("_order")
 
 
-def _last_row() -> Column:
-    return F.lead("pos").over(Window.partitionBy("run_id").orderBy("pos")).isNull()
-
-
-def _scan(df: DataFrame, needs: dict[str, Column], out: str, kind: T.DataType, step: Callable) -> DataFrame:
-    """Adds ``out`` by a step function over the lines of each run in order; step(state, row) -> (state, value).
-
-    Spark deals and sorts the rows by run; the helper keeps the state of one run at a time.
-    """
-    df = df.withColumns(needs).repartition("run_id").sortWithinPartitions("run_id", "pos")
-    schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
-    names = list(needs)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state, started = None, None, False
-        for pdf in batches:
-            values = []
-            for run_id, dead, *row in zip(pdf["run_id"], pdf["dropped_by"].notna(), *(pdf[n] for n in names), strict=True):
-                if not started or run_id != now:
-                    now, state, started = run_id, None, True
-                if dead:
-                    values.append(None)
-                    continue
-                state, value = step(state, *row)
-                values.append(value)
-            for c in ("src", out):
-                if c in pdf and c == "src":
-                    pdf[c] = pdf[c].astype("Int64")
-            pdf[out] = pd.array(values, "Int64") if isinstance(kind, T.LongType) else values
-            yield pdf
-
-    return df.mapInPandas(run, schema).drop(*names)
-
-
 def collapse_progress(df: DataFrame, active: Column | None = None) -> DataFrame:
     """Cleans the text; of consecutive progress lines of one shape the last stays."""
     active = F.lit(True) if active is None else active
@@ -111,42 +97,35 @@ def failure_blocks(df: DataFrame, active: Column | None = None) -> DataFrame:
     """``block``, the number of the failure block of a line, null outside.
 
     A block opens at a header that is no summary; it goes on over blank lines, deeper indents, and failure
-    lines or details that are no header; a line that ends it may open the next.
+    lines or details that are no header; a line that ends it may open the next. Only flags of runs that hold
+    a header go through the scan.
     """
     active = F.lit(True) if active is None else active
-    t = F.col("text")
-    needs = {
-        "_blank": L.is_blank(t), "_start": active & L.is_block_start(t) & ~L.is_block_end(t), "_any": L.is_block_start(t),
-        "_end": L.is_block_end(t), "_detail": L.is_failure_detail(t) | L.is_failure(t), "_indent": L.indent_of(t),
-    }
-
-    def step(state, blank, opens, any_start, end, detail, indent):
-        number, open_, depth = state or (0, False, 0)
-        if open_ and (blank or (not end and (indent > depth or (not any_start and detail)))):
-            return (number, True, depth), number
-        if opens:
-            return (number + 1, True, indent), number + 1
-        return (number, False, 0), None
-
-    return _scan(df, needs, "block", T.LongType(), step)
+    own = featured(df)
+    has = lambda *bits: F.col("_f").bitwiseAND(sum(bits)) != 0
+    bit = lambda c, b: F.when(c, b).otherwise(0)
+    m = Z.Blocks
+    bits = bit(has(BLANK), m.BLANK) + bit(active & has(HEADER) & ~has(ENDS), m.OPENS) + bit(has(HEADER), m.HEADER) + bit(has(ENDS), m.ENDS) + bit(has(DETAIL, FAIL), m.DETAIL)
+    rows = own.where(_alive()).select("run_id", "pos", bits.alias("bits"), F.col("_indent").alias("indent"))
+    out = Z.spread(df, Z.intervals(rows, m(), F.col("bits").bitwiseAND(m.OPENS) != 0))
+    return out.withColumn("block", F.when(_alive() & (F.col("pos") <= F.col("_hi")), F.col("_no"))).drop("_hi", "_no", "_sum")
 
 
 def cap_blocks(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Marks block lines protected and caps a block; needs ``block``. Adds ``region``."""
     by = Window.partitionBy("run_id", "block")
-    full = F.max(F.when(~L.is_blank(F.col("text")), F.col("pos"))).over(by)
-    inside = _alive() & F.col("block").isNotNull()
-    df = df.withColumn("_last", F.when(inside, full)).withColumn("region", inside)
-    body = inside & (F.col("pos") <= F.col("_last"))
-    df = df.withColumn("_n", F.when(body, F.row_number().over(by.orderBy("pos"))))
-    over = F.coalesce(body & ~L.is_blank(F.col("text")) & (F.col("_n") > cfg.max_block), F.lit(False))
-    df = df.withColumn("_over", over).withColumn("_gone", F.sum(F.col("_over").cast("long")).over(by))
-    df = df.withColumn("protected", F.col("protected") | inside).withColumn("in_block", F.coalesce(body & ~over, F.lit(False)))
-    df = df.withColumn("dropped_by", F.when(_alive() & F.col("_over"), "guard").otherwise(F.col("dropped_by")))
+    inside, blank = _alive() & F.col("block").isNotNull(), _has(df, BLANK)
+    df = df.withColumns({"region": inside, "_last": F.when(inside, F.max(F.when(~blank, F.col("pos"))).over(by)), "_n": F.row_number().over(by.orderBy("pos"))})
+    body = F.col("region") & (F.col("pos") <= F.col("_last"))
+    over = F.coalesce(body & ~blank & (F.col("_n") > cfg.max_block), F.lit(False))
+    df = df.withColumn("_over", over).withColumns({
+        "_gone": F.sum(F.col("_over").cast("long")).over(by), "protected": F.col("protected") | F.col("region"),
+        "in_block": F.coalesce(body & ~F.col("_over"), F.lit(False)), "dropped_by": F.when(_alive() & F.col("_over"), "guard").otherwise(F.col("dropped_by")),
+    })
     text = F.concat(F.lit(cfg.prefix + " "), F.col("_gone").cast("string"), F.lit(" "), L.plural(F.col("_gone"), "line"), F.lit(" elided from this failure; see the full output log"))
     cut = F.coalesce((F.col("pos") == F.col("_last")) & F.col("block").isNotNull() & (F.col("_gone") > 0), F.lit(False))
     df = _mark(df, (cut, F.col("pos"), F.lit(1), text))
-    return df.withColumn("block", F.when(~F.col("marker"), F.col("block"))).withColumn("region", F.col("region") & ~F.col("marker")).drop("_last", "_n", "_over", "_gone")
+    return df.withColumns({"block": F.when(~F.col("marker"), F.col("block")), "region": F.col("region") & ~F.col("marker")}).drop("_last", "_n", "_over", "_gone")
 
 
 def context_window(df: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -154,32 +133,29 @@ def context_window(df: DataFrame, cfg: Config = Config()) -> DataFrame:
 
     Needs ``block`` and ``region`` (see cap_blocks). Blank rows and lines a cap elided belong to the region.
     """
-    t, region = F.col("text"), F.col("region")
-    own = ~F.col("marker")
+    region, own = F.col("region"), ~F.col("marker")
     w = Window.partitionBy("run_id", own).orderBy("pos")
-    df = df.withColumn("_fail", own & L.is_failure(t)).withColumn("_need", F.col("_fail") & L.needs_context(t) & ~region)
+    fail, need = own & _has(df, FAIL), own & _has(df, NEED)
     before_block = F.lag("block").over(w)
-    df = df.withColumn("_opens", region & ~F.coalesce(before_block == F.col("block"), F.lit(False)))
-    df = df.withColumn("_resets", F.col("_need") | (before_block.isNotNull() & ~F.coalesce(before_block == F.col("block"), F.lit(False))))
+    same = F.coalesce(before_block == F.col("block"), F.lit(False))
+    df = df.withColumns({"_fail": fail, "_need": need & ~region, "_opens": region & ~same, "_closes": before_block.isNotNull() & ~same})
     near = F.coalesce(F.max((F.col("_need") | F.col("_opens")).cast("int")).over(w.rowsBetween(1, cfg.before)) == 1, F.lit(False)) if cfg.before > 0 else F.lit(False)
-    df = df.withColumn("_near", near & ~region).withColumn("_g", F.sum(F.col("_resets").cast("long")).over(w))
-    df = df.withColumn("_cand", ~region & ~F.col("_fail"))
+    df = df.withColumns({"_near": near & ~region, "_g": F.sum((F.col("_need") | F.col("_closes")).cast("long")).over(w), "_cand": ~region & ~F.col("_fail")})
     count = F.sum(F.col("_cand").cast("long")).over(Window.partitionBy("run_id", own, "_g").orderBy("pos"))
     after = (F.col("_g") > 0) & F.col("_cand") & (count <= cfg.after)
     df = df.withColumn("protected", F.col("protected") | (own & (F.col("_near") | after | (F.col("_fail") & ~region))))
-    return df.drop("_fail", "_need", "_opens", "_resets", "_near", "_g", "_cand")
+    return df.drop("_fail", "_need", "_opens", "_closes", "_near", "_g", "_cand")
 
 
 def guard(df: DataFrame, cfg: Config = Config(), active: Column | None = None) -> DataFrame:
-    """W2 to W4 in order; other stages leave what is protected alone."""
+    """W2 to W4 in order; other stages leave what is protected alone. Nothing is protected where ``active`` is false."""
     df = failure_blocks(df, active)
     df = cap_blocks(df, cfg)
-    alive = _alive() | (F.col("dropped_by") == "guard")
-    df = df.withColumn("_hide", ~alive)
     hidden = F.col("_hide")
-    df = df.withColumn("marker", F.col("marker") | hidden)
+    df = df.withColumn("_hide", ~(_alive() | (F.col("dropped_by") == "guard"))).withColumn("marker", F.col("marker") | hidden)
     df = context_window(df, cfg)
-    return df.withColumn("marker", F.col("marker") & ~hidden).drop("_hide", "block", "region")
+    own = F.col("protected") if active is None else F.col("protected") & active
+    return df.withColumns({"marker": F.col("marker") & ~hidden, "protected": own}).drop("_hide", "block", "region")
 
 
 def drop_install_noise(df: DataFrame, cfg: Config = Config(), active: Column | None = None) -> DataFrame:
@@ -188,12 +164,13 @@ def drop_install_noise(df: DataFrame, cfg: Config = Config(), active: Column | N
     t = F.col("text")
     free = active & _alive() & ~F.col("protected") & ~L._is(t, P.INSTALL_SUMMARY)
     old = free & L._is(t, P.INSTALL_DEPRECATED)
-    df = df.withColumn("_old", old).withColumn("_noise", free & ~F.col("_old") & L._is(t, P.INSTALL_NOISE))
+    df = df.withColumns({"_old": old, "_noise": free & ~old & L._is(t, P.INSTALL_NOISE)})
     whole = Window.partitionBy("run_id")
-    df = df.withColumn("_a", F.sum(F.col("_old").cast("long")).over(whole)).withColumn("_b", F.sum(F.col("_noise").cast("long")).over(whole))
-    df = _drop(df, "node-install", F.col("_old") | F.col("_noise"))
+    df = df.withColumns({
+        "_a": F.sum(F.col("_old").cast("long")).over(whole), "_b": F.sum(F.col("_noise").cast("long")).over(whole), "_end": F.max("pos").over(whole) == F.col("pos"),
+        "dropped_by": F.when(F.col("_old") | F.col("_noise"), "node-install").otherwise(F.col("dropped_by")),
+    })
     parts = F.concat_ws(" and ", F.when(F.col("_a") > 0, F.concat(F.col("_a").cast("string"), F.lit(" deprecation warnings"))), F.when(F.col("_b") > 0, F.concat(F.col("_b").cast("string"), F.lit(" progress/notice lines"))))
-    df = df.withColumn("_end", _last_row())
     return _mark(df, (F.col("_end") & (F.col("_a") + F.col("_b") > 0), F.lit(_LAST), F.lit(0), F.concat(F.lit(f"{cfg.prefix} dropped "), parts))).drop("_old", "_noise", "_a", "_b", "_end")
 
 
@@ -202,12 +179,13 @@ def drop_dotnet_noise(df: DataFrame, cfg: Config = Config(), active: Column | No
     active = F.lit(True) if active is None else active
     t = F.col("text")
     free = active & _alive() & ~F.col("protected") & ~L._is(t, P.DOTNET_KEEP)
-    df = df.withColumn("_r", free & L._is(t, P.DOTNET_RESTORED))
-    df = df.withColumn("_b", free & ~F.col("_r") & L._is(t, P.DOTNET_BUILT))
-    df = df.withColumn("_c", free & ~F.col("_r") & ~F.col("_b") & L._is(t, P.DOTNET_CHATTER))
+    r, b = L._is(t, P.DOTNET_RESTORED), L._is(t, P.DOTNET_BUILT)
+    df = df.withColumns({"_r": free & r, "_b": free & ~r & b, "_c": free & ~r & ~b & L._is(t, P.DOTNET_CHATTER)})
     whole = Window.partitionBy("run_id")
-    df = df.withColumn("_nr", F.sum(F.col("_r").cast("long")).over(whole)).withColumn("_nb", F.sum(F.col("_b").cast("long")).over(whole))
-    df = _drop(df, "dotnet", F.col("_r") | F.col("_b") | F.col("_c")).withColumn("_end", _last_row())
+    df = df.withColumns({
+        "_nr": F.sum(F.col("_r").cast("long")).over(whole), "_nb": F.sum(F.col("_b").cast("long")).over(whole), "_end": F.max("pos").over(whole) == F.col("pos"),
+        "dropped_by": F.when(F.col("_r") | F.col("_b") | F.col("_c"), "dotnet").otherwise(F.col("dropped_by")),
+    })
     line = lambda verb, n: F.concat(F.lit(f"{cfg.prefix} {verb} "), F.col(n).cast("string"), F.lit(" "), L.plural(F.col(n), "project"))
     return _mark(
         df, (F.col("_end") & (F.col("_nr") > 0), F.lit(_LAST), F.lit(0), line("restored", "_nr")), (F.col("_end") & (F.col("_nb") > 0), F.lit(_LAST), F.lit(1), line("built", "_nb"))
@@ -222,65 +200,49 @@ def detect_test_output(df: DataFrame, active: Column | None = None) -> DataFrame
 
 
 def drop_passing_tests(df: DataFrame, cfg: Config = Config(), active: Column | None = None) -> DataFrame:
-    """Passing tests and their indented diagnostics go; failure sections stay up to the next header."""
+    """Passing tests and their indented diagnostics go; failure sections stay up to the next header, and so
+    does all from the first failure summary on. Only flags of runs with passing tests go through the scan."""
     active = F.lit(True) if active is None else active
-    t = F.col("text")
-    needs = {
-        "_on": active, "_failing": L._is(t, P.TEST_FAILING), "_in": F.col("in_block"), "_solid": L.is_blank(t) | F.col("protected") | L.is_failure(t),
-        "_indent": L.indent_of(t), "_fail": L._is(t, P.TEST_FAILURE), "_head": L._is(t, P.TEST_HEADER),
-        "_keep": F.col("protected") | L._is(t, P.TEST_SUMMARY), "_pass": L._is(t, P.TEST_PASS), "_tap": L._is(t, P.TAP_RESULT),
-    }
-
-    def step(state, on, failing, in_block, solid, indent, fail, head, keep, passes, tap):
-        failure, late, hush = state or (False, False, -1)  # hush: indent of a dropped result, or -1
-        if not on:
-            return (failure, late, hush), 0
-        if failing:
-            return (failure, True, hush), 0
-        if late or in_block:
-            return (failure, late, -1), 0
-        if hush >= 0:
-            if not solid and indent > hush:
-                return (failure, late, hush), 2
-            hush = -1
-        if fail:
-            return (True, late, hush), 0
-        if failure and not head:
-            return (True, late, hush), 0
-        if keep or not passes:
-            return (False, late, hush), 0
-        return (False, late, indent if tap else -1), 1
-
-    df = _scan(df, needs, "_gone", T.LongType(), step)
-    df = df.withColumn("_n", F.count_if(F.col("_gone") == 1).over(Window.partitionBy("run_id")))
-    df = _drop(df, "test-runner", F.coalesce(F.col("_gone") > 0, F.lit(False))).withColumn("_end", _last_row())
-    text = F.concat(F.lit(f"{cfg.prefix} dropped "), F.col("_n").cast("string"), F.lit(" passing-test "), L.plural(F.col("_n"), "line"))
-    return _mark(df, (F.col("_end") & (F.col("_n") > 0), F.lit(_LAST), F.lit(0), text)).drop("_gone", "_n", "_end")
+    t, m = F.col("text"), Z.Tests
+    own = featured(df).where(_alive() & active)
+    bit = lambda c, b: F.when(c, b).otherwise(0)
+    solid = (F.col("_f").bitwiseAND(BLANK | FAIL) != 0) | F.col("protected")
+    bits = (
+        bit(F.col("in_block"), m.IN_BLOCK) + bit(solid, m.SOLID) + bit(L._is(t, P.TEST_FAILURE), m.FAIL) + bit(L._is(t, P.TEST_HEADER), m.HEAD)
+        + bit(F.col("protected") | L._is(t, P.TEST_SUMMARY) | ~L._is(t, P.TEST_PASS), m.STAYS) + bit(L._is(t, P.TAP_RESULT), m.TAP)
+    )
+    rows = own.select("run_id", "pos", bits.alias("bits"), F.col("_indent").alias("indent"), L._is(t, P.TEST_FAILING).alias("_failing"))
+    late = F.max("_failing").over(Window.partitionBy("run_id").orderBy("pos"))
+    rows = rows.withColumn("_late", late).where("NOT _late").select("run_id", "pos", "bits", "indent")
+    passing = F.col("bits").bitwiseAND(m.IN_BLOCK | m.FAIL | m.STAYS) == 0
+    df = Z.spread(df, Z.intervals(rows, m(), passing))
+    df = df.withColumn("_end", F.max("pos").over(Window.partitionBy("run_id")) == F.col("pos"))
+    df = _drop(df, "test-runner", F.coalesce(F.col("pos") <= F.col("_hi"), F.lit(False)))
+    text = F.concat(F.lit(f"{cfg.prefix} dropped "), F.col("_sum").cast("string"), F.lit(" passing-test "), L.plural(F.col("_sum"), "line"))
+    return _mark(df, (F.col("_end") & (F.col("_sum") > 0), F.lit(_LAST), F.lit(0), text)).drop("_hi", "_no", "_sum", "_end")
 
 
 def docker_steps(df: DataFrame, cfg: Config = Config(), active: Column | None = None) -> DataFrame:
     """A build step's lines move to its status line; finished steps keep header and status, failed ones all."""
     active = F.lit(True) if active is None else active
     t = F.col("text")
-    df = df.withColumn("_on", active & _alive())
-    df = df.withColumn("_id", F.when(F.col("_on") & L._is(t, P.STEP_LINE), F.regexp_extract(t, P.java(P.STEP_LINE), 1)))
-    df = df.withColumn("_rest", F.when(F.col("_id").isNotNull(), F.regexp_extract(t, P.java(P.STEP_LINE), 2)))
+    id_ = F.when(active & _alive() & L._is(t, P.STEP_LINE), F.regexp_extract(t, P.java(P.STEP_LINE), 1))
+    df = df.withColumns({"_on": active & _alive(), "_id": id_}).withColumn("_rest", F.when(F.col("_id").isNotNull(), F.regexp_extract(t, P.java(P.STEP_LINE), 2)))
     rest = F.col("_rest")
     event = F.when(L._is(rest, P.STEP_DONE), "D").when(L._is(rest, P.STEP_ERROR), "E").when(L._is(rest, P.STEP_HEADER), "H")
-    df = df.withColumn("_ev", F.when(F.col("_id").isNotNull(), event))
+    df = df.withColumns({"_ev": F.when(rest.isNotNull(), event), "_moves": F.when(rest.isNotNull(), L._is(rest, P.STEP_PROGRESS) | L.is_progress(rest))})
     by = Window.partitionBy("run_id", "_id").orderBy("pos")
     open_ = F.last("_ev", True).over(by.rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("_open", F.col("_id").isNotNull() & F.coalesce(open_ == "H", F.lit(False)))
-    df = df.withColumn("_opens", (F.col("_ev") == "H") & ~F.col("_open")).withColumn("_opens", F.coalesce("_opens", F.lit(False)))
-    df = df.withColumn("_epoch", F.sum(F.col("_opens").cast("long")).over(by))
-    df = df.withColumn("_status", F.col("_open") & F.coalesce(F.col("_ev").isin("D", "E"), F.lit(False)))
+    opens = F.coalesce((F.col("_ev") == "H") & ~F.col("_open"), F.lit(False))
+    df = df.withColumns({"_opens": opens, "_status": F.col("_open") & F.coalesce(F.col("_ev").isin("D", "E"), F.lit(False))})
     held = F.col("_open") & ~F.col("_status")
-    df = df.withColumn("_prot", held & F.col("protected"))
-    df = df.withColumn("_prog", held & ~F.col("_prot") & (L._is(rest, P.STEP_PROGRESS) | L.is_progress(rest)))
-    df = df.withColumn("_body", held & ~F.col("_prot") & ~F.col("_prog"))
+    df = df.withColumns({
+        "_epoch": F.sum(F.col("_opens").cast("long")).over(by), "_first": F.min(F.when(F.col("_opens"), F.col("pos"))).over(Window.partitionBy("run_id", "_id")),
+        "_mine": F.col("_open") | F.col("_opens"), "_prot": held & F.col("protected"),
+        "_prog": held & ~F.col("protected") & F.col("_moves"), "_body": held & ~F.col("protected") & ~F.col("_moves"),
+    })
     cell = ["run_id", "_id", "_epoch"]
-    mine = F.col("_open") | F.col("_opens")
-    df = df.withColumn("_mine", mine)
     seen = Window.partitionBy(*cell).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.coalesce(F.sum(F.when(F.col("_mine") & (F.col("_prot") | F.col("_body")), 1).otherwise(0)).over(seen), F.lit(0))
     df = df.withColumn("_fit", F.col("_prot") | (F.col("_body") & (earlier < cfg.max_step)))
@@ -290,31 +252,28 @@ def docker_steps(df: DataFrame, cfg: Config = Config(), active: Column | None =
         "_end": F.max(F.when(F.col("_status"), F.col("pos"))).over(whole),
         "_bad": F.coalesce(F.max(F.when(F.col("_mine"), F.col("_prot") | (F.col("_status") & (F.col("_ev") == "E")))).over(whole), F.lit(False)),
         "_kept": total(F.col("_fit")), "_progs": total(F.col("_prog")), "_over": total(F.col("_body") & ~F.col("_fit")),
-        "_first": F.min(F.when(F.col("_opens"), F.col("pos"))).over(Window.partitionBy("run_id", "_id")),
+        "_lastmine": F.max(F.when(F.col("_mine"), F.col("pos"))).over(whole),
     })
     done = F.col("_end").isNotNull()
     gone = F.col("_prog") | (F.col("_body") & ~F.col("_fit")) | (held & done & ~F.col("_bad"))
-    loose = F.col("_on") & F.col("_id").isNull() & L.is_blank(t) & ~F.col("protected")
+    loose = F.col("_on") & F.col("_id").isNull() & _has(df, BLANK) & ~F.col("protected")
     df = _drop(df, "docker-build", F.coalesce((F.col("_mine") & gone) | loose, F.lit(False)))
     # Order: rows of a step stand where it ended, or at the end of the run in order of its first header.
     place = F.when(~F.col("_mine"), F.col("pos")).when(done, F.col("_end")).otherwise(F.lit(_LAST // 2) + F.col("_first"))
     part = F.when(~F.col("_mine"), 0).when(F.col("_opens"), 0).when(F.col("_status"), 3).otherwise(1)
-    df = df.withColumn("_p", place.cast("long")).withColumn("_q", part)
-    df = df.withColumn("_old", F.col("pos"))
-    df = _renumber(df, [F.col("_p"), F.col("_q"), F.col("_old")])
+    df = df.withColumns({"_p": place.cast("long"), "_q": part, "_tail": F.col("_mine") & (F.col("pos") == F.col("_lastmine"))})
+    df = _renumber(df, [F.col("_p"), F.col("_q"), F.col("pos")])
     head = F.concat(F.lit("#"), F.col("_id"), F.lit(f" {cfg.prefix} "))
     n = F.col("_kept") + F.col("_progs")
     many = lambda c, tail: F.concat(head, c.cast("string"), F.lit(" "), tail)
     layer = lambda c: F.concat(L.plural(c, "line"), F.lit(" of layer/progress output elided"))
-    last_held = F.max("pos").over(Window.partitionBy(*cell, "_mine"))
-    df = df.withColumn("_lastpos", F.when(F.col("_mine"), last_held))
     # The marker stands before the status line, or after the last row of a step that never ended.
     return _mark(
         df,
         (F.col("_status") & ~F.col("_bad") & (n > 0), F.col("pos") - 1, F.lit(1), many(n, layer(n))),
         (F.col("_status") & F.col("_bad") & (F.col("_over") > 0), F.col("pos") - 1, F.lit(1), many(F.col("_over"), F.concat(F.lit("further "), L.plural(F.col("_over"), "line"), F.lit(" elided; see the full output log")))),
-        (F.col("_mine") & ~done & (F.col("pos") == F.col("_lastpos")) & (F.col("_progs") > 0), F.col("pos"), F.lit(1), many(F.col("_progs"), layer(F.col("_progs")))),
-    ).drop("_on", "_id", "_rest", "_ev", "_open", "_opens", "_epoch", "_status", "_prot", "_prog", "_body", "_mine", "_fit", "_end", "_bad", "_kept", "_progs", "_over", "_first", "_p", "_q", "_old", "_lastpos")
+        (F.col("_tail") & ~done & (F.col("_progs") > 0), F.col("pos"), F.lit(1), many(F.col("_progs"), layer(F.col("_progs")))),
+    ).drop("_on", "_id", "_rest", "_ev", "_moves", "_open", "_opens", "_epoch", "_status", "_prot", "_prog", "_body", "_mine", "_fit", "_end", "_bad", "_kept", "_progs", "_over", "_first", "_lastmine", "_p", "_q", "_tail")
 
 
 def dedup(df: DataFrame, cfg: Config = Config(), active: Column | None = None, far: Column | None = None) -> DataFrame:
@@ -322,59 +281,60 @@ def dedup(df: DataFrame, cfg: Config = Config(), active: Column | None = None, f
     ``window`` lines are dropped, with one marker a shape at the end. far: runs to which the latter applies."""
     active = F.lit(True) if active is None else active
     far = F.lit(True) if far is None else far
-    t = F.col("text")
+    t, blank = F.col("text"), _has(df, BLANK)
     run = cfg.min_run if cfg.min_run >= 2 else 3
-    df = df.withColumn("_free", active & _alive() & ~F.col("protected") & ~F.col("in_block") & ~L.is_failure(t))
-    df = df.withColumn("_key", F.when(F.col("_free"), L.dedup_key(t))).withColumn("_n", F.row_number().over(_w()))
+    df = df.withColumn("_free", active & _alive() & ~F.col("protected") & ~F.col("in_block") & ~_has(df, FAIL))
+    df = df.withColumn("_key", F.when(F.col("_free"), L.dedup_key(t)))
     same = F.col("_free") & F.coalesce(F.lag("_key").over(_w()) == F.col("_key"), F.lit(False))
-    df = df.withColumn("_new", ~same).withColumn("_island", F.sum(F.col("_new").cast("long")).over(_w()))
+    n = F.row_number().over(_w())
+    df = df.withColumns({"_new": ~same, "_settled": n + F.coalesce(F.lead("_free").over(_w()), F.lit(False)).cast("int")})
+    df = df.withColumn("_island", F.sum(F.col("_new").cast("long")).over(_w()))
     isle = Window.partitionBy("run_id", F.col("dropped_by").isNull(), "_island")
-    df = df.withColumn("_c", F.count("*").over(isle)).withColumn("_at", F.row_number().over(isle.orderBy("pos")))
-    df = df.withColumn("_text0", F.first("text").over(isle.orderBy("pos")))
-    lead_free, lead_n = F.lead("_free").over(_w()), F.lead("_n").over(_w())
-    flush_here = F.when(F.coalesce(lead_free, F.lit(False)), lead_n).otherwise(F.col("_n"))
-    df = df.withColumn("_flush", F.max(F.when(F.col("_at") == F.col("_c"), flush_here)).over(isle))
-    blank = L.is_blank(t)
-    df = df.withColumn("_lead", F.col("_free") & (F.col("_at") == 1) & ~blank)
+    df = df.withColumns({
+        "_c": F.count("*").over(isle), "_stop": F.max("pos").over(isle), "_flush": F.max("_settled").over(isle),
+        "_text0": F.max(F.when(F.col("_new"), t)).over(isle), "_lead": F.col("_free") & F.col("_new") & ~blank,
+    })
     keyed = Window.partitionBy("run_id", F.col("dropped_by").isNull(), "_lead", "_key").orderBy("pos")
     inside = (F.col("_c") < run) & F.lit(cfg.window > 0) & far & (F.octet_length("_text0") >= 24)
     inside = inside & F.coalesce(F.col("_flush") - F.lag("_flush").over(keyed) <= cfg.window, F.lit(False))
-    df = df.withColumn("_in", F.col("_lead") & inside)
+    df = df.withColumns({"_in": F.col("_lead") & inside, "_firstkey": F.col("_lead") & (F.row_number().over(keyed) == 1)})
     past = F.coalesce(F.sum(F.when(F.col("_in"), 2).otherwise(1)).over(keyed.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     df = df.withColumn("_sup", F.col("_in") & (past + 1 > max(2, cfg.min_run - 1)))
-    df = df.withColumn("_gone", F.max(F.when(F.col("_at") == 1, F.col("_sup").cast("int"))).over(isle) == 1)
     group = Window.partitionBy("run_id", F.col("dropped_by").isNull(), "_lead", "_key")
     df = df.withColumn("_extra", F.when(F.col("_lead"), F.sum(F.when(F.col("_sup"), F.col("_c")).otherwise(0)).over(group)))
-    df = df.withColumn("_firstkey", F.col("_lead") & (F.row_number().over(keyed) == 1))
-    blank_run = F.col("_free") & blank & (F.col("_at") > 1)
+    # The verdict on an island is that of its first line: the last first line at or before a line, dead lines aside.
+    verdict = F.last(F.when(_alive() & F.col("_new"), F.col("_sup")), True).over(Window.partitionBy("run_id").orderBy("pos"))
     collapsed = F.col("_free") & ~blank & (F.col("_c") >= run)
-    # A run of two keeps its first text twice: only its shape was compared.
-    df = df.withColumn("text", F.when(F.col("_free") & ~blank & (F.col("_c") < run), F.col("_text0")).otherwise(t))
-    df = df.withColumn("_stop", F.max("pos").over(isle)).withColumn("_mk", collapsed & (F.col("_at") == 1)).withColumn("_xk", F.col("_firstkey") & (F.coalesce("_extra", F.lit(0)) > 0))
-    df = _drop(df, "dedup", F.coalesce(blank_run | (collapsed & (F.col("_at") > 1)) | (F.col("_free") & ~blank & F.col("_gone")), F.lit(False)))
+    df = df.withColumns({
+        "_gone": F.coalesce(verdict, F.lit(False)), "_mk": collapsed & F.col("_new"), "_xk": F.col("_firstkey") & (F.coalesce("_extra", F.lit(0)) > 0),
+        # A run of two keeps its first text twice: only its shape was compared.
+        "text": F.when(F.col("_free") & ~blank & (F.col("_c") < run), F.col("_text0")).otherwise(t),
+    })
+    df = _drop(df, "dedup", F.coalesce(F.col("_free") & F.when(blank, ~F.col("_new")).otherwise(F.col("_gone") | ((F.col("_c") >= run) & ~F.col("_new"))), F.lit(False)))
     near = F.concat(F.lit(f"{cfg.prefix} "), L.times(F.col("_c")), F.lit(" similar "), L.plural(F.col("_c"), "line"), F.lit(" collapsed"))
     more = F.concat(F.lit(f"{cfg.prefix} "), L.times(F.col("_extra")), F.lit(" further similar "), L.plural(F.col("_extra"), "line"), F.lit(": "), L.sample_text(F.col("_text0")))
     df = _mark(df, (F.col("_mk"), F.col("_stop"), F.lit(1), near), (F.col("_xk"), F.lit(_LAST), F.col("pos"), more))
-    return df.drop("_free", "_key", "_n", "_new", "_island", "_c", "_at", "_text0", "_flush", "_lead", "_in", "_sup", "_gone", "_extra", "_firstkey", "_mk", "_xk", "_stop")
+    return df.drop("_free", "_key", "_new", "_settled", "_island", "_c", "_stop", "_flush", "_text0", "_lead", "_in", "_sup", "_gone", "_extra", "_firstkey", "_mk", "_xk")
 
 
 def head_tail(df: DataFrame, cfg: Config = Config(), active: Column | None = None) -> DataFrame:
     """The first and the last lines, and between them what is protected."""
     active = F.lit(True) if active is None else active
-    df = df.withColumn("_on", active & _alive()).withColumn("_n", F.row_number().over(_w()))
     whole = Window.partitionBy("run_id", F.col("dropped_by").isNull())
-    df = df.withColumn("_all", F.count("*").over(whole))
-    df = df.withColumn("_rank", F.sum(F.when(F.col("protected") & (F.col("_n") > cfg.head), 1).otherwise(0)).over(_w()))
+    df = df.withColumns({"_on": active & _alive(), "_n": F.row_number().over(_w()), "_all": F.count("*").over(whole)})
     tail = F.greatest(F.lit(cfg.head), F.col("_all") - cfg.tail)
-    df = df.withColumn("_mid", F.col("_on") & (F.col("_n") > cfg.head) & (F.col("_n") <= tail))
-    df = df.withColumn("_held", F.col("_mid") & F.col("protected") & (F.col("_rank") <= cfg.max_protected))
-    df = df.withColumn("_skip", F.sum((F.col("_mid") & ~F.col("protected")).cast("long")).over(whole))
-    df = df.withColumn("_kept", F.sum(F.col("_held").cast("long")).over(whole))
-    df = df.withColumn("_full", F.max(F.when(F.col("_on") & F.col("protected") & (F.col("_n") > cfg.head), F.col("_rank"))).over(whole) > cfg.max_protected)
-    df = df.withColumn("_lost", F.sum((F.col("_mid") & F.col("protected") & ~F.col("_held")).cast("long")).over(whole))
-    df = df.withColumn("_tails", F.col("_all") - tail).withColumn("_first", F.col("_on") & (F.col("_n") == tail + 1))
-    df = df.withColumn("_at1", F.col("_mid") & (F.col("_n") == cfg.head + 1))
-    df = _drop(df, "truncate", F.col("_mid") & ~F.col("_held"))
+    df = df.withColumns({
+        "_rank": F.sum(F.when(F.col("protected") & (F.col("_n") > cfg.head), 1).otherwise(0)).over(_w()),
+        "_mid": F.col("_on") & (F.col("_n") > cfg.head) & (F.col("_n") <= tail), "_tails": F.col("_all") - tail, "_first": F.col("_on") & (F.col("_n") == tail + 1),
+    })
+    held = F.col("_mid") & F.col("protected") & (F.col("_rank") <= cfg.max_protected)
+    count_of = lambda c: F.sum(c.cast("long")).over(whole)
+    df = df.withColumns({
+        "_skip": count_of(F.col("_mid") & ~F.col("protected")), "_kept": count_of(held), "_lost": count_of(F.col("_mid") & F.col("protected") & ~held),
+        "_full": F.max(F.when(F.col("_on") & F.col("protected") & (F.col("_n") > cfg.head), F.col("_rank"))).over(whole) > cfg.max_protected,
+        "_at1": F.col("_mid") & (F.col("_n") == cfg.head + 1), "_cut": F.col("_mid") & ~held,
+    })
+    df = _drop(df, "truncate", F.col("_cut"))
     some = F.col("_skip") > 0
     say = lambda *x: F.concat(F.lit(f"{cfg.prefix} ... "), *x)
     count = lambda c: F.concat(F.col(c).cast("string"), F.lit(" "), L.plural(F.col(c), "line"))
@@ -384,4 +344,4 @@ def head_tail(df: DataFrame, cfg: Config = Config(), active: Column | None = Non
         (F.col("_at1") & some & (F.col("_kept") == 0), F.col("pos"), F.lit(-1), say(count("_skip"), F.lit(" elided ..."))),
         (F.col("_first") & ((some & (F.col("_kept") > 0) & F.coalesce("_full", F.lit(False))) | (~some & (F.col("_lost") > 0))), F.col("pos"), F.lit(-2), say(F.lit("more failure lines elided; see the full output log ..."))),
         (F.col("_first") & some & (F.col("_kept") > 0), F.col("pos"), F.lit(-1), say(F.lit("resuming at the last "), count("_tails"), F.lit(" ..."))),
-    ).drop("_on", "_n", "_all", "_rank", "_mid", "_held", "_skip", "_kept", "_full", "_lost", "_tails", "_first", "_at1")
+    ).drop("_on", "_n", "_all", "_rank", "_mid", "_cut", "_skip", "_kept", "_full", "_lost", "_tails", "_first", "_at1")

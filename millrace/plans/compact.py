@@ -41,28 +41,38 @@ def staged(lines: DataFrame, runs: DataFrame, cfg: Config = Config()) -> DataFra
 
     lines: run_id, line_no, text; runs: run_id, argv. A run without argv is generic. Adds raw_text, kind,
     small, raw_lines, raw_bytes, lines_out, bytes_out, changed, use_raw.
+
+    The frame is written after the line features, and after the stages of ``Config.cuts``; each part between two
+    writes deals the lines by run once, and its windows share that exchange. Calling this runs those jobs.
     """
     kinds = decided(runs.select("run_id", "argv"), "argv", kind=F.coalesce(classify_kind(F.col("argv")), F.lit("generic"))).select("run_id", "kind")
+    present = {"generic", *(r.kind for r in kinds.select("kind").distinct().collect())}  # at most six; stages of other kinds are left out
     df = S.start(lines.select("run_id", "line_no", "text", F.coalesce("text", F.lit("")).alias("raw_text")))
-    df = df.join(kinds, "run_id", "left").withColumn("kind", F.coalesce("kind", F.lit("generic")))
+    df = df.join(kinds, "run_id", "left")
     whole = Window.partitionBy("run_id")
-    df = df.withColumn("raw_lines", F.count("*").over(whole)).withColumn("raw_bytes", F.sum(F.octet_length("raw_text") + 1).over(whole))
+    df = df.withColumns({
+        "kind": F.coalesce("kind", F.lit("generic")), "text": L.normalize_eol(F.col("text")),
+        "raw_lines": F.count("*").over(whole), "raw_bytes": F.sum(F.octet_length("raw_text") + 1).over(whole),
+    })
     small = (F.col("raw_lines") <= cfg.passthrough_lines) & (F.col("raw_bytes") <= cfg.passthrough_bytes) & F.lit(not cfg.always_filter)
-    df = df.withColumn("small", small | F.lit(not cfg.enabled)).withColumn("text", L.normalize_eol(F.col("text")))
-    df = df.withColumn("clean_bytes", F.octet_length("text") + 1)
+    df = df.withColumns({"small": small | F.lit(not cfg.enabled), "clean_bytes": F.octet_length("text") + 1})
     for name, kinds_, fn in STAGES:
+        if kinds_ and not present & set(kinds_):
+            continue
+        if name == "guard":
+            df = stored(S.featured(df.withColumn("rewritten", F.col("text") != L.normalize_eol(F.col("raw_text")))))
         if name == "guard" or cfg.on(name):  # protection can't be switched off
             on = ~F.col("small") & (F.col("kind").isin(*kinds_) if kinds_ else F.lit(True))
             df = fn(df, cfg, on)
         if name in cfg.cuts:
             df = stored(df)
+    df = df.drop("_f", "_indent")
     alive = F.col("dropped_by").isNull()
-    df = df.withColumn("lines_out", F.sum(alive.cast("long")).over(whole)).withColumn("bytes_out", F.sum(F.when(alive, F.octet_length("text") + 1).otherwise(0)).over(whole))
-    for name in ("raw_lines", "raw_bytes", "small", "kind"):  # markers carry their run's figures
-        df = df.withColumn(name, F.max(name).over(whole))
-    df = df.withColumn("lines_in", F.col("raw_lines"))
-    rewritten = ~F.col("marker") & (F.col("text") != L.normalize_eol(F.col("raw_text")))
-    df = df.withColumn("rewritten", rewritten).withColumn("changed", F.max(~alive | F.col("rewritten") | F.col("marker")).over(whole))
+    df = df.withColumn("rewritten", F.col("rewritten") & ~F.col("marker"))
+    df = df.withColumns({
+        "lines_out": F.sum(alive.cast("long")).over(whole), "bytes_out": F.sum(F.when(alive, F.octet_length("text") + 1).otherwise(0)).over(whole),
+        "changed": F.max(~alive | F.col("rewritten") | F.col("marker")).over(whole), "lines_in": F.col("raw_lines"),
+    })
     footer = F.when(F.lit(cfg.footer) & F.col("changed"), F.octet_length(_footer(cfg)) + 1).otherwise(0)
     raw = (F.col("raw_bytes") <= cfg.decision_bytes) & (F.col("bytes_out") + footer >= F.col("raw_bytes"))
     return df.withColumn("use_raw", F.col("small") | raw)

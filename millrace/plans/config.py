@@ -24,7 +24,7 @@ class Config:
     footer: bool = True
     enabled: bool = True
     #: Stages after which the working frame is written and read back, so that no plan grows with all of them.
-    cuts: tuple[str, ...] = ("guard", "dotnet")
+    cuts: tuple[str, ...] = ("node-install",)
     #: Stages that are switched off, by name.
     off: frozenset[str] = field(default_factory=frozenset)
 

@@ -1,62 +1,45 @@
-"""A plain sequential model of the ordered stages, one line at a time, as an oracle for random streams."""
+"""Plain models of the ordered stages as an oracle for random streams."""
+
+from itertools import accumulate, pairwise
 
 
 def dedup(lines, free, key, min_run, window, min_bytes=24):
-    """Texts kept by the dedup stage; free: whether a line may be dropped; key: its comparison key."""
-    out, held, seen, order = [], [], {}, []
-    run, first_n = min_run if min_run >= 2 else 3, max(2, min_run - 1)
-    number = 0
+    """Texts that the dedup stage keeps, from its closed form: islands of equal keys first, then each key's islands together.
 
-    def note(k, t):
-        if window > 0:
-            if k not in seen:
-                seen[k] = [0, 0, 0, t]
-                order.append(k)
-            seen[k][0] = number
-            seen[k][1] += 1
+    free: whether a line may be dropped; key: its comparison key.
+    """
+    run, allowed = (min_run if min_run >= 2 else 3), max(2, min_run - 1)
+    keys = [key(t) if free(t) else None for t in lines]
+    cuts = [i for i, k in enumerate(keys) if i == 0 or k is None or k != keys[i - 1]] + [len(lines)]
+    islands = [(a, b) for a, b in pairwise(cuts) if keys[a] is not None and lines[a].strip()]
+    # A key's islands are told apart by where they are settled: at the next line if that may be dropped too, else at their own last.
+    settled = {(a, b): b + (b < len(lines) and keys[b] is not None) for a, b in islands}
+    hidden, extra = set(), {}
+    for k in dict.fromkeys(keys[a] for a, _ in islands):
+        own = [x for x in islands if keys[x[0]] == k]
+        gaps = [window + 1] + [settled[y] - settled[x] for x, y in pairwise(own)]
+        near = [b - a < run and window > 0 and len(lines[a].encode()) >= min_bytes and gap <= window for (a, b), gap in zip(own, gaps, strict=True)]
+        seen = accumulate((2 if x else 1 for x in near), initial=0)
+        gone = [x for x, close, n in zip(own, near, seen, strict=False) if close and n + 1 > allowed]
+        hidden.update(gone)
+        if gone:
+            extra[own[0][0]] = sum(b - a for a, b in gone)
+    starts = {a: b for a, b in islands}
+    out = []
+    for a, b in pairwise(cuts):
+        n = b - a
+        if a not in starts:  # fixed lines are alone, blank ones shrink to one
+            out.append(lines[a])
+        elif (a, b) not in hidden:
+            out += [lines[a], f"[m] ×{n} similar {_lines(n)} collapsed"] if n >= run else [lines[a]] * n
+    for a, n in extra.items():
+        text = lines[a].strip()
+        out.append(f"[m] ×{n} further similar {_lines(n)}: {text[:70] + '…' if len(text) > 70 else text}")
+    return out
 
-    def release():
-        if not held:
-            return
-        t, k, n = held[0], key(held[0]), len(held)
-        held.clear()
-        if not t.strip():
-            out.append(t)
-        elif n >= run:
-            out.append(t)
-            out.append(f"[m] ×{n} similar line{'s' if n != 1 else ''} collapsed")
-            note(k, t)
-        else:
-            hide = False
-            if window > 0 and len(t.encode()) >= min_bytes and k in seen and number - seen[k][0] <= window:
-                seen[k][0] = number
-                seen[k][1] += 1
-                hide = seen[k][1] > first_n
-            if hide:
-                seen[k][2] += n
-            else:
-                out.extend([t] * n)
-                note(k, t)
 
-    for line in lines:
-        if not free(line):
-            release()
-            number += 1
-            out.append(line)
-            continue
-        number += 1
-        if held and key(held[0]) == key(line):
-            held.append(line)
-            continue
-        release()
-        held.append(line)
-    release()
-    for k in order:
-        n = seen[k][2]
-        if n:
-            t = seen[k][3].strip()
-            out.append(f"[m] ×{n} further similar line{'s' if n != 1 else ''}: {t if len(t) <= 70 else t[:70] + '…'}")
-    return out
+def _lines(n):
+    return "line" if n == 1 else "lines"
 
 
 def head_tail(n, protected, head, tail):
@@ -91,3 +74,21 @@ def blocks(rows):
         else:
             out.append(None)
     return out
+
+
+def passing_tests(rows):
+    """rows: dicts in_block, solid, fail, head, stays, tap, indent -> 1 for a dropped result, 2 for what it hushes, else 0."""
+    out, failing, hush = [], False, None
+    for r in rows:
+        if hush is not None and not r["in_block"] and not r["solid"] and r["indent"] > hush:
+            out.append(2)
+            continue
+        hush = None
+        if r["in_block"]:
+            out.append(0)
+            continue
+        failing = r["fail"] or (failing and not r["head"])
+        goes = not failing and not r["stays"]
+        hush = r["indent"] if goes and r["tap"] else None
+        out.append(int(goes))
+    return out

@@ -28,6 +28,34 @@ def test_failures_survive(spark):
     assert [r.problem for r in A.failures_survive(*tables(spark, swapped)).collect()] == ["out of order"]
 
 
+def bare(pair):
+    """The output without lineage, as another tool would give it."""
+    return pair[0], pair[1].select("run_id", "out_no", "text")
+
+
+def test_failures_survive_without_lineage(spark):
+    assert A.failures_survive(*bare(tables(spark, whole()))).count() == 0
+    assert [(r.line_no, r.problem) for r in A.failures_survive(*bare(tables(spark, without(2)))).collect()] == [(2, "missing")]
+    swapped = [whole()[i] for i in (0, 2, 1, *range(3, 10))]
+    assert [(r.line_no, r.problem) for r in A.failures_survive(*bare(tables(spark, swapped))).collect()] == [(3, "out of order")]
+    twice = ["Error: a", "x", "Error: a", "\x1b[31mError: b\x1b[0m"]
+    lost = A.failures_survive(*bare(tables(spark, [(None, "Error: a"), (None, "Error: b")], twice))).collect()
+    assert [(r.line_no, r.problem) for r in lost] == [(3, "missing")]
+
+
+def test_silent_gaps(spark):
+    find = lambda kept, lines=RUN: [(r.header_no, r.line_no) for r in A.silent_gaps(*bare(tables(spark, kept, lines))).orderBy("line_no").collect()]
+    cut = lambda *x: (None, "[millrace] 1 line elided from this failure") if not x else x
+    assert find(whole()) == [] and find(without(1, 9, 10)) == []
+    assert find(without(6)) == [(4, 6)] and find(without(5, 6, 7)) == [(4, 5)]
+    assert find([x for x in whole() if x[0] < 6] + [cut()] + [x for x in whole() if x[0] > 6]) == []
+    assert find(whole()[:5]) == [(4, 6)] and find([*whole()[:5], cut()]) == [] and find(without(4, 5, 6, 7)) == []
+    two = ["1) a", "   x", "", "   y", "1) a", "   x", "", "z", "Traceback (most recent call last)", "  f", "g"]
+    assert find(whole(two), two) == []
+    assert find([x for x in whole(two) if x[0] not in (6, 10)], two) == [(5, 6), (9, 10)]
+    assert find([x for x in whole(two) if x[0] != 4], two) == [(1, 4)] and find([x for x in whole(two) if x[0] != 3], two) == [(1, 3)]
+
+
 def test_block_gaps(spark):
     assert A.block_gaps(*tables(spark, whole())).count() == 0
     assert A.block_gaps(*tables(spark, without(6))).count() == 1

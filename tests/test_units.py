@@ -1,5 +1,5 @@
 import os
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,10 +102,64 @@ def test_sinks(spark, tmp_path):
     written = spark.read.parquet(str(tmp_path / "out")).orderBy("out_no")
     assert [r.text for r in written.collect()] == want
     assert T.read_ledger(spark, str(tmp_path / "no such ledger")).count() == 0
-    (tmp_path / "logs").mkdir()
-    (tmp_path / "logs" / "a.log").write_text("12345")
-    assert tuple(T.prune_archive(spark, str(tmp_path / "logs"), 1, datetime.now() + timedelta(days=2)).first()) == (1, 5)
-    assert T.prune_archive(spark, str(tmp_path / "logs"), 0, datetime.now() + timedelta(days=2)).first().files == 0
+
+
+def test_prune(spark, tmp_path):
+    logs, now = tmp_path / "logs", datetime.now()
+    (logs / "deep er").mkdir(parents=True)
+    for n, (name, age) in enumerate({"a.log": 3, "b.log": 0, "c.txt": 9, "deep er/d é.log": 9}.items()):
+        (logs / name).write_text("x" * (n + 1))
+        os.utime(logs / name, ((now - timedelta(days=age)).timestamp(),) * 2)
+    assert T.prune_archive(spark, str(logs), 0, now).count() == 0
+    report = {r.path.rsplit("/", 1)[1].replace("%20", " "): (r.length, r.deleted, r.error) for r in T.prune_archive(spark, str(logs), 2, now).collect()}
+    assert report == {"a.log": (1, True, None), "d é.log": (4, True, None)}
+    assert sorted(p.name for p in logs.rglob("*") if p.is_file() and not p.name.startswith(".")) == ["b.log", "c.txt"]
+    assert T.prune_archive(spark, str(logs), 2, now).count() == 0
+
+
+def test_prune_days(spark, tmp_path):
+    lines = spark.createDataFrame([(1, 1, "a")], "run_id long, line_no long, text string")
+    stats = spark.createDataFrame([(1, True, ["dedup"])], "run_id long, filtered boolean, filters array<string>")
+    for day in (1, 5, 9):
+        T.write_raw_archive(lines, stats, str(tmp_path / "raw"), date(2024, 3, day))
+    assert T.prune_days(spark, str(tmp_path / "raw"), 0, date(2024, 3, 10)) == [] == T.prune_days(spark, str(tmp_path / "none"), 3, date(2024, 3, 10))
+    assert T.prune_days(spark, str(tmp_path / "raw"), 5, date(2024, 3, 10)) == ["day=2024-03-01"]
+    assert T.prune_days(spark, str(tmp_path / "raw"), 5, date(2024, 3, 10)) == [] and spark.read.parquet(str(tmp_path / "raw")).count() == 2
+
+
+def test_a_retried_batch_adds_nothing_twice(spark, tmp_path):
+    stats = spark.createDataFrame([(i, True, ["dedup"], 100, 40) for i in (1, 2)], "run_id long, filtered boolean, filters array<string>, raw_bytes long, bytes_out long")
+    runs = spark.createDataFrame([(1, "make"), (2, "npm ci")], "run_id long, command string")
+    ledger = str(tmp_path / "ledger")
+    when = datetime(2024, 1, 1)
+    T.append_ledger(stats.where("run_id = 1"), runs, ledger, datetime(2024, 1, 2), batch="7")  # an attempt that died half way, on another day
+    for _ in range(2):
+        T.append_ledger(stats, runs, ledger, when, batch="7")
+    T.append_ledger(stats.where("run_id = 2"), runs, ledger, when, batch="8")
+    assert sorted(r.command for r in spark.read.parquet(ledger).collect()) == ["make", "npm ci", "npm ci"]
+    T.append_ledger(stats, runs, ledger + "_json", when, "json", batch="1")
+    assert T.read_ledger(spark, ledger + "_json/*/*").count() == 2
+
+
+def test_huge_files_are_read_in_ranges(spark, tmp_path):
+    texts = {"a": [f"line {i} {'x' * (i % 50)} é" for i in range(3000)], "b": ["", "one\r", "", "last"], "c": []}
+    for name, rows in texts.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "input.txt").write_bytes("\n".join(rows).encode() + (b"\n" if name == "a" else b""))
+        (tmp_path / name / "cmd").write_text("npm  test\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        lines, runs = T.read_runs(spark, str(tmp_path))
+        names = {r.run_id: r.name for r in runs.collect()}
+        assert sorted(names.values()) == ["a", "b", "c"] and {tuple(r.argv) for r in runs.collect()} == {("npm", "test")}
+        got = {}
+        for r in lines.orderBy("run_id", "line_no").collect():
+            got.setdefault(names[r.run_id], []).append((r.line_no, r.text))
+        assert lines.rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {n: [(i + 1, t.rstrip("\r")) for i, t in enumerate(rows)] for n, rows in texts.items() if rows}
 
 
 def test_stream_savings(spark, tmp_path):
