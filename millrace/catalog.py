@@ -260,7 +260,8 @@ _SHOW = ["run_id", "pos", "src", "text", "protected", "in_block", "dropped_by",
 
 
 def _stage(name: str, fn: Callable[[DataFrame], DataFrame], sql: str | None = None, show: list[str] = _SHOW) -> None:
-    _add(name, lambda s, d: fn(S.start(event_lines(s, d))).select(*show), sql)
+    numbered = S.dense if "pos" in show else lambda df: df
+    _add(name, lambda s, d: numbered(fn(S.start(event_lines(s, d)))).select(*show), sql)
 
 
 _FRAME = f"SELECT run_id, line_no AS pos, line_no AS src, {_REDRAW.format('(' + _CLEAN + ')')} AS text FROM ({EVT})"

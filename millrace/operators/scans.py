@@ -175,8 +175,8 @@ def intervals(rows: DataFrame, machine: Blocks | Tests, opens: Column) -> DataFr
 
 def spread(df: DataFrame, hits: DataFrame) -> DataFrame:
     """``df`` with, for each line, the latest interval that begins at or before it: ``_hi`` (its end), ``_no`` (its
-    number in the run) and ``_sum`` (the counts of all intervals up to it)."""
+    number in the run) and ``_sum`` (the counts of all intervals up to it); and ``_end``, whether it is the run's last."""
     both = df.unionByName(hits.select("run_id", F.col("lo").alias("pos"), F.struct("hi", "n").alias("_hit")), allowMissingColumns=True)
     w = Window.partitionBy("run_id").orderBy("pos", F.col("_hit").isNull())  # an interval stands before its first line
-    both = both.withColumns({"_hi": F.last("_hit.hi", True).over(w), "_no": F.count("_hit").over(w), "_sum": F.coalesce(F.sum("_hit.n").over(w), F.lit(0))})
+    both = both.withColumns({"_hi": F.last("_hit.hi", True).over(w), "_no": F.count("_hit").over(w), "_sum": F.coalesce(F.sum("_hit.n").over(w), F.lit(0)), "_end": F.lead("pos").over(w).isNull()})
     return both.where("_hit IS NULL").drop("_hit")

@@ -1,7 +1,7 @@
 """Ordered stages over lines: windows and gaps-and-islands, each partitioned by ``run_id``.
 
-A stage takes and returns the working frame of ``start``: run_id, pos (dense within a run), src (line number,
-null for markers), text, protected, in_block, dropped_by (null while a line is alive) and marker, besides
+A stage takes and returns the working frame of ``start``: run_id, pos (order within a run; unique, with room
+for markers between lines, see ``dense``), src (line number, null for markers), text, protected, in_block, dropped_by (null while a line is alive) and marker, besides
 columns it does not know. Dropped lines stay in the frame, so everything that goes can be shown. Markers are
 added by exploding a row, so the partitioning by run stays and all stages share one exchange. The two stages
 that scan (failure blocks, passing tests) add intervals by a union ahead of that exchange, and read narrow
@@ -21,7 +21,9 @@ from ..plans.config import Config
 from . import scans as Z
 
 COLUMNS = ("run_id", "pos", "src", "text", "protected", "in_block", "dropped_by", "marker")
-_LAST = 2**62
+#: Lines stand STEP apart. A stage puts its markers at an offset of its own from a line, smaller than those of the
+#: stages before it, so positions stay unique without numbering anew; notes at the end of a run follow END, stage by stage.
+STEP, END, _NOTES = 4096, 2**61, 2**54
 #: Bits of ``_f``.
 BLANK, HEADER, ENDS, DETAIL, FAIL, NEED = 1, 2, 4, 8, 16, 32
 
@@ -47,7 +49,7 @@ def start(lines: DataFrame) -> DataFrame:
     """The working frame from run_id, line_no, text (null text counts as empty)."""
     known = [c for c in lines.columns if c not in ("run_id", "line_no", "text")]
     return lines.select(
-        "run_id", F.col("line_no").cast("long").alias("pos"), F.col("line_no").cast("long").alias("src"), F.coalesce("text", F.lit("")).alias("text"),
+        "run_id", (F.col("line_no").cast("long") * STEP).alias("pos"), F.col("line_no").cast("long").alias("src"), F.coalesce("text", F.lit("")).alias("text"),
         F.lit(False).alias("protected"), F.lit(False).alias("in_block"), F.lit(None).cast("string").alias("dropped_by"), F.lit(False).alias("marker"), *known,
     )
 
@@ -65,24 +67,24 @@ def _drop(df: DataFrame, name: str, condition: Column) -> DataFrame:
     return df.withColumn("dropped_by", F.when(_alive() & condition, F.lit(name)).otherwise(F.col("dropped_by")))
 
 
-def _renumber(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
-    return df.withColumn("pos", F.row_number().over(Window.partitionBy("run_id").orderBy(*(order or [F.col("pos")]))).cast("long"))
+def dense(df: DataFrame, order: list[Column] | None = None, step: int = 1) -> DataFrame:
+    """``df`` with pos as row numbers within a run, ``step`` apart."""
+    return df.withColumn("pos", F.row_number().over(Window.partitionBy("run_id").orderBy(*(order or [F.col("pos")]))).cast("long") * step)
 
 
-def _mark(df: DataFrame, *marks: tuple[Column, Column, Column, Column]) -> DataFrame:
-    """Adds marker rows (condition, trigger, phase, text) after existing ones and renumbers."""
-    own = F.struct(F.col("pos").alias("a"), F.lit(0).cast("long").alias("b"), F.col("text").alias("t"), F.lit(False).alias("m"))
-    new = [F.when(c, F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), t.alias("t"), F.lit(True).alias("m"))) for c, a, b, t in marks]
+def _mark(df: DataFrame, *marks: tuple[Column, Column, int, Column]) -> DataFrame:
+    """Adds marker rows (condition, anchor, offset, text), which stand at anchor + offset."""
+    own = F.struct(F.col("pos").alias("p"), F.col("text").alias("t"), F.lit(False).alias("m"))
+    new = [F.when(c, F.struct((a + b).cast("long").alias("p"), t.alias("t"), F.lit(True).alias("m"))) for c, a, b, t in marks]
     df = df.withColumn("_x", F.explode(F.array_compact(F.array(own, *new))))
     fresh = F.col("_x.m")
-    out = df.select(
-        "run_id", F.col("_x.a").alias("pos"), F.col("_x.b").alias("_order"), F.when(~fresh, F.col("src")).alias("src"), F.col("_x.t").alias("text"),
+    features = [F.when(fresh, _features(F.col("_x.t"))).otherwise(F.col("_f")).alias("_f"), F.when(fresh, L.indent_of(F.col("_x.t"))).otherwise(F.col("_indent")).alias("_indent")]
+    return df.select(
+        "run_id", F.col("_x.p").alias("pos"), F.when(~fresh, F.col("src")).alias("src"), F.col("_x.t").alias("text"),
         (F.col("protected") & ~fresh).alias("protected"), (F.col("in_block") & ~fresh).alias("in_block"),
         F.when(~fresh, F.col("dropped_by")).alias("dropped_by"), (F.col("marker") | fresh).alias("marker"),
-        *[c for c in df.columns if c not in (*COLUMNS, "_x", "_f", "_indent")],
-        *([F.when(fresh, _features(F.col("_x.t"))).otherwise(F.col("_f")).alias("_f"), F.when(~fresh, F.col("_indent")).otherwise(L.indent_of(F.col("_x.t"))).alias("_indent")] if "_f" in df.columns else []),
+        *[c for c in df.columns if c not in (*COLUMNS, "_x", "_f", "_indent")], *(features if "_f" in df.columns else []),
     )
-    return _renumber(out, [F.col("pos"), F.col("_order")]).drop("_order")
 
 
 def collapse_progress(df: DataFrame, active: Column | None = None) -> DataFrame:
@@ -108,7 +110,7 @@ def failure_blocks(df: DataFrame, active: Column | None = None) -> DataFrame:
     bits = bit(has(BLANK), m.BLANK) + bit(active & has(HEADER) & ~has(ENDS), m.OPENS) + bit(has(HEADER), m.HEADER) + bit(has(ENDS), m.ENDS) + bit(has(DETAIL, FAIL), m.DETAIL)
     rows = own.where(_alive()).select("run_id", "pos", bits.alias("bits"), F.col("_indent").alias("indent"))
     out = Z.spread(df, Z.intervals(rows, m(), F.col("bits").bitwiseAND(m.OPENS) != 0))
-    return out.withColumn("block", F.when(_alive() & (F.col("pos") <= F.col("_hi")), F.col("_no"))).drop("_hi", "_no", "_sum")
+    return out.withColumn("block", F.when(_alive() & (F.col("pos") <= F.col("_hi")), F.col("_no"))).drop("_hi", "_no", "_sum", "_end")
 
 
 def cap_blocks(df: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -124,7 +126,7 @@ def cap_blocks(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     })
     text = F.concat(F.lit(cfg.prefix + " "), F.col("_gone").cast("string"), F.lit(" "), L.plural(F.col("_gone"), "line"), F.lit(" elided from this failure; see the full output log"))
     cut = F.coalesce((F.col("pos") == F.col("_last")) & F.col("block").isNotNull() & (F.col("_gone") > 0), F.lit(False))
-    df = _mark(df, (cut, F.col("pos"), F.lit(1), text))
+    df = _mark(df, (cut, F.col("pos"), STEP // 2, text))
     return df.withColumns({"block": F.when(~F.col("marker"), F.col("block")), "region": F.col("region") & ~F.col("marker")}).drop("_last", "_n", "_over", "_gone")
 
 
@@ -171,7 +173,7 @@ def drop_install_noise(df: DataFrame, cfg: Config = Config(), active: Column | N
         "dropped_by": F.when(F.col("_old") | F.col("_noise"), "node-install").otherwise(F.col("dropped_by")),
     })
     parts = F.concat_ws(" and ", F.when(F.col("_a") > 0, F.concat(F.col("_a").cast("string"), F.lit(" deprecation warnings"))), F.when(F.col("_b") > 0, F.concat(F.col("_b").cast("string"), F.lit(" progress/notice lines"))))
-    return _mark(df, (F.col("_end") & (F.col("_a") + F.col("_b") > 0), F.lit(_LAST), F.lit(0), F.concat(F.lit(f"{cfg.prefix} dropped "), parts))).drop("_old", "_noise", "_a", "_b", "_end")
+    return _mark(df, (F.col("_end") & (F.col("_a") + F.col("_b") > 0), F.lit(END), _NOTES, F.concat(F.lit(f"{cfg.prefix} dropped "), parts))).drop("_old", "_noise", "_a", "_b", "_end")
 
 
 def drop_dotnet_noise(df: DataFrame, cfg: Config = Config(), active: Column | None = None) -> DataFrame:
@@ -188,7 +190,7 @@ def drop_dotnet_noise(df: DataFrame, cfg: Config = Config(), active: Column | No
     })
     line = lambda verb, n: F.concat(F.lit(f"{cfg.prefix} {verb} "), F.col(n).cast("string"), F.lit(" "), L.plural(F.col(n), "project"))
     return _mark(
-        df, (F.col("_end") & (F.col("_nr") > 0), F.lit(_LAST), F.lit(0), line("restored", "_nr")), (F.col("_end") & (F.col("_nb") > 0), F.lit(_LAST), F.lit(1), line("built", "_nb"))
+        df, (F.col("_end") & (F.col("_nr") > 0), F.lit(END), 5 * _NOTES, line("restored", "_nr")), (F.col("_end") & (F.col("_nb") > 0), F.lit(END), 5 * _NOTES + STEP, line("built", "_nb"))
     ).drop("_r", "_b", "_c", "_nr", "_nb", "_end")
 
 
@@ -216,10 +218,9 @@ def drop_passing_tests(df: DataFrame, cfg: Config = Config(), active: Column | N
     rows = rows.withColumn("_late", late).where("NOT _late").select("run_id", "pos", "bits", "indent")
     passing = F.col("bits").bitwiseAND(m.IN_BLOCK | m.FAIL | m.STAYS) == 0
     df = Z.spread(df, Z.intervals(rows, m(), passing))
-    df = df.withColumn("_end", F.max("pos").over(Window.partitionBy("run_id")) == F.col("pos"))
     df = _drop(df, "test-runner", F.coalesce(F.col("pos") <= F.col("_hi"), F.lit(False)))
     text = F.concat(F.lit(f"{cfg.prefix} dropped "), F.col("_sum").cast("string"), F.lit(" passing-test "), L.plural(F.col("_sum"), "line"))
-    return _mark(df, (F.col("_end") & (F.col("_sum") > 0), F.lit(_LAST), F.lit(0), text)).drop("_hi", "_no", "_sum", "_end")
+    return _mark(df, (F.col("_end") & (F.col("_sum") > 0), F.lit(END), 2 * _NOTES, text)).drop("_hi", "_no", "_sum", "_end")
 
 
 def docker_steps(df: DataFrame, cfg: Config = Config(), active: Column | None = None) -> DataFrame:
@@ -238,7 +239,7 @@ def docker_steps(df: DataFrame, cfg: Config = Config(), active: Column | None =
     df = df.withColumns({"_opens": opens, "_status": F.col("_open") & F.coalesce(F.col("_ev").isin("D", "E"), F.lit(False))})
     held = F.col("_open") & ~F.col("_status")
     df = df.withColumns({
-        "_epoch": F.sum(F.col("_opens").cast("long")).over(by), "_first": F.min(F.when(F.col("_opens"), F.col("pos"))).over(Window.partitionBy("run_id", "_id")),
+        "_epoch": F.sum(F.col("_opens").cast("long")).over(by), "_first": F.min(F.when(F.col("_opens"), F.col("pos"))).over(by),
         "_mine": F.col("_open") | F.col("_opens"), "_prot": held & F.col("protected"),
         "_prog": held & ~F.col("protected") & F.col("_moves"), "_body": held & ~F.col("protected") & ~F.col("_moves"),
     })
@@ -259,10 +260,10 @@ def docker_steps(df: DataFrame, cfg: Config = Config(), active: Column | None =
     loose = F.col("_on") & F.col("_id").isNull() & _has(df, BLANK) & ~F.col("protected")
     df = _drop(df, "docker-build", F.coalesce((F.col("_mine") & gone) | loose, F.lit(False)))
     # Order: rows of a step stand where it ended, or at the end of the run in order of its first header.
-    place = F.when(~F.col("_mine"), F.col("pos")).when(done, F.col("_end")).otherwise(F.lit(_LAST // 2) + F.col("_first"))
+    place = F.when(~F.col("_mine"), F.col("pos")).when(done, F.col("_end")).otherwise(F.lit(2 * END) + F.col("_first"))
     part = F.when(~F.col("_mine"), 0).when(F.col("_opens"), 0).when(F.col("_status"), 3).otherwise(1)
     df = df.withColumns({"_p": place.cast("long"), "_q": part, "_tail": F.col("_mine") & (F.col("pos") == F.col("_lastmine"))})
-    df = _renumber(df, [F.col("_p"), F.col("_q"), F.col("pos")])
+    df = dense(df, [F.col("_p"), F.col("_q"), F.col("pos")], STEP)
     head = F.concat(F.lit("#"), F.col("_id"), F.lit(f" {cfg.prefix} "))
     n = F.col("_kept") + F.col("_progs")
     many = lambda c, tail: F.concat(head, c.cast("string"), F.lit(" "), tail)
@@ -270,9 +271,9 @@ def docker_steps(df: DataFrame, cfg: Config = Config(), active: Column | None =
     # The marker stands before the status line, or after the last row of a step that never ended.
     return _mark(
         df,
-        (F.col("_status") & ~F.col("_bad") & (n > 0), F.col("pos") - 1, F.lit(1), many(n, layer(n))),
-        (F.col("_status") & F.col("_bad") & (F.col("_over") > 0), F.col("pos") - 1, F.lit(1), many(F.col("_over"), F.concat(F.lit("further "), L.plural(F.col("_over"), "line"), F.lit(" elided; see the full output log")))),
-        (F.col("_tail") & ~done & (F.col("_progs") > 0), F.col("pos"), F.lit(1), many(F.col("_progs"), layer(F.col("_progs")))),
+        (F.col("_status") & ~F.col("_bad") & (n > 0), F.col("pos"), -(STEP // 4), many(n, layer(n))),
+        (F.col("_status") & F.col("_bad") & (F.col("_over") > 0), F.col("pos"), -(STEP // 4), many(F.col("_over"), F.concat(F.lit("further "), L.plural(F.col("_over"), "line"), F.lit(" elided; see the full output log")))),
+        (F.col("_tail") & ~done & (F.col("_progs") > 0), F.col("pos"), STEP // 4, many(F.col("_progs"), layer(F.col("_progs")))),
     ).drop("_on", "_id", "_rest", "_ev", "_moves", "_open", "_opens", "_epoch", "_status", "_prot", "_prog", "_body", "_mine", "_fit", "_end", "_bad", "_kept", "_progs", "_over", "_first", "_lastmine", "_p", "_q", "_tail")
 
 
@@ -286,35 +287,36 @@ def dedup(df: DataFrame, cfg: Config = Config(), active: Column | None = None, f
     df = df.withColumn("_free", active & _alive() & ~F.col("protected") & ~F.col("in_block") & ~_has(df, FAIL))
     df = df.withColumn("_key", F.when(F.col("_free"), L.dedup_key(t)))
     same = F.col("_free") & F.coalesce(F.lag("_key").over(_w()) == F.col("_key"), F.lit(False))
-    n = F.row_number().over(_w())
-    df = df.withColumns({"_new": ~same, "_settled": n + F.coalesce(F.lead("_free").over(_w()), F.lit(False)).cast("int")})
-    df = df.withColumn("_island", F.sum(F.col("_new").cast("long")).over(_w()))
-    isle = Window.partitionBy("run_id", F.col("dropped_by").isNull(), "_island")
+    df = df.withColumns({"_new": ~same, "_n": F.row_number().over(_w()), "_all": F.count("*").over(Window.partitionBy("run_id", F.col("dropped_by").isNull()))})
+    # Of the first lines of islands: the next one's number tells the size, and whether it may go where the island is settled.
+    heads = _w("_new")
     df = df.withColumns({
-        "_c": F.count("*").over(isle), "_stop": F.max("pos").over(isle), "_flush": F.max("_settled").over(isle),
-        "_text0": F.max(F.when(F.col("_new"), t)).over(isle), "_lead": F.col("_free") & F.col("_new") & ~blank,
+        "_c": F.coalesce(F.lead("_n").over(heads), F.col("_all") + 1) - F.col("_n"), "_next": F.coalesce(F.lead("_free").over(heads), F.lit(False)).cast("int"),
+        "_lead": F.col("_free") & F.col("_new") & ~blank,
     })
-    keyed = Window.partitionBy("run_id", F.col("dropped_by").isNull(), "_lead", "_key").orderBy("pos")
-    inside = (F.col("_c") < run) & F.lit(cfg.window > 0) & far & (F.octet_length("_text0") >= 24)
-    inside = inside & F.coalesce(F.col("_flush") - F.lag("_flush").over(keyed) <= cfg.window, F.lit(False))
+    keyed = _w("_lead", "_key")
+    flush = F.col("_n") + F.col("_c") - 1 + F.col("_next")
+    inside = (F.col("_c") < run) & F.lit(cfg.window > 0) & far & (F.octet_length("text") >= 24) & F.coalesce(flush - F.lag(flush).over(keyed) <= cfg.window, F.lit(False))
     df = df.withColumns({"_in": F.col("_lead") & inside, "_firstkey": F.col("_lead") & (F.row_number().over(keyed) == 1)})
     past = F.coalesce(F.sum(F.when(F.col("_in"), 2).otherwise(1)).over(keyed.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     df = df.withColumn("_sup", F.col("_in") & (past + 1 > max(2, cfg.min_run - 1)))
     group = Window.partitionBy("run_id", F.col("dropped_by").isNull(), "_lead", "_key")
     df = df.withColumn("_extra", F.when(F.col("_lead"), F.sum(F.when(F.col("_sup"), F.col("_c")).otherwise(0)).over(group)))
-    # The verdict on an island is that of its first line: the last first line at or before a line, dead lines aside.
-    verdict = F.last(F.when(_alive() & F.col("_new"), F.col("_sup")), True).over(Window.partitionBy("run_id").orderBy("pos"))
-    collapsed = F.col("_free") & ~blank & (F.col("_c") >= run)
+    # What holds for an island is what was found for its first line: the last first line at or before a line, dead lines aside.
+    head = F.last(F.when(_alive() & F.col("_new"), F.struct(F.col("_sup").alias("sup"), F.col("_c").alias("c"), t.alias("t"), F.col("_n").alias("n"))), True)
+    df = df.withColumn("_head", head.over(Window.partitionBy("run_id").orderBy("pos")))
+    many = F.col("_free") & ~blank & (F.col("_head.c") >= run)
     df = df.withColumns({
-        "_gone": F.coalesce(verdict, F.lit(False)), "_mk": collapsed & F.col("_new"), "_xk": F.col("_firstkey") & (F.coalesce("_extra", F.lit(0)) > 0),
+        "_mk": many & (F.col("_n") == F.col("_head.n") + F.col("_head.c") - 1), "_xk": F.col("_firstkey") & (F.coalesce("_extra", F.lit(0)) > 0),
         # A run of two keeps its first text twice: only its shape was compared.
-        "text": F.when(F.col("_free") & ~blank & (F.col("_c") < run), F.col("_text0")).otherwise(t),
+        "text": F.when(F.col("_free") & ~blank & (F.col("_head.c") < run), F.col("_head.t")).otherwise(t),
     })
-    df = _drop(df, "dedup", F.coalesce(F.col("_free") & F.when(blank, ~F.col("_new")).otherwise(F.col("_gone") | ((F.col("_c") >= run) & ~F.col("_new"))), F.lit(False)))
-    near = F.concat(F.lit(f"{cfg.prefix} "), L.times(F.col("_c")), F.lit(" similar "), L.plural(F.col("_c"), "line"), F.lit(" collapsed"))
-    more = F.concat(F.lit(f"{cfg.prefix} "), L.times(F.col("_extra")), F.lit(" further similar "), L.plural(F.col("_extra"), "line"), F.lit(": "), L.sample_text(F.col("_text0")))
-    df = _mark(df, (F.col("_mk"), F.col("_stop"), F.lit(1), near), (F.col("_xk"), F.lit(_LAST), F.col("pos"), more))
-    return df.drop("_free", "_key", "_new", "_settled", "_island", "_c", "_stop", "_flush", "_text0", "_lead", "_in", "_sup", "_gone", "_extra", "_firstkey", "_mk", "_xk")
+    df = _drop(df, "dedup", F.coalesce(F.col("_free") & F.when(blank, ~F.col("_new")).otherwise(F.col("_head.sup") | ((F.col("_head.c") >= run) & ~F.col("_new"))), F.lit(False)))
+    c = F.col("_head.c")
+    near = F.concat(F.lit(f"{cfg.prefix} "), L.times(c), F.lit(" similar "), L.plural(c, "line"), F.lit(" collapsed"))
+    more = F.concat(F.lit(f"{cfg.prefix} "), L.times(F.col("_extra")), F.lit(" further similar "), L.plural(F.col("_extra"), "line"), F.lit(": "), L.sample_text(F.col("_head.t")))
+    df = _mark(df, (F.col("_mk"), F.col("pos"), STEP // 8, near), (F.col("_xk"), F.col("pos"), END + 6 * _NOTES, more))
+    return df.drop("_free", "_key", "_new", "_n", "_all", "_c", "_next", "_lead", "_in", "_sup", "_extra", "_firstkey", "_head", "_mk", "_xk")
 
 
 def head_tail(df: DataFrame, cfg: Config = Config(), active: Column | None = None) -> DataFrame:
@@ -340,8 +342,8 @@ def head_tail(df: DataFrame, cfg: Config = Config(), active: Column | None = Non
     count = lambda c: F.concat(F.col(c).cast("string"), F.lit(" "), L.plural(F.col(c), "line"))
     return _mark(
         df,
-        (F.col("_at1") & some & (F.col("_kept") > 0), F.col("pos"), F.lit(-1), say(count("_skip"), F.lit(" elided; failures from the middle follow ..."))),
-        (F.col("_at1") & some & (F.col("_kept") == 0), F.col("pos"), F.lit(-1), say(count("_skip"), F.lit(" elided ..."))),
-        (F.col("_first") & ((some & (F.col("_kept") > 0) & F.coalesce("_full", F.lit(False))) | (~some & (F.col("_lost") > 0))), F.col("pos"), F.lit(-2), say(F.lit("more failure lines elided; see the full output log ..."))),
-        (F.col("_first") & some & (F.col("_kept") > 0), F.col("pos"), F.lit(-1), say(F.lit("resuming at the last "), count("_tails"), F.lit(" ..."))),
+        (F.col("_at1") & some & (F.col("_kept") > 0), F.col("pos"), -(STEP // 16), say(count("_skip"), F.lit(" elided; failures from the middle follow ..."))),
+        (F.col("_at1") & some & (F.col("_kept") == 0), F.col("pos"), -(STEP // 16), say(count("_skip"), F.lit(" elided ..."))),
+        (F.col("_first") & ((some & (F.col("_kept") > 0) & F.coalesce("_full", F.lit(False))) | (~some & (F.col("_lost") > 0))), F.col("pos"), -(STEP // 32) * 3, say(F.lit("more failure lines elided; see the full output log ..."))),
+        (F.col("_first") & some & (F.col("_kept") > 0), F.col("pos"), -(STEP // 16), say(F.lit("resuming at the last "), count("_tails"), F.lit(" ..."))),
     ).drop("_on", "_n", "_all", "_rank", "_mid", "_cut", "_skip", "_kept", "_full", "_lost", "_tails", "_first", "_at1")
