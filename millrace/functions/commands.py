@@ -209,13 +209,28 @@ def wrap_decision(command: Column, deferred: Column | None = None, own_names: tu
 def decided(df: DataFrame, by: str = "command", limit: int = 100_000, **columns: Column) -> DataFrame:
     """``df`` with columns that depend on the column ``by`` alone: worked out once for each distinct value.
 
-    Commands repeat by the million, and their rules are long expressions. The distinct values are sent to all
-    tasks if there are at most ``limit``; more are joined by value.
+    Commands repeat by the million, and their rules are long expressions. At most ``limit`` distinct values are
+    worked out by one job at once and sent to all tasks; more are joined by value. Calling this runs that job.
     """
+    return _decided(df, by, limit, columns)[0]
+
+
+def decided_values(df: DataFrame, by: str, name: str, column: Column, limit: int = 100_000) -> tuple[DataFrame, set]:
+    """``decided`` for one column with few values, and the set of its values."""
+    out, rows = _decided(df, by, limit, {name: column})
+    return out, {r[name] for r in (rows if rows is not None else out.select(name).distinct().collect())}
+
+
+def _decided(df: DataFrame, by: str, limit: int, columns: dict[str, Column]) -> tuple[DataFrame, list | None]:
     known = df.select(by).distinct()
-    once = known.select(F.col(by).alias("_by"), *[c.alias(k) for k, c in columns.items()])
-    once = F.broadcast(once) if known.limit(limit + 1).count() <= limit else once
-    return df.join(once, df[by].eqNullSafe(once["_by"]), "left").drop("_by")
+    worked = lambda x: x.select(F.col(by).alias("_by"), *[c.alias(k) for k, c in columns.items()])
+    few = worked(known.limit(limit + 1))
+    rows = few.collect()
+    if len(rows) <= limit:
+        once = F.broadcast(df.sparkSession.createDataFrame(rows, few.schema))
+    else:
+        once, rows = worked(known), None
+    return df.join(once, df[by].eqNullSafe(once["_by"]), "left").drop("_by"), rows
 
 
 def deferred_to_other(calls: DataFrame, claims: DataFrame, call_id: str = "call_id", command: str = "command") -> DataFrame:

@@ -36,9 +36,10 @@ def is_blank(text: Column) -> Column:
 
 
 def is_progress(text: Column) -> Column:
-    t = _trim(text)
-    shaped = t.rlike(P.PROGRESS_BAR_JAVA) | t.rlike(P.java(P.PROGRESS_FIGURE))
-    return F.coalesce((t != "") & shaped, F.lit(False))
+    # A bar has no ASCII letter or digit but o; a figure needs one of three signs. Most lines are decided by that.
+    bar = F.when(text.rlike("[A-NP-Za-np-z0-9]"), F.lit(False)).otherwise(_trim(text).rlike(P.PROGRESS_BAR_JAVA))
+    signs = F.contains(text, F.lit("%")) | F.contains(text, F.lit("ETA")) | F.contains(text, F.lit("/"))
+    return F.coalesce(bar | F.when(signs, text.rlike(P.java(P.PROGRESS_FIGURE))).otherwise(F.lit(False)), F.lit(False))
 
 
 def is_stack_frame(text: Column) -> Column:
@@ -48,7 +49,7 @@ def is_stack_frame(text: Column) -> Column:
 def is_failure(text: Column) -> Column:
     """A stack frame, or failure words outside tokens that hold a URL."""
     plain = F.when(F.contains(text, F.lit("://")), F.regexp_replace(text, P.java(P.URL_TOKEN), " ")).otherwise(text)
-    return is_stack_frame(text) | _is(plain, P.FAILURE)
+    return is_stack_frame(text) | F.coalesce(plain.rlike(P.FAILURE_JAVA), F.lit(False))
 
 
 def needs_context(text: Column) -> Column:

@@ -54,6 +54,12 @@ FAILURE = (
     r"|\btraceback\b|\bfatal\b|\bassert\b|\bunhandled\b|\bsegfault\b|\bsegmentation fault\b|\bE\d{3,}\b"
     r"|\bMSB\d+\b|\bCS\d{4}\b|\bNETSDK\d+\b"
 )
+#: FAILURE for the engine: the same language, but a place is left at once unless one of the first letters stands there, and
+#: word borders are single look-arounds (about six times as fast; tests compare both).
+FAILURE_JAVA = (
+    rf"(?i)(?=[efptausmcn])(?:(?:errors?|exceptions?|failed|failures?|panic(?:ked|king)?)(?![{_WORD}])|err!"
+    rf"|(?<![{_WORD}])(?:err|fail(?:s|ing)?|traceback|fatal|assert|unhandled|segfault|segmentation fault|e\d{{3,}}|msb\d+|cs\d{{4}}|netsdk\d+)(?![{_WORD}]))"
+)
 URL_TOKEN = r"\S*://\S*"
 STACK_FRAME = (
     r"^\s*at\s+\S"

@@ -77,9 +77,9 @@ def silent_gaps(lines: DataFrame, kept: DataFrame, prefix: str = "[millrace]") -
     wrong = lined.where(~F.col("text").eqNullSafe(F.col("_text")))
     wrong = wrong.withColumn("_nth", F.row_number().over(Window.partitionBy("run_id", "header_no").orderBy("j"))).where("_nth = 1")
     # At the end of the output the line before is the last one that is no marker.
-    last = shown.groupBy("run_id").agg(F.max("out_no").alias("_end"))
+    last = shown.groupBy("run_id").agg(F.max("out_no").alias("_fin"))
     wrong = wrong.join(last, "run_id", "left")
-    marked = F.when(F.col("_out").isNull(), F.col("_last") > F.col("_end")).otherwise(F.col("_out") > F.col("_after") + 1)
+    marked = F.when(F.col("_out").isNull(), F.col("_last") > F.col("_fin")).otherwise(F.col("_out") > F.col("_after") + 1)
     return wrong.where(~F.coalesce(marked, F.lit(False))).select("run_id", "header_no", "line_no", "text")
 
 

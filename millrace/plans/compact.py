@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
-from ..functions.commands import classify_kind, decided
+from ..functions.commands import classify_kind, decided_values
 from ..operators import stages as S
 from ..sources.tables import stored
 from .config import Config
@@ -45,8 +45,8 @@ def staged(lines: DataFrame, runs: DataFrame, cfg: Config = Config()) -> DataFra
     The frame is written after the line features, and after the stages of ``Config.cuts``; each part between two
     writes deals the lines by run once, and its windows share that exchange. Calling this runs those jobs.
     """
-    kinds = decided(runs.select("run_id", "argv"), "argv", kind=F.coalesce(classify_kind(F.col("argv")), F.lit("generic"))).select("run_id", "kind")
-    present = {"generic", *(r.kind for r in kinds.select("kind").distinct().collect())}  # at most six; stages of other kinds are left out
+    kinds, present = decided_values(runs.select("run_id", "argv"), "argv", "kind", F.coalesce(classify_kind(F.col("argv")), F.lit("generic")))
+    kinds, present = kinds.select("run_id", "kind"), present | {"generic"}  # stages of other kinds are left out
     df = S.start(lines.select("run_id", "line_no", "text", F.coalesce("text", F.lit("")).alias("raw_text")))
     df = df.join(kinds, "run_id", "left")
     whole = Window.partitionBy("run_id")

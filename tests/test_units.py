@@ -59,6 +59,25 @@ def test_since():
             G.parse_since(bad, now)
 
 
+def test_fast_predicates_equal_the_patterns(spark):
+    import random
+
+    from millrace.functions import patterns as P
+
+    rng = random.Random(3)
+    pieces = ["error", "ERRORS", "Err", "err!", "fail", "failing", "FAILED", "failures", "panic", "panicked", "E123", "e12", "MSB1", "CS1234", "cs12345", "NETSDK7", "assert", "fatal", "traceback", "unhandled",
+              "segfault", "segmentation fault", "exception", "s", "_", " ", " ", ".", "é", "x", "1", "%", "50%", "ETA:", "/", "3 MB", "o", "#", "=", "\t", "\u00a0", "-", "[", "]", ">"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 7))) for _ in range(20_000)]
+    t = F.col("t")
+    trimmed = L._trim(t)
+    slow = F.coalesce((trimmed != "") & (trimmed.rlike(P.PROGRESS_BAR_JAVA) | trimmed.rlike(P.java(P.PROGRESS_FIGURE))), F.lit(False))
+    df = spark.createDataFrame([(x,) for x in texts], "t string").repartition(4)
+    wrong = df.where((t.rlike(P.FAILURE_JAVA) != t.rlike(P.java(P.FAILURE))) | (L.is_progress(t) != slow))
+    assert wrong.count() == 0
+    n = df.agg(F.count_if(t.rlike(P.FAILURE_JAVA)).alias("a"), F.count_if(L.is_progress(t)).alias("b")).first()
+    assert 1000 < n.a < 19_000 and 200 < n.b < 19_000
+
+
 def test_ledger_file(spark, tmp_path):
     (tmp_path / "l.json").write_text('{"time":"2024-01-02T00:00:00Z","command":"npm ci","filters":["a"],"raw_bytes":10,"out_bytes":4}\n\nbad{\n{"time":"2023-01-01T00:00:00Z","command":"x","raw_bytes":1,"out_bytes":5}\n')
     df = T.read_ledger(spark, str(tmp_path / "l.json"))
