@@ -25,6 +25,9 @@ class Config:
     enabled: bool = True
     #: Stages after which the working frame is written and read back, so that no plan grows with all of them.
     cuts: tuple[str, ...] = ("node-install",)
+    #: Runs of more lines than this are worked on by segments of this many lines; 0: every run is a unit of work. For
+    #: skewed inputs some 200,000; a run in segments is written about thirty times on its way.
+    segment: int = 0
     #: Stages that are switched off, by name.
     off: frozenset[str] = field(default_factory=frozenset)
 

@@ -25,10 +25,10 @@ def cut(rng, rows, names):
     """Batches (runs, pos, bits, indent) of rows (run, pos, flags), cut anywhere."""
     at = 0
     while at < len(rows):
-        n = rng.randint(1, 40)
+        n = min(rng.randint(1, 40), len(rows) - at)
         part = rows[at : at + n]
         bits = [sum(bit for bit, name in names if r[2][name]) for r in part]
-        yield pa.array([r[0] for r in part]), *(np.array(x, np.int64) for x in ([r[1] for r in part], bits, [r[2]["indent"] for r in part]))
+        yield pa.array([r[0] for r in part]), *(np.array(x, np.int64) for x in ([r[1] for r in part], bits, [r[2]["indent"] for r in part], [0] * n, [0] * n))
         at += n
 
 
@@ -64,4 +64,4 @@ def test_blocks_and_tests_equal_the_models(seed, cells, monkeypatch):
                 want[-1][2:] = [i + 1, want[-1][3] + (label == 1 or seed % 2)]
             else:
                 want.append([ids[k], i + 1, i + 1, int(label == 1 or seed % 2)])
-    assert [list(x) for x in got] == want
+    assert [list(x)[:4] for x in got] == want
