@@ -85,3 +85,23 @@ def test_one_exchange_for_window_stages(spark):
     df = frame(spark, [["a", "b"]])
     plan = S.head_tail(S.dedup(S.collapse_progress(df)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1
+
+
+def test_each_part_of_the_plan_deals_the_lines_once(spark, monkeypatch):
+    """On the real frame: one exchange of the lines a part, one of runs or of narrow rows beside it, and no text in Python."""
+    from millrace.operators import scans as Z
+    from millrace.plans import compact as K
+
+    plans, narrow = [], []
+    count = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    keep, mapped = K.stored, Z._mapped
+    monkeypatch.setattr(K, "stored", lambda df: (plans.append(count(df)), keep(df))[1])
+    monkeypatch.setattr(Z, "_mapped", lambda rows, machine: (narrow.append(tuple(rows.columns)), mapped(rows, machine))[1])
+    texts = [["Error: x", "  at f (a.js:1:2)", "ok 1", "plain"] * 5] * 2
+    lines = spark.createDataFrame([(r, i + 1, t) for r, s in enumerate(texts) for i, t in enumerate(s)], "run_id long, line_no long, text string")
+    runs = spark.createDataFrame([(0, ["npm", "test"]), (1, ["docker", "build", "."])], "run_id long, argv array<string>")
+    done = K.staged(lines, runs, Config(always_filter=True))
+    assert plans == [2, 2] and count(K.run_stats(done)) == 2  # lines and runs; lines and narrow rows; the same
+    assert narrow == [("run_id", "pos", "bits", "indent", "seg", "entry")] * 2
+    done = K.staged(lines, runs.where("run_id = 1"), Config(always_filter=True))  # no tests, no second cut
+    assert plans[2:] == [2] and count(K.run_stats(done)) == 2

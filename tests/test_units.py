@@ -188,3 +188,34 @@ def test_stream_savings(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("savings_t").first().saved == 6
+
+
+#: Commands and whether their output is to be compacted, and argument lists and their kinds.
+WRAPPED = """jest --coverage|vitest run|npx jest|pytest -q tests/|go test ./...|cargo test|npm install|npm ci|npm test|npm run build|docker build -t app .|dotnet build|dotnet test
+make -j8|git commit -m wip|git push|npm ci && npm run build|./scripts/deploy.sh|CI=1 npm run build"""
+LEFT_ALONE = """millrace run -- ls|npm run dev|npm start|npm run test:watch|pnpm run serve|yarn build --watch|dotnet watch run|docker run -it ubuntu bash|docker run ubuntu|tail -f app.log
+docker logs -f app|NODE_ENV=production npm run dev|npm run build > out.log 2>&1|npm run build &> out.log|npm ls --all|npm outdated|npm why lodash|gh pr list|cat package.json
+jq '.scripts' package.json|head -50 big.log|sed -n '10,20p' file.txt|git config --list|git log|git log --oneline -50|git show HEAD|git diff HEAD~3|git status|git blame README.md
+git shortlog -sn|git reflog|git rev-list --count HEAD|git ls-files|docker images|docker ps -a|kubectl get pods|pip freeze|pip list|cargo tree|go env|go list ./...|terraform output
+brew info jq|npm run build --help|docker build --help|make --version"""
+PIPED_OR_EMPTY = ("npm run build | tail -40", "npm ls --all | wc -l", "")
+KINDS = {
+    "node-install": [["npm", "install"], ["npm", "ci"], ["npm", "i", "--save-dev", "jest"], ["pnpm", "add", "lodash"], ["yarn"], ["bash", "-c", "npm ci && npm run build"], ["npm.cmd", "install"]],
+    "node-script": [["npm", "run", "build"], ["npm", "test"], ["pnpm", "run", "lint"], ["C:\\Program Files\\nodejs\\npm.cmd", "run", "build"]],
+    "docker-build": [["docker", "build", "-t", "app", "."], ["bash", "-c", "docker build ."]],
+    "dotnet": [["dotnet", "build"], ["dotnet", "test"], ["bash", "-c", "cd app && dotnet test"]], "generic": [["make", "-j8"]],
+}
+
+
+def test_labelled_decisions(spark):
+    split = lambda text: [c for line in text.splitlines() for c in line.split("|")]
+    want = {c: True for c in split(WRAPPED)} | {c: False for c in [*split(LEFT_ALONE), *PIPED_OR_EMPTY]}
+    df = spark.createDataFrame([(c,) for c in want], "command string")
+    got = {r.command: r.wrap for r in df.select("command", C.wrap_decision(F.col("command"))["wrap"].alias("wrap")).collect()}
+    assert {c: w for c, w in got.items() if w != want[c]} == {} and len(got) == 68
+
+
+def test_labelled_kinds(spark):
+    rows = [(kind, argv) for kind, own in KINDS.items() for argv in own]
+    df = spark.createDataFrame(rows, "kind string, argv array<string>")
+    assert [tuple(r) for r in df.select("kind", "argv", C.classify_kind(F.col("argv")).alias("got")).where("kind <> got").collect()] == [] and len(rows) == 17
