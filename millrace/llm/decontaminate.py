@@ -4,7 +4,8 @@ Items are short, documents long, so a document's own MinHash would hide them. It
 their number of shingles (each partition spans a factor of two); for each partition a document is cut
 into overlapping windows twice as long as its largest item, and a window's MinHash is compared with those
 of the items. One shared value of ``HASHES`` makes a candidate: at containment t in a window of twice the
-size the chance that none is shared is below (1 - t / (3 - t)) ** HASHES, 1e-11 at 0.75. Candidates are
+size the chance that none is shared is below (1 - t / (3 - t)) ** HASHES, 1e-11 at 0.75; for the smallest item of
+a partition, whose window is up to four times its size, below 4e-6. Candidates are
 verified by the exact containment of the item's shingles in the whole document.
 
 The items are a stated query set: they are taken in blocks of at most ``BLOCK`` items, each sent to the

@@ -4,8 +4,8 @@ Positions are ranked by their prefixes of growing length. The first ranks are ha
 doubling (1, 2, 4, 8, 16 and 24 bytes); by them every 100-byte window names one position in it, its owner
 (see ``repeats``). Spark sorts the owners by rank and drops those whose rank is unique, which is what the
 reranking rounds of prefix doubling do. What is left carries its context through one more sort by Spark;
-there the rank pairs (rank of a prefix, rank of what follows) are refined for every offset of a window
-until it is told apart or passes 100 bytes.
+there every window gets one rank of its 100 bytes (rank of a prefix and rank of what follows, as in a
+doubling step), which tells it apart or not; there are no further rounds.
 
 Sorting all positions of the corpus in each round, as the textbook does, would shuffle more than ten times
 the input a round; naming an owner first leaves about one position in 39 and changes no result, because

@@ -83,3 +83,14 @@ def test_knapsack_by_brute_force():
         best = max(a * 3 + b * 5 + d * 8 for a, b, d in itertools.product(range(8), repeat=3) if 2 * a + 3 * b + 5 * d <= c)
         worth, counts = P.knapsack(values, sizes, c)
         assert worth == best == values @ counts and sizes @ counts <= c
+
+
+def test_ids_are_those_of_the_tokenizer_over_all_planes():
+    """Letters, marks, digits and signs of every plane, long runs of digits and white space, contractions."""
+    rng = random.Random(17)
+    slow, fast = Tokenizer.from_file(P.vocabulary()), P._encoder(P.vocabulary())
+    planes = [(0x20, 0x7F), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x600), (0x900, 0xE00), (0x1E00, 0x2100), (0x2190, 0x2C00), (0x3040, 0x3100), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xE000, 0xF8FF), (0x10000, 0x10FFFF)]
+    pieces = ["don't", "I'LL", "we've", "it's", "O'Neil", "\u2019s", "  ", "\n\n", "\t", " \r\n", "\u00a0", "\u3000", "0" * 40, "12345678901234567890", "3.14", "\u0663\u0664", "e\u0301", "\u200d", "\x00", "\x7f"]
+    for _ in range(1500):
+        text = "".join(rng.choice(pieces) if rng.random() < 0.4 else "".join(chr(rng.randint(*rng.choice(planes))) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 12)))
+        assert list(P._ids(fast, text))[:-1] == slow.encode(text, add_special_tokens=False).ids, text.encode()
