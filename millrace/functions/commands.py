@@ -265,13 +265,14 @@ def command_key(command: Column) -> Column:
 
 def rewrite_tool_call(calls: DataFrame, tool: str = "Bash", runner: str = "millrace run --", own_names: tuple[str, ...] = ("millrace",)) -> DataFrame:
     """call_id, reply: for calls whose command should be wrapped, their input with the command replaced and
-    every other field as it was. Other tools, bad JSON and calls without a command give no row."""
+    every other field as it was. Other tools, bad JSON and calls without a command give no row. Calling this
+    decides the distinct commands (see ``decided``)."""
     name = F.get_json_object("payload", "$.tool_name")
     given = F.from_json(F.get_json_object("payload", "$.tool_input"), "map<string,variant>")
     command = F.get_json_object("payload", "$.tool_input.command")
     found = calls.select("call_id", name.alias("tool"), given.alias("given"), command.alias("command"))
     found = found.where(F.coalesce("tool", F.lit("")).isin("", tool) & F.col("given").isNotNull() & (F.coalesce("command", F.lit("")) != ""))
-    found = found.where(wrap_decision(F.col("command"), own_names=own_names)["wrap"])
+    found = decided(found, wrap=wrap_decision(F.col("command"), own_names=own_names)["wrap"]).where("wrap")
     wrapped = F.parse_json(F.to_json(F.array(wrap_command(F.col("command"), runner))))
     new = F.transform_values("given", lambda k, v: F.when(k == "command", F.variant_get(wrapped, "$[0]", "variant")).otherwise(v))
     reply = F.to_json(F.struct(F.struct(F.lit("PreToolUse").alias("hookEventName"), new.alias("updatedInput")).alias("hookSpecificOutput")))

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
 from ..functions.commands import command_key
+from .order import Segments
 
 _UNITS = {"h": 3600.0, "m": 60.0, "s": 1.0, "ms": 1e-3, "us": 1e-6, "µs": 1e-6, "ns": 1e-9}
 
@@ -57,16 +58,15 @@ def top_commands(ledger: DataFrame, n: int = 10) -> DataFrame:
 
 
 def report(ledger: DataFrame, n: int = 10) -> DataFrame:
-    """Formatted rows of the top commands; one row that says so for an empty ledger."""
+    """Formatted rows of the top commands; one row that says so for an empty ledger. All keys (n <= 0) are ranked by a
+    range exchange, so no task has more than its share of them."""
     top = top_commands(ledger, n)
+    order = [F.desc("saved"), F.col("command_key")]
+    if n > 0:
+        top = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    else:
+        top = Segments(1_000_000).numbered(savings_by_command(ledger).withColumn("run_id", F.lit(0)), "rank", order)
     name = F.when(F.octet_length("command_key") > 40, F.concat(L._cut(F.col("command_key"), 39), F.lit("…"))).otherwise(F.col("command_key"))
     line = F.format_string("%-40s  %4d %-4s  %9s saved  (%.0f%%)", name, "runs", L.plural(F.col("runs"), "run"), L.human_bytes(F.col("saved")), "pct")
-    rows = top.select(F.row_number().over(_order()).alias("rank"), line.alias("line"))
     empty = ledger.limit(1).agg(F.count("*").alias("n")).where("n = 0").select(F.lit(1).alias("rank"), F.lit("No runs recorded.").alias("line"))
-    return rows.unionByName(empty)
-
-
-def _order():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.desc("saved"), "command_key")
+    return top.select(F.col("rank").cast("int").alias("rank"), line.alias("line")).unionByName(empty)

@@ -85,7 +85,8 @@ def test_ledger_file(spark, tmp_path):
     row = G.ledger_totals(df).first()
     assert (row.runs, row.filtered_runs, row.saved) == (2, 1, 2)
     assert [r.command_key for r in G.top_commands(df, 1).collect()] == ["npm ci"]
-    assert G.report(df.where("false")).first().line == "No runs recorded."
+    assert G.report(df.where("false")).first().line == "No runs recorded." == G.report(df.where("false"), 0).first().line
+    assert sorted(map(tuple, G.report(df, 0).collect())) == sorted(map(tuple, G.report(df, 10).collect())) and G.report(df, 0).count() == 2
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 64])
