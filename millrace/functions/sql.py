@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
+from . import commands as C
 from . import patterns as P
 
 
@@ -51,12 +52,62 @@ def _definitions() -> dict[str, tuple[str, str]]:
     }
 
 
+def _in(what: str, words: tuple[str, ...]) -> str:
+    return f"coalesce({what}, '') IN ({', '.join(repr(w) for w in words)})"
+
+
+def _commands() -> dict[str, tuple[str, str, str]]:
+    """Functions of commands: parameter, type, body; each may use those before it."""
+
+    def base(word: str) -> str:  # a function can't be called on a lambda's variable
+        out = rf"lower(regexp_extract({word}, r'[^/\\]*\z', 0))"
+        for suffix in ("exe", "cmd", "bat", "ps1"):
+            out = rf"regexp_replace({out}, r'\.{suffix}\z', '')"
+        return out
+
+    first, rest = "coalesce(get(words, 0), '')", "slice(words, 2, greatest(size(words), 1))"
+    sub = f"lower(get(filter({rest}, w -> NOT startswith(w, '-')), 0))"
+    text, words, strings = "text STRING", "words ARRAY<STRING>", "ARRAY<STRING>"
+    trim = r"regexp_replace({0}, r'(?U)^\s+|\s+\z', '')"
+    edges = "regexp_replace({0}, '^[\"\\']+|[\"\\']+$', '')"
+    parts = 'regexp_extract_all(text, "(?:\'[^\']*+(?:\'|\\\\z)|\\"[^\\"]*+(?:\\"|\\\\z)|[^;|&\'\\"]++)++", 0)'
+    shell = f"({_in(base('a'), C.SHELLS)} AND get(words, i + 2) IS NOT NULL AND get(words, i + 1) = '-c')"
+    script = f"filter(transform(filter(split(regexp_replace(x, r'&&|\\|\\||[|;()\n]', ' '), r'(?U)\\s+'), y -> y <> ''), w -> {base(edges.format('w'))}), w -> w <> '')"
+    flags = "--help", "-h", "--version", "-v"
+    return {
+        "command_fields": (text, strings, r"filter(split(text, r'(?U)\s+'), x -> x <> '')"),
+        "wrap_command": (text, "STRING", "concat('millrace run -- bash -c ', shell_quote(text))"),
+        "split_segments": (text, strings, f"filter(transform({parts}, x -> {trim.format('x')}), x -> x <> '')"),
+        "split_words": (
+            text, strings,
+            "CASE WHEN exists(command_fields(text), w -> NOT rlike(w, '^[A-Za-z0-9_]+=')) THEN slice(command_fields(text), cast(array_position(transform(command_fields(text), w -> NOT rlike(w, '^[A-Za-z0-9_]+=')), true) as int), size(command_fields(text))) "
+            "ELSE cast(array() as array<string>) END",
+        ),
+        "is_pipeline_sink": (words, "BOOLEAN", f"size(words) > 0 AND {_in(base(first), C.SINKS)}"),
+        "is_query_segment": (
+            words, "BOOLEAN",
+            f"""CASE WHEN size(words) < 1 THEN false WHEN exists({rest}, w -> {_in('lower(w)', flags)}) THEN true
+            WHEN {_in(base(first), C.QUERY_COMMANDS)} THEN NOT exists({rest}, w -> w IN ('-f', '--follow', '-F')) WHEN {base(first)} = 'sed' THEN exists({rest}, w -> w IN ('-n', '--quiet', '--silent'))
+            WHEN {base(first)} = 'git' THEN {sub} IS NULL OR {_in(sub, C.GIT_READ_ONLY)} ELSE {_in(sub, C.READ_ONLY_VERBS)} END""",
+        ),
+        "is_long_running": (
+            words, "BOOLEAN",
+            f"exists({rest}, w -> {_in('lower(w)', C.LONG_FLAGS)}) OR exists({rest}, w -> NOT startswith(w, '-') AND exists(split(lower(w), '[:\\\\-._/]'), x -> {_in('x', C.LONG_RUNNING)}))",
+        ),
+        "is_interactive_docker": (words, "BOOLEAN", f"{_in(base(first), ('docker', 'podman'))} AND coalesce(get(filter({rest}, w -> NOT startswith(w, '-')), 0) = 'run', false) AND NOT array_contains({rest}, '--rm')"),
+        "command_words": (words, strings, f"flatten(transform(words, (a, i) -> concat(array({base('a')}), CASE WHEN {shell} THEN {script.replace('(x,', '(get(words, i + 2),')} ELSE cast(array() as array<string>) END)))"),
+    }
+
+
 def register(spark: SparkSession) -> list[str]:
-    """Temporary SQL functions of one text; they are inlined into the plan, no Python runs."""
+    """Temporary SQL functions of a line's text, of a command or of its words; they are inlined into the plan, no
+    Python runs."""
     for name, (kind, body) in _definitions().items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(text STRING) RETURNS {kind} RETURN {body}")
+    for name, (given, kind, body) in _commands().items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({given}) RETURNS {kind} RETURN {body}")
     spark.udtf.register("failure_blocks", FailureBlocks)
-    return [*_definitions(), "failure_blocks"]
+    return [*_definitions(), *_commands(), "failure_blocks"]
 
 
 def block_scan(table: str) -> str:

@@ -63,3 +63,25 @@ def test_block_scan_of_a_plain_table(spark):
     got = {(r.run_id, r.line_no): r.block for r in spark.sql(sql.block_scan("plain_lines")).collect()}
     want = {(r.run_id, r.src): r.block for r in S.failure_blocks(S.start(lines)).collect()}
     assert got == {k: None if v is None or v != v else v for k, v in want.items()} and any(got.values())
+
+
+def test_command_functions_equal_the_columns(spark):
+    from millrace.catalog import COMMANDS
+    from millrace.functions import commands as C
+
+    sql.register(spark)
+    more = ["bash -c 'npm ci && npm run build'", "A=1 B=2", "x 'a;b' && \"c|d\" | e", "tail -f x", "git", "docker run -it --rm x", "npm run build --watch", "sed --quiet x", "cat -f a"]
+    df = spark.createDataFrame([(c,) for c in (*COMMANDS, *more)], "text string")
+    t = F.col("text")
+    w = C.fields(t)
+    given = "command_fields(text)"
+    pairs = {
+        given: w, "wrap_command(text)": C.wrap_command(t), "split_segments(text)": C.split_segments(t), "split_words(text)": C.split_words(t), f"is_pipeline_sink({given})": C.is_pipeline_sink(w),
+        f"is_query_segment({given})": C.is_query_segment(w), f"is_long_running({given})": C.is_long_running(w), f"is_interactive_docker({given})": C.is_interactive_docker(w),
+        f"command_words({given})": C.command_words(w),
+    }
+    for name, column in pairs.items():
+        rows = df.select("text", column.alias("a")).selectExpr("text", "a", f"{name} AS b").collect()
+        assert [(r.text, r.a, r.b) for r in rows if r.a != r.b] == [], name
+    script = spark.sql("SELECT command_words(array('bash', '-c', 'npm ci && (npm run \\\'x\\\')')) AS x").first().x
+    assert script == ["bash", "npm", "ci", "npm", "run", "x", "-c", "npm ci && (npm run 'x')"]
