@@ -8,9 +8,9 @@ rest holds more than 1/FREQUENT of the tokens. Pass 3 writes every document as a
 
 A state emits symbols; a shape emits its words by their share in the shape, whatever the state. So
 log P(text) = forward recursion over symbols + sum over shape words of log p(word | shape), exactly.
-Training starts from a bounded sample (``START`` documents on the driver) and then makes ``ROUNDS``
-Baum-Welch rounds over all training documents; the expected counts of the partitions are summed by Spark.
-Words are compared by 64-bit hashes.
+Training starts from the counts of all training texts, spread over the states with a fixed noise, and makes
+``ROUNDS`` Baum-Welch rounds, each over all training texts, whole; the expected counts of the partitions are
+summed by Spark. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ from .words import Words, portions
 
 #: Bounds of what is broadcast: frequent words (16 bytes each) and symbols (STATES numbers each).
 FREQUENT, LEXICON, SHAPES, STATES = 200_000, 8_000, 8, 8
-STRETCH, SEGMENT, START, START_ROUNDS, ROUNDS = 4_000_000, 64, 400, 12, 2
+STRETCH, ROUNDS = 4_000_000, 5
+#: Symbols in a segment of a text longer than LONG (segments are joined exactly), and in what is worked on at once.
+SEGMENT, LONG, CELLS = 1024, 8192, 400_000
 #: Numbers in a piece of a sum, groups of the first level of a sum over partitions, steps of a fixed-point logarithm
 #: (sums of whole numbers are the same in any order).
 PIECE, FAN, FIXED = 8192, 1000, 10_000_000_000
@@ -60,17 +62,17 @@ def _find(sorted_: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Start, resume, transition and emission probabilities."""
+    """Start, transition and emission probabilities."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
-        self.start, self.move, self.emit = start, move, emit  # (2, S): of texts and of later segments; (S, S); (M, S)
+        self.start, self.move, self.emit = start, move, emit  # (1, S), (S, S), (M, S)
 
     @staticmethod
     def first(counts: np.ndarray, states: int = STATES) -> Model:
         rng = np.random.default_rng(7)
         emit = (counts[:, None] + 0.1) * rng.uniform(0.5, 1.5, (len(counts), states))
         move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
-        return Model(np.full((2, states), 1 / states), move, emit / emit.sum(0))
+        return Model(np.full((1, states), 1 / states), move, emit / emit.sum(0))
 
     @staticmethod
     def of(start: np.ndarray, move: np.ndarray, emit: np.ndarray, counts: np.ndarray) -> Model:
@@ -79,39 +81,84 @@ class Model:
         return Model((start + 1) / (start + 1).sum(1, keepdims=True), (move + 1) / (move + 1).sum(1, keepdims=True), emit / emit.sum(0))
 
     def expected(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch: expected starts, moves and emissions. Texts are cut into segments for this, not for scores."""
-        start, move, emit = np.zeros_like(self.start), np.zeros_like(self.move), np.zeros_like(self.emit)
-        parts = [(d[i : i + SEGMENT], int(i > 0)) for d in docs for i in range(0, len(d), SEGMENT)]
-        parts.sort(key=lambda x: len(x[0]))
-        for i in range(0, len(parts), 1024):
-            some = parts[i : i + 1024]
-            length, late = np.array([len(x) for x, _ in some]), np.array([x for _, x in some])
-            obs = np.zeros((len(some), length.max()), np.int64)
-            mask = np.arange(length.max())[None, :] < length[:, None]
-            obs[mask] = np.concatenate([x for x, _ in some])
-            b, n = obs.shape
-            e = self.emit[obs]
-            e[~mask] = 1.0
-            a, scale = np.empty_like(e), np.ones((b, n, 1))
-            for t in range(n):
-                x = (self.start[late] if t == 0 else a[:, t - 1] @ self.move) * e[:, t]
-                scale[:, t] = x.sum(1, keepdims=True)
-                a[:, t] = x / scale[:, t]
-            z = np.ones((b, self.move.shape[0]))
-            for t in range(n - 1, 0, -1):
-                gamma = a[:, t] * z
-                a_next = e[:, t] * z / scale[:, t]
-                live = mask[:, t]
-                move += a[live, t - 1].T @ a_next[live]
-                z = np.where(live[:, None], a_next @ self.move.T, z)
-                a[:, t] = gamma
-            a[:, 0] *= z
-            np.add.at(start, late, a[:, 0])
-            flat, where = a[mask], obs[mask]
-            for s in range(self.move.shape[0]):
-                emit[:, s] += np.bincount(where, flat[:, s], len(emit))
+        """Baum-Welch: expected starts, moves and emissions, by the forward-backward recursion over each whole text."""
+        sums = np.zeros_like(self.start), np.zeros_like(self.move), np.zeros_like(self.emit)
+        chains = [c for d in docs for c in ([(d, None, None)] if len(d) <= LONG else self.segments(d))]
+        chains.sort(key=lambda c: -len(c[0]))
+        some, size = [], 0
+        for c in chains:
+            if some and size + len(c[0]) > CELLS:
+                self.add(some, *sums)
+                some, size = [], 0
+            some.append(c)
+            size += len(c[0])
+        if some:
+            self.add(some, *sums)
+        start, move, emit = sums
         return start, move * self.move, emit
 
+    def segments(self, d: np.ndarray) -> list[tuple]:
+        """Segments of a long text, each with the forward message before it and the backward message after it.
+
+        What a segment does to a message is a product of matrices; those of all segments are worked out side by
+        side and chained, so that nothing is lost where the text is cut.
+        """
+        states, cuts = len(self.move), range(0, len(d), SEGMENT)
+        does = np.repeat(self.move[None], len(cuts), 0)
+        does[0] = np.eye(states)  # the start comes before the first symbol, not a move
+        for t in range(min(SEGMENT, len(d))):
+            e = self.emit[d[t::SEGMENT]]
+            x = does[: len(e)]
+            x = ((x.reshape(-1, states) @ self.move).reshape(x.shape) if t else x) * e[:, None, :]
+            does[: len(e)] = x / x.sum((1, 2), keepdims=True)
+        before, after = [None], [np.ones(states)]
+        for k in range(len(cuts) - 1):
+            a, z = (before[-1] if k else self.start[0]) @ does[k], does[-1 - k] @ after[-1]
+            before.append(a / a.sum())
+            after.append(z / z.sum())
+        return [(d[i : i + SEGMENT], a, z) for i, a, z in zip(cuts, before, reversed(after), strict=True)]
+
+    def add(self, chains: list[tuple], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
+        """Adds what is expected of chains, longest first; their symbols lie by place, then by chain."""
+        length, states = np.array([len(c[0]) for c in chains]), len(self.move)
+        live = np.searchsorted(-length, -np.arange(length[0]), "left")  # chains longer than t
+        begin = np.concatenate([[0], np.cumsum(live)])
+        place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        obs = np.empty(len(place), np.int64)
+        obs[begin[place] + np.repeat(np.arange(len(chains)), length)] = np.concatenate([c[0] for c in chains])
+        late = np.array([c[1] is not None for c in chains])
+        before = np.array([c[1] for c in chains if c[1] is not None]).reshape(-1, states)
+        first, last = np.repeat(self.start[:1], len(chains), 0), np.ones((len(chains), states))
+        first[late] = before @ self.move
+        for k, c in enumerate(chains):
+            if c[2] is not None:
+                last[k] = c[2]
+        e = self.emit[obs]
+        a, scale, ones = np.empty_like(e), np.empty((len(e), 1)), np.ones((states, 1))
+        for t in range(len(live)):
+            i, j = begin[t], begin[t + 1]
+            x, s = a[i:j], scale[i:j]
+            np.multiply(a[begin[t - 1] : begin[t - 1] + live[t]] @ self.move if t else first, e[i:j], out=x)
+            np.matmul(x, ones, out=s)
+            x /= s
+        e /= scale
+        z, back = last[:0], self.move.T.copy()
+        for t in range(len(live) - 1, -1, -1):
+            i, j = begin[t], begin[t + 1]
+            x, own = a[i:j], e[i:j]
+            if len(z) < live[t]:  # chains that end here
+                ends = last[len(z) : live[t]]
+                z = np.concatenate([z, ends / (x[len(z) :] * ends).sum(1, keepdims=True)])
+            own *= z
+            if t:
+                move += a[begin[t - 1] : begin[t - 1] + live[t]].T @ own
+            x *= z
+            z = own @ back
+        move += before.T @ e[: live[0]][late]
+        start[0] += a[: live[0]][~late].sum(0)
+        for s in range(states):
+            emit[:, s] += np.bincount(obs, a[:, s], len(emit))
+
     def log10(self, docs: list[np.ndarray]) -> np.ndarray:
         """Exact log10 probability of each row of symbols: the scaled forward recursion over all of it."""
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
@@ -251,13 +298,9 @@ def merged(parts: DataFrame, fan: int = FAN) -> DataFrame:
 
 
 def baum_welch(coded: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """``rounds`` rounds from the counts of all training texts, every round over every training text."""
     train = coded.where("NOT held").select("symbols")
-    head = [np.frombuffer(r.symbols, np.uint16) for r in coded.where("NOT held").orderBy("uid").select("symbols").limit(START).collect()]
     model = Model.first(counts)
-    if not head:
-        return model
-    for _ in range(START_ROUNDS):  # a bounded start; the counts below come from all training texts
-        model = Model.of(*model.expected([d[: 50 * SEGMENT] for d in head]), counts)
     sizes = [model.start.size, model.move.size, model.emit.size]
     for _ in range(rounds):
         sent = coded.sparkSession.sparkContext.broadcast(model)
@@ -274,6 +317,8 @@ def baum_welch(coded: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Mo
                     yield pd.DataFrame({"i": [i // PIECE], "p": [part], "v": [flat[i : i + PIECE]]})
 
         parts = merged(train.mapInPandas(run, "i int, p int, v array<double>")).collect()
+        if not parts:
+            return model
         flat = np.concatenate([np.array(r.v) for r in sorted(parts, key=lambda r: r.i)])
         start, move, emit = np.split(flat, np.cumsum(sizes)[:2])
         model = Model.of(start.reshape(model.start.shape), move.reshape(model.move.shape), emit.reshape(model.emit.shape), counts)

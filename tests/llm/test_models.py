@@ -157,3 +157,48 @@ def test_sums_over_thousands_of_partitions_go_in_two_levels(spark):
     parts = spark.createDataFrame(rows, "i int, p int, v array<double>").repartition(7)
     got = {r.i: list(r.v) for r in hmm.merged(parts, 70).collect()}
     assert got == {i: [sum(range(5000)), 5000.0, 5000.0 * i] for i in (0, 1)}
+
+
+def test_expected_counts_of_whole_texts_equal_all_pairs_of_places(monkeypatch):
+    """Forward and backward messages from end to end, also where a long text is cut into segments."""
+    rng = np.random.default_rng(5)
+    start, move, emit = rng.dirichlet(np.ones(3), 2), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(9), 3).T
+    model = hmm.Model(start, move, emit)
+    docs = [rng.integers(0, 9, n).astype(np.uint16) for n in (1, 150, 64, 65, 7, 333, 2, 14)]
+    starts, moves, emits = np.zeros_like(start), np.zeros_like(move), np.zeros_like(emit)
+    wide = 9 * emit  # a factor for each symbol falls out of all shares and keeps the messages from underflow
+    for d in docs:
+        before, after = [start[0] * wide[d[0]]], [np.ones(3)]
+        for x in d[1:]:
+            before.append(before[-1] @ move * wide[x])
+        for x in d[:0:-1]:
+            after.insert(0, move @ (wide[x] * after[0]))
+        total = before[-1].sum()
+        starts[0] += before[0] * after[0] / total
+        for t, x in enumerate(d):
+            emits[x] += before[t] * after[t] / total
+            if t:
+                moves += np.outer(before[t - 1], wide[x] * after[t]) * move / total
+    for sizes in ({}, {"SEGMENT": 7, "LONG": 13, "CELLS": 50}, {"SEGMENT": 64, "LONG": 64, "CELLS": 1}):
+        for name, size in sizes.items():
+            monkeypatch.setattr(hmm, name, size)
+        for got, want in zip(model.expected(docs), (starts, moves, emits), strict=True):
+            assert np.allclose(got, want, rtol=1e-9, atol=1e-12), sizes
+
+
+def test_every_round_learns_from_every_training_text(spark):
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 30, rng.integers(1, 100)).astype(np.uint16) for _ in range(900)]
+    held = [i % 10 == 0 for i in range(900)]
+    rows = [(h, i, d.tobytes()) for i, (h, d) in enumerate(zip(held, docs, strict=True))]
+    coded = spark.createDataFrame(rows, "held boolean, uid long, symbols binary").repartition(5)
+    train = [d for d, h in zip(docs, held, strict=True) if not h]
+    counts = np.bincount(np.concatenate(train), minlength=30).astype(float)
+    want = hmm.Model.first(counts)
+    for _ in range(3):
+        want = hmm.Model.of(*want.expected(train), counts)
+    got = hmm.baum_welch(coded, counts, 3)
+    for name in ("start", "move", "emit"):
+        assert np.allclose(getattr(got, name), getattr(want, name), rtol=1e-9)
+    none = hmm.baum_welch(coded.where("held"), counts)
+    assert np.array_equal(none.emit, hmm.Model.first(counts).emit)
